@@ -159,7 +159,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, epsilon: float =
     # a task meets one share of the candidates with one share of the queries
     shares, groups = min(max(1, blocks.count()), MOST_SHARES), max(1, -(-asked.count() * query_block // QUERIES_PER_TASK))
     left = blocks.select("*", F.pmod(F.xxhash64("ids"), F.lit(shares)).alias("share"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    right = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).cast("long").alias("share"), F.pmod(F.xxhash64("qids"), F.lit(groups)).cast("int").alias("grp"))
+    right = asked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"), F.pmod(F.xxhash64("qids"), F.lit(groups)).cast("int").alias("grp"))
     met = left.join(right, (F.col("dim") == F.col("qdim")) & (left["share"] == right["share"]) & (left["grp"] == right["grp"]))
     met = met.select("dim", "ids", "vectors", "codes", "norms", "aligned", "qids", "qvectors")
 
