@@ -80,7 +80,7 @@ def cells(fps: np.ndarray, radius: int = RADIUS, groups: int = GROUPS) -> np.nda
     """The cells of each fingerprint, one row each."""
     emb, width = embed(fps), 64 // groups
     masks = [sum(((1 << width) - 1) << (g * width) for g in kept) for kept in combinations(range(groups), groups - radius)]
-    return np.stack([_mix((emb & np.uint64(m)) + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)) for n, m in enumerate(masks)], axis=1)
+    return np.stack([_mix((emb & np.uint64(m)) + np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)) for n, m in enumerate(masks)], axis=1)
 
 
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -202,7 +202,7 @@ def _cells_batch(batch: pa.RecordBatch, radius: int, groups: int) -> pa.RecordBa
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, groups: int = GROUPS, block: int = CELL_BLOCK) -> DataFrame:
-    """``doc_id, fingerprint, component_id, links`` for every row of ``documents(doc_id, text)``.
+    """``doc_id, fingerprint, component_id`` for every row of ``documents(doc_id, text)``.
 
     ``fingerprint``: 16 hex digits. ``component_id``: the smallest doc_id reachable over pairs
     of fingerprints that differ in at most ``radius`` bits, itself included; equal
