@@ -1,6 +1,6 @@
 """Queries over whole tables: each applies operators and names the SQL that gives the same rows."""
 
-from . import money, usage
+from . import money, text, usage
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "money", "usage"]
+__all__ = ["ORACLES", "QUERIES", "money", "text", "usage"]

@@ -22,7 +22,7 @@ STANDING = f"""standing as (
             case when lim <= 0 then 'ok' when used >= lim then 'exceeded' when percent >= 80 then 'alert' else 'ok' end as state,
             cast(case when lim > 0 then greatest(0, lim - used) else -1 end as double) as remaining, lim > 0 and percent >= 80 as at_alert
         from standing)"""
-PEAK = "(isodow(make_timestamp({0} * 1000000)) <= 5 and (hour(make_timestamp({0} * 1000000)) between 1 and 3 or hour(make_timestamp({0} * 1000000)) between 6 and 9))"
+PEAK = "(isodow(make_timestamp(cast({0} as bigint) * 1000000)) <= 5 and (hour(make_timestamp(cast({0} as bigint) * 1000000)) between 1 and 3 or hour(make_timestamp(cast({0} as bigint) * 1000000)) between 6 and 9))"
 PRICES = """prices(connector, model, miss, hit, output, off_miss, off_hit, off_output) as (values
     ('deepseek', 'deepseek-flash', 0.3000, 0.0060, 1.2000, 0.1500, 0.0030, 0.6000), ('deepseek', 'deepseek-v4-pro', 1.3200, 0.0440, 3.9600, 0.6600, 0.0220, 1.9800))"""
 
