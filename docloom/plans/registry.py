@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import common_table
+from ..sources.tables import common_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,7 +24,7 @@ def query(sql: str | None = None, using: tuple[str, ...] = ()) -> Callable[[Quer
         QUERIES[function.__name__] = function
         if sql:
             own = sql.strip()
-            tables = [common_table(name) for name in using]
+            tables = common_tables(using)
             if own.lower().startswith("with recursive "):
                 own = "with recursive " + ", ".join([*tables, own[15:].lstrip()])
             elif own.lower().startswith("with "):

@@ -70,6 +70,32 @@ RELATIONS = {
             1 + l_linenumber % 3 as attempts, split_part('cleaned,repaired,http,timeout,validation', ',', cast(l_partkey % 5 + 1 as int)) as reason, @epoch(l_shipdate) as timecreated, @epoch(l_shipdate) + l_partkey as timemodified
         from {lineitem}""",
 }
+#: A blueprint per order: its line items are sections, with subsections, activities and questions by arithmetic on the part key.
+RELATIONS |= {
+    "bp_section": """
+        select l_orderkey as bp, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 as int) as si, 's' || cast(l_linenumber as varchar(20)) as id,
+            case when l_partkey % 50 = 0 then repeat('T', 300) else 'Section ' || cast(l_partkey as varchar(20)) end as title, l_partkey % 11 = 0 as review, l_partkey as np
+        from {lineitem}""",
+    "bp_container": """
+        select bp, si, -1 as ui, id, cast(null as varchar(20)) as parent, title, review, np from bp_section
+        union all
+        select bp, si, cast(i as int) as ui, id || '-' || cast(i as varchar(20)) as id, id as parent, 'Part' as title, np % 13 = i as review, np + 100 * (i + 1) as np from bp_section @upto(1 + np % 2;i) where np % 3 = 0""",
+    "bp_activity": """
+        select bp, si, ui, cast(i as int) as ai, id as container, id || '.a' || cast(i % 3 as varchar(20)) as id,
+            split_part('page,book,label,url,resource,folder,quiz,lesson,assign,forum,glossary,wiki,choice,feedback,h5pactivity,scorm', ',', cast((np + i * 7) % 16 + 1 as int)) as type,
+            case when (np + i) % 70 = 0 then repeat('a', 256) else 'Activity' end as title, 'src' || cast((np + i) % 6 as varchar(20)) as ref,
+            case when (np + i) % 4 = 0 then 'https://x.org/' || cast((np + i) % 20 as varchar(20)) end as url, (np + i) % 19 = 0 as review, case when (np + i) % 3 = 0 then 'C' || cast((np + i) % 4 as varchar(20)) end as competency,
+            case (np + i) % 5 when 0 then 's1.a0' when 1 then 's9.a9' when 2 then id || '.a0' end as need, np + i as na
+        from bp_container @upto(1 + np % 4;i)""",
+    "bp_question": """
+        select bp, si, ui, ai, cast(i as int) as qi, id as activity, 'q' || cast(na % 40 + i as varchar(20)) as id, split_part('multichoice,multichoice,truefalse,shortanswer,numerical,essay,gapselect', ',', cast((na + i) % 7 + 1 as int)) as qtype,
+            (na + i) % 7 = 0 as single, container || '.o' || cast(i % 3 as varchar(20)) as objective_ref,
+            case (na + i) % 4 when 0 then 'Fill [[1]] and [[2]]' when 1 then 'Fill [[2]] only' when 2 then 'review: see [[1]]' else 'none' end as text, cast(na % 4 as int) as choices,
+            cast(case (na + i) % 4 when 0 then 1.0 when 1 then 0.5 when 2 then 0.3333 else 0.0 end as decimal(6,4)) as f1, cast(case (na + i) % 5 when 0 then 0.5 when 1 then 0.6667 when 2 then 1.0 else -0.25 end as decimal(6,4)) as f2
+        from bp_activity @upto(2 + na % 3;i) where na % 3 = 1""",
+}
+#: Relations that others read.
+NEEDS = {"bp_container": ("bp_section",), "bp_activity": ("bp_section", "bp_container"), "bp_question": ("bp_section", "bp_container", "bp_activity")}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
 
@@ -86,11 +112,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of ``RELATIONS`` over the tables in ``sf_dir``."""
-    text = spelled(RELATIONS[name], "spark").replace("varchar(20)", "string")
+    parts = [f"{n} as ({RELATIONS[n]})" for n in NEEDS.get(name, ())]
+    text = (f"with {', '.join(parts)} " if parts else "") + RELATIONS[name]
+    text = spelled(text, "spark").replace("varchar(20)", "string")
     used = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text}
     return spark.sql(text, **used)
 
 
-def common_table(name: str) -> str:
-    """The relation as a common table expression for DuckDB."""
-    return f"{name} as ({spelled(RELATIONS[name], 'duckdb').format(**{t: t for t in TABLES})})"
+def common_tables(names: tuple[str, ...]) -> list[str]:
+    """Relations, and what they read, as common table expressions for DuckDB."""
+    every = dict.fromkeys(n for name in names for n in (*NEEDS.get(name, ()), name))
+    return [f"{n} as ({spelled(RELATIONS[n], 'duckdb').format(**{t: t for t in TABLES})})" for n in every]
