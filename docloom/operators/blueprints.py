@@ -261,3 +261,27 @@ def count_differences(blueprints: DataFrame, modules: DataFrame) -> DataFrame:
     have = modules.groupBy("bp", "type").agg(F.count(F.lit(1)).alias("actual"))
     both = want.join(have, ["bp", "type"], "full").fillna(0, ["expected", "actual"])
     return both.where("expected <> actual")
+
+
+# Shape of a blueprint's fields. Fixed values of the data model
+ACTIVITY_TYPES = ("page", "book", "label", "url", "resource", "folder", "quiz", "lesson", "assign", "forum", "glossary", "wiki", "choice", "feedback", "h5pactivity", "scorm")
+QUESTION_TYPES = ("multichoice", "truefalse", "shortanswer", "numerical", "matching", "essay", "gapselect", "ddwtos", "multianswer")
+SECTION_ID, SUBSECTION_ID, ACTIVITY_ID, QUESTION_ID = r"\As[0-9]+\z", r"\As[0-9]+-[0-9]+\z", r"\As[0-9]+(-[0-9]+)?\.[a-z][a-z0-9]*[0-9]\z", r"\Aq[0-9]+\z"
+
+
+def shape_errors(blueprints: DataFrame, types: tuple[str, ...] = ACTIVITY_TYPES, kinds: tuple[str, ...] = QUESTION_TYPES) -> DataFrame:
+    """``bp, path, keyword``: fields that are missing (required), misspelt (pattern), unknown (enum) or empty (minLength), and lists too short (minItems).
+
+    The keywords are checked as expressions over the flattened nodes, each an error of its own.
+    """
+    wrong = lambda keyword, field, test: F.when(test, F.struct(F.concat("path", F.lit(f"/{field}")).alias("path"), F.lit(keyword).alias("keyword")))
+    missing = lambda c: wrong("required", c, F.col(c).isNull())
+    fits = lambda c, pattern: wrong("pattern", c, ~F.col(c).rlike(pattern))
+    among = lambda c, values: wrong("enum", c, ~F.col(c).isin(*values))
+    errors = lambda rows, *checks: rows.select("bp", F.explode(F.array_compact(F.array(*checks))).alias("e")).select("bp", "e.path", "e.keyword")
+    boxes = containers(blueprints)
+    own = wrong("pattern", "id", ~F.when(F.col("ui") < 0, F.col("id").rlike(SECTION_ID)).otherwise(F.col("id").rlike(SUBSECTION_ID)))
+    out = errors(boxes, missing("id"), missing("title"), own, wrong("minLength", "title", F.col("title") == ""), wrong("minItems", "activities", F.size("activities") == 0))
+    out = out.union(errors(activities(blueprints), missing("id"), missing("type"), missing("title"), fits("id", ACTIVITY_ID), among("type", types), wrong("minLength", "title", F.col("title") == "")))
+    choice = F.col("qtype").isin("multichoice", "truefalse", "shortanswer", "numerical")
+    return out.union(errors(questions(blueprints), missing("id"), missing("qtype"), fits("id", QUESTION_ID), among("qtype", kinds), wrong("minItems", "answers", choice & (F.size("answers") == 0))))
