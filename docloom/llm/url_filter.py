@@ -59,7 +59,7 @@ def build_level(keys: DataFrame, bits: int, hashes: int, seed: int) -> Level:
     """The Bloom filter of the column ``key``; words of 64 positions are or-ed before the shuffle."""
     spark = keys.sparkSession
     at = keys.select(F.explode(F.array(*[_position(F.col("key"), seed + i, bits) for i in range(hashes)])).alias("at"))
-    some = at.groupBy((F.col("at") / 64).cast("long").alias("id")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("word"))
+    some = at.groupBy((F.col("at") / 64).cast("long").alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("word"))
     every = spark.range(math.ceil(bits / 64)).join(some, "id", "left")
     row = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word")))).alias("w"))
     return Level(materialize(row.select(F.col("w.word").alias("words")), "bloom"), bits, hashes, seed)
