@@ -366,3 +366,24 @@ def repaired_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     whole = G.repaired_json(G.json_block(broken))
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object(whole, "$.kind").alias("kind"), F.get_json_object(whole, "$.n").cast("long").alias("n"))
+
+
+def shout(prompt: str) -> str:
+    return prompt.upper()
+
+
+def long_enough(answer: str) -> bool:
+    return len(answer) > 5
+
+
+@query(
+    """with wanted as (select l_orderkey as jobid, 'h' || (l_partkey % 50) as inputhash, max('say ' || l_suppkey) as prompt from lineitem group by 1, 2)
+    select jobid, inputhash, case when length(prompt) > 5 then 'done' else 'error' end as status, case when length(prompt) > 5 then upper(prompt) end as output, case when length(prompt) > 5 then 1 else 3 end as calls
+    from wanted w where not exists (select 1 from step s where s.jobid = w.jobid and s.inputhash = w.inputhash and s.status in ('done', 'manual') and s.output is not null and s.output not in ('', '[]', '{}', 'null'))""",
+    ("step",),
+)
+def generated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps without a checkpoint, answered by a provider that repeats the prompt in capitals; short answers are refused three times."""
+    items = table(spark, sf_dir, "lineitem")
+    wanted = items.groupBy(F.col("l_orderkey").alias("jobid"), F.concat(F.lit("h"), (F.col("l_partkey") % 50).cast("string")).alias("inputhash")).agg(F.max(F.concat(F.lit("say "), F.col("l_suppkey").cast("string"))).alias("prompt"))
+    return G.answers(wanted, relation(spark, sf_dir, "step"), shout, long_enough)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import codecs
 import io
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -76,3 +78,11 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = 50 << 20) -> tup
 def replace_partitions(rows: DataFrame, path: str, key: str) -> None:
     """Write ``rows`` by ``key``; keys that are written replace what was there, others stay."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which all executors see; only a local master may go without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{base or 'file://' + tempfile.mkdtemp(prefix='docloom-')}/{uuid.uuid4().hex}"

@@ -48,3 +48,10 @@ def reservations(events: DataFrame, site_limit: int = SITE_LIMIT * 1_000_000) ->
         yield pd.DataFrame(out, columns=["period", "userid", "call", "kind", "outcome", "spent", "reserved"])
 
     return events.groupBy("period").applyInPandasWithState(fold, LEDGER, "ledger string", "append", GroupStateTimeout.NoTimeout)
+
+
+def drained(rows: DataFrame, folder: str) -> DataFrame:
+    """Run the stream over what there is now and return its result so far, which each batch writes anew to ``folder``."""
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out")
+    rows.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out")
