@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, chat, decontam, langid, mixing, sharding, simhash, substring, toxicity, url_filter
 
@@ -62,16 +63,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    own = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role").withColumn("text", _lit(UNESCAPED))
+    own = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role").withColumn("text", F.lit(UNESCAPED))
     return chat.digests(chat.format_chats(rows.unionByName(own)))
 
 
-def _lit(text: str):
-    from pyspark.sql import functions as F
-
-    return F.lit(text)
-
-
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -97,18 +92,5 @@ def _op1_sql() -> str:
     from parts left join (select * from hits where best = 1) h using (n)"""
 
 
-def _op4_sql() -> str:
-    return """
-    with good as (
-        select vec_id, embedding::double[] as v from embeddings
-        where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-            and len(list_filter(embedding, x -> x <> 0)) > 0),
-    pairs as (
-        select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transform(list_zip(q.v, c.v), z -> (z[1] - z[2]) * (z[1] - z[2]))) as d
-        from good q join good c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
-    ranked as (select *, row_number() over (partition by query_id order by d, vec_id) as rank from pairs)
-    select query_id, rank::int as rank, vec_id, sqrt(d) as score from ranked where rank <= 10"""
-
-
 def oracle_sql() -> dict[str, str]:
     return {"op1_url_filters": _op1_sql(), "op6_mixing": mixing.oracle_sql(), "op9_chat_formatting": chat.oracle_sql()}
