@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 from docloom.llm import common, decontam, langid, mixing, sharding, simhash
 
 
+#: Least mean posterior of a document's language: more than all other languages together.
+LEAST_SCORE = 0.5
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; rejected are texts without a letter, as nothing else tells a clean text."""
+    """Documents whose language the model is surer of than of all others together; those with a letter if no model could be learned.
+
+    Posteriors are among the learned languages only: with a single one all texts with a letter stay.
+    """
     model = langid.train(docs)
-    keep = langid.predicted(docs, model).where(F.col("lang_pred") != langid.UNKNOWN)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    keep = langid.predicted(docs, model, least=LEAST_SCORE).where(F.col("lang_pred") != langid.UNKNOWN)
     return keep.select(docs.columns)
 
 

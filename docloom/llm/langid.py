@@ -242,15 +242,15 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def predicted(documents: DataFrame, model: Model, name: str = "lang_pred") -> DataFrame:
-    """``documents`` with the column ``name``, the predicted language; a column of that name is replaced. Rows stay where they are."""
+def predicted(documents: DataFrame, model: Model, name: str = "lang_pred", least: float = 0.0) -> DataFrame:
+    """``documents`` with the column ``name``, the predicted language, ``und`` below the score ``least``; a column of that name is replaced. Rows stay where they are."""
     held = documents.sparkSession.sparkContext.broadcast(model)
     documents = documents.drop(name)
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = pa.array([g[0] for g in held.value.predict(batch.column(at).to_pylist())], pa.string())
+            got = pa.array([g[0] if g[1] >= least else UNKNOWN for g in held.value.predict(batch.column(at).to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], [*batch.schema.names, name])
 
     return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(name, StringType())]))

@@ -1,7 +1,9 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from docloom.llm import decontam, mixing, sharding
+from docloom.llm import decontam, langid, mixing, sharding
 from tests.llm.test_decontam import distance, normal
 from tests.llm.test_simhash import classes, plain
 
@@ -42,6 +44,18 @@ def test_stages_against_brute_force(spark, sf):
     assert Counter((r["doc_id"], r["shard"]) for r in sharded.collect()) == Counter((r["doc_id"], r["shard"]) for r in sharding.shard(docs).collect())
 
 
+def test_language_stage_by_score_and_without_a_model(spark, sf):
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    odd = spark.createDataFrame([(90_003, "съешь ещё этих мягких французских булок " * 9, None, "s", 8), (90_004, "123 ...", None, "s", 8)], SCHEMA)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(odd)
+    scores = langid.identify(docs).collect()
+    got = Counter(r["doc_id"] for r in stage(spark, docs, sf).collect())
+    assert got == Counter(r["doc_id"] for r in scores if r["score"] >= corpus_pipeline.LEAST_SCORE) and not {90_003, 90_004} & set(got)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    want = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert {r["doc_id"] for r in stage(spark, unlabelled, sf).collect()} == want
+
+
 def test_run_applies_all_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
