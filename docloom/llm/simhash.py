@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize
@@ -48,14 +48,18 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` (signed) of every row."""
+    """``doc_id, fp`` (signed), ``text_hash`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), _text_hash()).mapInArrow(run, "doc_id long, fp long, text_hash long")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("binary")).alias("text_hash")
 
 
 def embed(fps: np.ndarray) -> np.ndarray:
@@ -210,23 +214,41 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, groups: int = GR
     others. Texts below four words are one shingle. Repeated rows stay. A null doc_id counts as
     no id: its row takes its component's smallest id. An empty table gives no rows.
     """
-    fps = materialize(fingerprints(documents), "fingerprints")
+    fps = materialize(fingerprints(documents).drop("text_hash"), "fingerprints")
+    named = _named(fps, radius, groups, block).select("fp", "component_id")
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return fps.join(named, "fp").select("doc_id", hexed, "component_id")
+
+
+def _named(fps: DataFrame, radius: int, groups: int, block: int) -> DataFrame:
+    """``fp, component`` (a fingerprint), ``component_id`` of the distinct fingerprints."""
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     comps = components(near_edges(distinct, radius, groups, block))
     label = distinct.join(comps, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     label = materialize(label, "labels")
     least = label.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = label.join(least, "component").select("fp", "component_id")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return fps.join(named, "fp").select("doc_id", hexed, "component_id")
+    return label.join(least, "component").select("fp", "component", "component_id")
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group: of the smallest doc_id, and of its repeated rows the one whose text sorts first.
+    """One row of each near-duplicate group: of the smallest doc_id, and of its rows the one with the least text hash.
 
-    Rows without a doc_id stay only if no row of their group has one. Texts aren't shuffled:
-    the ids that go are found first, and rows are kept by anti-join.
+    A row is known by doc_id and text hash, so an id with several texts loses only what its
+    other groups keep. Rows without a doc_id come last: one stays if no row of its group has an id. Of
+    repeated rows of what stays the least by all columns does. The keys that go are found first; only
+    repeated rows' texts are aggregated, combined before the shuffle.
     """
-    found = near_duplicates(documents)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+    fps = materialize(fingerprints(documents), "fingerprints")
+    keys = fps.groupBy("doc_id", "text_hash", "fp").count()
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    keys = materialize(keys.join(_named(fps, RADIUS, GROUPS, CELL_BLOCK), "fp").select("component", "count", rank.alias("rank")), "keys")
+    best = keys.groupBy("component").agg(F.min("rank").alias("best"))
+    judged = keys.join(best, "component").select(F.col("rank.doc_id").alias("id"), F.col("rank.text_hash").alias("h"), "count", (F.col("rank") == F.col("best")).alias("stays"))
+    judged = materialize(judged, "judged")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(F.col("text").cast("binary")) == F.col("h"))
+    left = documents.join(judged.where("not stays"), same, "left_anti")
+    repeated = judged.where("stays and count > 1")
+    if repeated.isEmpty():
+        return left.select(documents.columns)
+    one = left.join(repeated, same, "left_semi").groupBy(F.col("doc_id").cast("long").alias("id"), _text_hash().alias("h")).agg(F.min(F.struct(*documents.columns)).alias("row"))
+    return left.join(repeated, same, "left_anti").select(documents.columns).union(one.select("row.*"))

@@ -97,6 +97,18 @@ def test_empty_null_ids_and_repeats(spark):
     assert sorted((str(r[0]), r[2]) for r in simhash.near_duplicates(docs).collect()) == [("4", 4), ("4", 4), ("9", 9), ("None", 4)]
 
 
+def test_one_row_of_each_group_stays(spark):
+    one, two, three = ("alpha beta gamma delta", "other words are in here", "nobody gave this text an id")
+    rows = [(4, one), (4, one), (None, one), (None, one), (4, two), (9, two), (7, two), (None, three), (None, three), (2, one + " x"), (2, three + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(set(classes({i: plain(t) for i, t in enumerate(dict.fromkeys(t for _, t in rows))}).values())) == 5
+    got = sorted(map(tuple, simhash.deduplicate(docs).collect()), key=str)
+    assert got == sorted([(4, one), (4, two), (None, three), (2, one + " x"), (2, three + " y")], key=str)
+    # an id with two texts, the smallest in one group only: its other text goes, the unique one stays
+    got = simhash.deduplicate(spark.createDataFrame([(5, one), (3, one), (5, two)], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(3, one), (5, two)]
+
+
 def test_query(spark, sf):
     got = op3_simhash_near_dedup(spark, sf).collect()
     rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
