@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize, word_count
+from .common import materialize, word_count
 
 #: Weights of the sources in code point order, repeating, and their schedules' relative starts and ends.
 WEIGHTS, STARTS, ENDS = (3, 1, 2), (1.5, 0.5, 1.0), (0.5, 1.5, 1.0)
@@ -22,8 +22,9 @@ SHARE, MOST_PASSES = 1.5, 2
 HEX = 3
 
 
-def _hash(doc_id: Column) -> Column:
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def _hash(doc_id: Column, text: Column) -> Column:
+    """The stream's order: rows of one id are apart if their texts differ."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(" "), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = MOST_PASSES) -> DataFrame:
@@ -58,81 +59,103 @@ def position(share: Column, start: Column, end: Column) -> Column:
     return 2 * want / (start + F.sqrt(F.greatest(F.lit(0.0), start * start + 2 * (end - start) * want)))
 
 
-def _placed(documents: DataFrame, weights: tuple[float, ...], starts: tuple[float, ...], ends: tuple[float, ...], share: float, passes: int) -> DataFrame:
-    sized = documents.select(F.col("doc_id").cast("long"), F.col("source"), word_count(F.col("text")).alias("size"))
-    sized = materialize(sized.withColumn("h", _hash(F.col("doc_id"))).withColumn("part", F.substring("h", 1, HEX)), "sized")
+def _sized(documents: DataFrame) -> DataFrame:
+    """``doc_id, source, size, h, part`` of every row."""
+    h = _hash(F.col("doc_id"), F.col("text")).alias("h")
+    sized = documents.select(F.col("doc_id").cast("long"), F.col("source"), word_count(F.col("text")).alias("size"), h)
+    return sized.withColumn("part", F.substring("h", 1, HEX))
+
+
+def _placed(sized: DataFrame, rows: DataFrame, order: tuple[str, ...], weights: tuple[float, ...], starts: tuple[float, ...], ends: tuple[float, ...], share: float, passes: int) -> DataFrame:
+    """``rows`` (``sized``, with other columns or not) with ``source_size``, ``target``, and ``taken`` and ``positions``: arrays of one entry for each pass that takes the row."""
     wanted = targets(sized, weights, share, passes)
     parts = sized.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     before = F.coalesce(F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select(F.col("source").alias("s"), F.col("part").alias("p"), before.alias("part_start"))
     parts = parts.join(wanted, F.col("s").eqNullSafe(F.col("source"))).drop("source")
-    inside = Window.partitionBy("source", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    within = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    inside = Window.partitionBy("source", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = within.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    start = F.col("part_start") + F.col("inside")
-    goal = F.floor("target")
-    taken, copies = F.lit(0), F.lit(0)
-    for n in range(passes):
-        got = F.greatest(F.lit(0), F.least(F.col("size"), goal - (start + n * F.col("source_size"))))
-        taken, copies = taken + got, copies + (got > 0).cast("int")
     of = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), (F.col("place") % len(values) + 1).cast("int"))
-    at = F.when(F.col("taken") > 0, position(start / F.col("target"), of(starts), of(ends)))
-    return placed.withColumn("taken", taken.cast("long")).withColumn("copies", copies).withColumn("position", at)
+    every = []
+    for n in range(passes):
+        start = F.col("part_start") + F.col("inside") + n * F.col("source_size")
+        got = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start)).cast("long")
+        every.append(F.when(got > 0, F.struct(got.alias("words"), position(start / F.col("target"), of(starts), of(ends)).alias("position"))))
+    placed = placed.withColumn("passes", F.array_compact(F.array(*every)))
+    return placed.withColumn("taken", F.col("passes.words")).withColumn("positions", F.col("passes.position"))
 
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, starts: tuple[float, ...] = STARTS, ends: tuple[float, ...] = ENDS, share: float = SHARE, passes: int = MOST_PASSES) -> DataFrame:
-    """``doc_id, size, source_size, target, taken, copies, position`` for every row of ``documents(doc_id, text, source)``.
+    """``doc_id, size, source_size, target, taken, copies, position, positions`` for every row of ``documents(doc_id, text, source)``.
 
     ``size``: words of the whole text, 0 for null. ``target``: words wanted of the row's source;
     null is a source of its own, the last. ``taken``: words that the mix takes, over all
     passes; a source's sum is its target rounded down, as the document in which demand ends
-    gives only the words up to there. ``copies``: times it is taken, that one included.
-    ``position``: training progress of the first, null if never taken. The result is range-sorted
-    by position; wordless documents have ``taken`` 0. Ties and repeated rows are ordered by
-    doc_id, then size, so reruns agree. An empty table gives no rows.
+    gives only the words up to there. ``positions``: training progress of each time it is taken, that
+    one included; empty if never. ``copies`` counts them, ``position`` is the first. The result is range-sorted by it; wordless
+    documents have ``taken`` 0. Ties and repeated rows are ordered by hash of id and text, then
+    doc_id, so reruns agree. An empty table gives no rows.
 
     Texts are read once for their sizes. Streams are prefix sums on two levels: over hash
     parts of each source, whose sums are made before the shuffle, then within each part, so
     a source with a third of all rows is spread over 16 ** HEX tasks' worth of keys.
     """
-    out = _placed(documents, weights, starts, ends, share, passes)
-    out = out.select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
-    return out.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    sized = materialize(_sized(documents), "sized")
+    out = _placed(sized, sized, ("h", "doc_id", "size"), weights, starts, ends, share, passes)
+    taken = F.aggregate("taken", F.lit(0).cast("long"), lambda x, y: x + y).alias("taken")
+    out = out.select("doc_id", "size", "source_size", "target", taken, F.size("positions").alias("copies"), F.get("positions", F.lit(0)).alias("position"), "positions")
+    order = (F.col("position").asc_nulls_last(), "doc_id")
+    return out.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def mixed_documents(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = MOST_PASSES) -> DataFrame:
-    """The rows of ``documents`` that the mix takes, each as often as it does; a last, partial copy stays whole.
+def mixed_documents(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, starts: tuple[float, ...] = STARTS, ends: tuple[float, ...] = ENDS, share: float = SHARE, passes: int = MOST_PASSES) -> DataFrame:
+    """The rows of ``documents`` that the mix takes, one for each pass, range-sorted by training position; a last, partial copy stays whole.
 
-    Streams run in hashed order, so a pass takes the rows up to one hash of each source. These
-    hashes, a row per source, go to the texts, which are not shuffled.
+    Written as files, their order is the training order. Every row has positions of its own, also where ids or
+    whole rows repeat. Columns of any name stay as they are. Rows travel as one struct, once to the parts of
+    their source's stream and once by position.
     """
-    plan = _placed(documents, weights, STARTS, ENDS, share, passes)
-    last = plan.groupBy("source").agg(F.array(*[F.max(F.when(F.col("copies") > n, F.col("h"))) for n in range(passes)]).alias("last"))
-    last = materialize(last.withColumnRenamed("source", "s"), "mix")
-    worded = F.col("text").rlike(WORD)
-    copies = F.size(F.filter("last", lambda x: x >= _hash(F.col("doc_id"))))
-    out = documents.join(last, F.col("source").eqNullSafe(F.col("s"))).where(worded)
-    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))).select(documents.columns)
+    keyed = _sized(documents).select("source", "size", "part")
+    row = documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("row_"))
+    rows = row.withColumn("h", _hash(F.col("row_.doc_id"), F.col("row_.text"))).select("row_", F.col("row_.doc_id").cast("long").alias("doc_id"), F.col("row_.source").alias("source"), word_count(F.col("row_.text")).alias("size"), "h", F.substring("h", 1, HEX).alias("part"), F.xxhash64("row_").alias("tie"))
+    placed = _placed(materialize(keyed, "sized"), rows, ("h", "doc_id", "size", "tie"), weights, starts, ends, share, passes)
+    order = ("position", "h", "tie")
+    out = placed.select("row_", "h", "tie", F.explode("positions").alias("position"))
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select("row_.*")
+
+
+def _position_sql(share: str) -> str:
+    """``position`` in SQL, with the sources' starts and ends in columns ``a`` and ``b``."""
+    want = f"(({share}) * (a + b) / 2)"
+    return f"2 * {want} / (a + sqrt(greatest(0::double, a * a + 2 * (b - a) * {want})))"
 
 
 def oracle_sql() -> str:
-    """``mix`` with the default parameters as DuckDB SQL (without copies and position)."""
+    """``mix`` with the default parameters as DuckDB SQL; positions as one column for each pass."""
     n = len(WEIGHTS)
-    weight = " ".join(f"when {i} then {float(w)}::double" for i, w in enumerate(WEIGHTS))
-    passes = " + ".join(f"greatest(0, least(size, floor(target)::bigint - (start + {k} * source_size)))" for k in range(MOST_PASSES))
+    case = lambda values: " ".join(f"when {i} then {float(w)}::double" for i, w in enumerate(values))
+    start = lambda k: f"(start + {k} * source_size)"
+    got = lambda k: f"greatest(0, least(size, floor(target)::bigint - {start(k)}))"
+    taken = " + ".join(got(k) for k in range(MOST_PASSES))
+    positions = ", ".join(f"case when {got(k)} > 0 then {_position_sql(f'{start(k)}::double / target')} end as position_{k + 1}" for k in range(MOST_PASSES))
     return f"""
     with sized as (
-        select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '')) as h
+        select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
+            md5(coalesce(doc_id::varchar, '') || ' ' || md5(coalesce(text, ''))) as h
         from documents),
     per as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as place from sized group by source),
-    caps as (select *, case place % {n} {weight} end as weight, ({MOST_PASSES} * source_size)::double as cap from per),
+    caps as (select *, case place % {n} {case(WEIGHTS)} end as weight, ({MOST_PASSES} * source_size)::double as cap from per),
     levels as (
         select *, ((sum(source_size) over ())::double * {SHARE} - coalesce(sum(cap) over filled, 0)) / (sum(weight) over () - coalesce(sum(weight) over filled, 0)) as level
         from caps window filled as (order by cap / weight, place rows between unbounded preceding and 1 preceding)),
     lowest as (select level from levels where level * weight <= cap order by cap / weight, place limit 1),
-    wanted as (select source, place, source_size, coalesce(least(cap, (select level from lowest) * weight), cap) as target from levels),
+    wanted as (
+        select source, case place % {n} {case(STARTS)} end as a, case place % {n} {case(ENDS)} end as b, source_size,
+            coalesce(least(cap, (select level from lowest) * weight), cap) as target
+        from levels),
     placed as (
-        select doc_id, size, w.source_size, target,
+        select doc_id, size, a, b, w.source_size, target,
             coalesce(sum(size) over (partition by s.source order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
         from sized s join wanted w on s.source is not distinct from w.source)
-    select doc_id, size, source_size, target, ({passes})::bigint as taken from placed"""
+    select doc_id, size, source_size, target, ({taken})::bigint as taken, {positions} from placed"""
