@@ -50,7 +50,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+    positions = [F.get("positions", F.lit(k)).alias(f"position_{k + 1}") for k in range(mixing.MOST_PASSES)]
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", *positions)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
