@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget, materialize
+
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 12
 #: Pieces that one pass over the documents holds, in characters.
 BLOCK_CHARS = 4_000_000
 
-MATCHES = "doc_id long, item_id long, distance int, budget int, begin int, end int"
+MATCHES = "doc_id long, text_hash long, item_id long, distance int, budget int, begin int, end int"
 
 
 def normalized(text: Column) -> Column:
@@ -73,9 +75,11 @@ def matches(text: str, items: list[tuple[int, str, int]], automaton) -> Iterator
         item_id, pattern, budget = items[k]
         n, found = len(pattern), None
         exact = [s for s in starts if s >= 0 and text.startswith(pattern, s)]
+        if not budget:  # without edits an item is whole words
+            exact = [s for s in exact if text[s - 1 : s] in ("", " ") and text[s + n : s + n + 1] in ("", " ")]
         if exact:
             found = (0, min(exact), min(exact) + n)
-        else:
+        elif budget:
             spans: list[list[int]] = []
             for s in sorted(starts):  # windows that overlap are verified at once
                 lo, hi = max(0, s - budget), min(len(text), s + n + budget)
@@ -90,26 +94,21 @@ def matches(text: str, items: list[tuple[int, str, int]], automaton) -> Iterator
             yield item_id, found[0], budget, found[1], found[2]
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``doc_id, item_id, distance, budget, begin, end``: one row per document and item that it holds.
+def _found(documents: DataFrame, benchmark: DataFrame, chars_per_edit: int, block_chars: int) -> DataFrame:
+    """``doc_id, text_hash, item_id`` and the match, a row for each item that a row of ``documents`` holds.
 
-    An item is held if its normalized text is within ``length // chars_per_edit`` edits of
-    a substring of the document's; ``begin`` and ``end`` place that in the normalized text.
-    Null and empty items match nothing, nor do null and empty documents. Items shorter than
-    one edit's worth must occur exactly. Repeated rows count once, with the least distance, then
-    place. A null doc_id is kept as a key of its own. Whole texts are searched.
-
-    Items go out in blocks of at most ``block_chars``: tasks hold one block's pieces, and each
-    block is one scan of the documents, so a benchmark of any size is searched whole.
+    Items go out in blocks of at most ``block_chars`` (or one item): tasks and driver hold one block's
+    pieces, and each block is one scan of the documents, so a benchmark of any size is searched whole.
     """
     spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), normalized(F.col("text")).alias("pattern")).where("pattern <> ''").distinct()
+    items = materialize(items.withColumn("h", F.xxhash64("item_id", "pattern")), "items")
     total = items.agg(F.coalesce(F.sum(F.length("pattern")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_chars))
-    texts = documents.select(F.col("doc_id").cast("long"), normalized(F.col("text")).alias("text"))
+    texts = documents.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"), normalized(F.col("text")).alias("text"))
     found = None
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "pattern"), F.lit(blocks)) == block).collect()
+        own = items.where(F.pmod("h", F.lit(blocks)) == block).select("item_id", "pattern").collect()
         held = spark.sparkContext.broadcast([(i, p, edit_budget(len(p), chars_per_edit)) for i, p in sorted(map(tuple, own), key=lambda x: (x[0] is None, x))])
 
         def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -124,17 +123,37 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, chars_per_edi
                 automaton.add_word(piece, (len(piece), at))
             automaton.make_automaton()
             for batch in batches:
-                rows = [(doc, *m) for doc, text in zip(batch["doc_id"], batch["text"], strict=True) if owners and text for m in matches(text, items, automaton)]
-                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "budget", "begin", "end"])
+                rows = [(doc, h, *m) for doc, h, text in zip(batch["doc_id"], batch["text_hash"], batch["text"], strict=True) if owners and text for m in matches(text, items, automaton)]
+                out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "item_id", "distance", "budget", "begin", "end"])
                 yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
 
-        part = texts.mapInPandas(search, MATCHES)
+        part = materialize(texts.mapInPandas(search, MATCHES), "matches")
+        held.destroy()
         found = part if found is None else found.union(part)
+    forget(items)
+    return found
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("binary"))
+
+
+def find_contamination(documents: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``doc_id, item_id, distance, budget, begin, end``: one row per document and item that it holds.
+
+    An item is held if its normalized text is within ``length // chars_per_edit`` edits of
+    a substring of the document's; ``begin`` and ``end`` place that in the normalized text.
+    Null and empty items match nothing, nor do null and empty documents. Items shorter than
+    one edit's worth must occur exactly, as whole words. Repeated rows count once, with the least distance, then
+    place. A null doc_id is kept as a key of its own. Whole texts are searched. An empty table gives no rows.
+    """
     best = F.min(F.struct("distance", "begin", "end", "budget")).alias("m")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.distance", "m.budget", "m.begin", "m.end")
+    found = _found(documents, benchmark, chars_per_edit, block_chars).groupBy("doc_id", "item_id").agg(best)
+    return found.select("doc_id", "item_id", "m.distance", "m.budget", "m.begin", "m.end")
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents`` whose doc_id holds no item; null ids stay."""
-    held = find_contamination(documents, benchmark, **options).select("doc_id").distinct()
-    return documents.join(held, "doc_id", "left_anti").select(documents.columns)
+def decontaminate(documents: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``documents`` that hold no item, with or without a doc_id; of an id with several texts those that hold none stay."""
+    held = _found(documents, benchmark, chars_per_edit, block_chars).select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).distinct()
+    row = documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("row_"), F.col("doc_id").cast("long").alias("own_"), _text_hash().alias("text_hash_"))
+    return row.join(held, (F.col("text_hash_") == F.col("hash_")) & F.col("own_").eqNullSafe(F.col("id_")), "left_anti").select("row_.*")

@@ -3,8 +3,8 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docloom.llm import decontam, langid, mixing, sharding
-from tests.llm.test_decontam import distance, normal
+from docloom.llm import langid, mixing, sharding
+from tests.llm.test_decontam import held, normal
 from tests.llm.test_simhash import classes, plain
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -32,7 +32,7 @@ def test_stages_against_brute_force(spark, sf):
     for i in few:
         text = normal(texts[i]) if i is not None else ""
         if text:
-            assert (i in clean) == (not any(distance(p, text) <= len(p) // decontam.CHARS_PER_EDIT for p in items))
+            assert (i in clean) == all(not p or held(p, text) is None for p in items)
 
     plan = Counter()
     for r in mixing.mix(docs).collect():
@@ -56,6 +56,30 @@ def test_language_stage_by_score_and_without_a_model(spark, sf):
     assert {r["doc_id"] for r in stage(spark, unlabelled, sf).collect()} == want
 
 
+def test_mixing_stage_writes_in_training_order(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is not null").dropDuplicates(["doc_id"])
+    positions = {r["doc_id"]: r["positions"] for r in mixing.mix(docs).collect()}
+    dict(corpus_pipeline.STAGES)["mixing"](spark, docs, sf).write.parquet(str(tmp_path / "mixed"))
+    order = [r["doc_id"] for f in sorted((tmp_path / "mixed").glob("part-*.parquet")) for r in spark.read.parquet(str(f)).select("doc_id").coalesce(1).collect()]
+    seen, line = Counter(), []
+    for i in order:
+        line.append(positions[i][seen[i]])
+        seen[i] += 1
+    assert line == sorted(line) and len(line) == sum(map(len, positions.values())) and max(seen.values()) == 2
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, sf):
+    names = "h, part, s, last, copy, size, tie, position, fp, text_hash, component, rank, row_, id_, hash_, g, d, pieces, alone, item, lang_pred, score".split(", ")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), sf)
+        assert none.count() == 0, name
+        wide = docs.withColumns({n: F.lit(f"own {n}") for n in names})
+        got = stage(spark, wide, sf)
+        assert [c for c in got.columns if c != "shard"] == wide.columns, name
+        assert all(r[n] == f"own {n}" for r in got.select(*names).collect() for n in names), name
+
+
 def test_run_applies_all_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
