@@ -1,8 +1,8 @@
 """Sharding by vector bin packing.
 
 Groups of equal texts are vectors of bytes, tokens and rows. Each goes, largest first, to
-the shard whose residual capacity has the highest dot product with it. Groups too large
-for a shard are split; small ones are packed as hash cells, so that what is packed stays
+the shard whose residual capacity has the highest dot product with it. Groups larger than
+a shard are split; the tail of small ones is packed as hash cells, so that what is packed stays
 bounded while every document follows its group.
 """
 
@@ -21,8 +21,10 @@ from .common import materialize, word_count
 SHARDS, OVERHEAD, LAW = 40, 16, "bytes"
 #: Cells that small groups are hashed to, for each shard; parts of each shard that are numbered in one task.
 CELLS, NUMBERED = 512, 64
-#: A group above this share of a shard's bytes is packed by itself, in pieces of at most that.
-HEAVY = 1 / 8
+#: A group above this share of a shard's bytes is packed by itself; one above a whole shard's in pieces.
+HEAVY = 1 / 512
+#: Pieces of a shard's size, at least, that a group larger than a shard is split into.
+PIECES = 4
 
 
 def pack(vectors: np.ndarray, shards: int = SHARDS) -> np.ndarray:
@@ -66,9 +68,8 @@ def _item(shards: int, cells: int) -> Column:
 def _plan(sized: DataFrame, shards: int, cells: int, heavy: float) -> tuple[DataFrame, DataFrame]:
     """The heavy groups with their pieces, and the shard of each item; both are bounded by the parameters."""
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    limit = max(1, int(total / shards * heavy))
-    large = sized.groupBy("g").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > limit)
-    large = materialize(large.select("g", F.ceil(F.col("bytes") / limit).cast("int").alias("pieces")), "large")
+    large = sized.groupBy("g").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > total / shards * heavy)
+    large = materialize(large.select("g", F.when(F.col("bytes") * shards > total, F.ceil(F.col("bytes") * shards * PIECES / max(1, total))).otherwise(1).cast("int").alias("pieces")), "large")
     items = sized.join(F.broadcast(large), "g", "left").groupBy(F.col("pieces").isNotNull().alias("alone"), _item(shards, cells).alias("item"))
     items = items.agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
 
@@ -98,11 +99,12 @@ def shard(documents: DataFrame, shards: int = SHARDS, cells: int = CELLS, heavy:
 
     ``size``: UTF-8 bytes plus 16; a null text has no bytes and checksum 0. The law is ``bytes``: shards' sizes
     are near equal. Rows with equal texts (nulls are equal) share a shard, unless they
-    weigh over ``heavy`` of one; then pieces of the group, by hash of doc_id, are placed as groups.
+    weigh more than one; then pieces of the group, by hash of doc_id, are placed as groups. A single
+    text above a shard's size stays whole, and its shard is as much larger.
     ``slot`` numbers a shard's rows from 0 without gaps, by hash, doc_id and checksum.
     ``grown_shard`` is null under this law. Repeated rows stay; an empty table gives no rows.
 
-    Groups are summed before the shuffle. At most ``shards / heavy`` groups are heavy, and
+    Groups are summed before the shuffle. At most ``shards / heavy`` groups weigh over ``heavy`` of a shard, and
     with the cells they are all that is packed in one task, whatever the table's size.
     Slots are prefix counts over parts of each shard, then row numbers within a part.
     """

@@ -55,6 +55,38 @@ def test_pack_goes_where_the_dot_product_is_highest():
         residual[got[i]] -= scaled[i]
 
 
+def test_only_groups_larger_than_a_shard_are_split(spark):
+    rows = [(i, f"{i} " + "x" * 180) for i in range(2000)] + [(5000 + i, "y" * 84) for i in range(40)] + [(6000 + i, "z" * 184) for i in range(150)]
+    got = sharding.shard(spark.createDataFrame([(i, t, "s", 1, 2) for i, t in rows], SCHEMA)).collect()
+    shards = lambda low: {r["shard"] for r in got if low <= r["doc_id"] < low + 1000}
+    assert len(shards(5000)) == 1 and len(shards(6000)) >= 3
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) <= 1.1 * sum(sizes.values()) / 40
+
+
+def test_shards_of_groups_against_a_plain_packing(spark):
+    rng = random.Random(4)
+    groups = [(n, "a " * n, rng.randint(1, 3)) for n in rng.sample(range(1, 400), 60)]
+    rows = [(100 * g + k, t, "s", 1, 2) for g, (_, t, copies) in enumerate(groups) for k in range(copies)]
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard(spark.createDataFrame(rows, SCHEMA), 5, heavy=0).collect()}
+    vector = {g: ((2 * n + 16) * c, n * c, c) for g, (n, _, c) in enumerate(groups)}
+    share = [sum(v[k] for v in vector.values()) / 5 for k in range(3)]
+    left = [[1.0, 1.0, 1.0] for _ in range(5)]
+    assert len({v[0] for v in vector.values()}) == 60 or len(vector) == 60
+    for g, v in sorted(vector.items(), key=lambda x: -x[1][0]):
+        scaled = [a / b for a, b in zip(v, share, strict=True)]
+        room = [i for i in range(5) if left[i][0] >= scaled[0]]
+        shard = got[100 * g]
+        assert all(got[100 * g + k] == shard for k in range(groups[g][2]))
+        if room:  # equal sizes may come in either order, so only what the packing must maximise is compared
+            value = {i: sum(a * b for a, b in zip(left[i], scaled, strict=True)) for i in room}
+            assert shard in room and value[shard] >= max(value.values()) - 1e-9 or sum(v[0] == w[0] for w in vector.values()) > 1
+        for k in range(3):
+            left[shard][k] -= scaled[k]
+
+
 def test_empty_and_few(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert sharding.shard(none).count() == 0 and sharding.sharded_documents(none).count() == 0
