@@ -8,6 +8,7 @@ a document's languages are its words' mean posteriors.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -34,8 +35,10 @@ AFFIXES = 6
 
 
 @cache
-def _is_letter() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+def _kinds() -> np.ndarray:
+    """1 for letters, 2 for the marks that combine with them, else 0."""
+    kind = unicodedata.category
+    return np.fromiter(({"L": 1, "M": 2}.get(kind(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000)
 
 
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
@@ -62,13 +65,22 @@ class Words:
         return out
 
 
-def words(text: str) -> Words:
-    """A word is a run of letters, lower-cased."""
+def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased code points, spaces for all that isn't in a word, and where words start and end in them."""
     cps = np.concatenate([[np.uint32(32)], code_points(text.lower()), [np.uint32(32)]]).astype(np.uint32)
-    letter = _is_letter()[cps]
-    cps = np.where(letter, cps, np.uint32(32))
-    edge = np.diff(letter.astype(np.int8))
-    start, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+    kind = _kinds()[cps]
+    inside = kind > 0
+    if (kind == 2).any():  # marks before a run's first letter are not in a word
+        inside &= np.cumsum(kind == 1) > np.maximum.accumulate(np.where(inside, 0, np.cumsum(kind == 1)))
+    cps = np.where(inside, cps, np.uint32(32))
+    edge = np.diff(inside.astype(np.int8))
+    return cps, np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+
+
+def words(text: str) -> Words:
+    """A word is a letter with the letters and marks that follow it, lower-cased."""
+    cps, start, end = spans(text)
+    letter = cps != 32
     if not len(start):
         return Words(np.empty((0, AFFIXES + 1), np.uint32), np.empty(0, np.uint32), start)
     size = end - start
@@ -141,6 +153,16 @@ class Model:
                 at += 1
             yield from self._predict(parts)
 
+    def label(self, text: str | None) -> list[tuple[str, str, float]]:
+        """Each word of a text, in order, with its language and posterior; none if nothing was learned."""
+        cps, start, end = spans(text or "")
+        if not self.languages or not len(start):
+            return []
+        gamma = posteriors(words(text or "").emissions(self.weights), chains(np.array([len(start)]), CHAIN), self.transition)[0]
+        best = gamma.argmax(axis=1)
+        written = ["".join(map(chr, cps[a:b].tolist())) for a, b in zip(start, end, strict=True)]
+        return [(w, self.languages[k], float(min(1.0, g))) for w, k, g in zip(written, best.tolist(), gamma.max(axis=1).tolist(), strict=True)]
+
     def _predict(self, parts: list[Words]) -> Iterator[tuple[str, float]]:
         counts = np.array([len(p) for p in parts])
         if not self.languages or not counts.sum():
@@ -242,6 +264,22 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def word_labels(documents: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, words`` for every row: the words of code-switched text, lower-cased and in order, each with its language and posterior.
+
+    ``words`` is empty for null texts, texts without a letter, and if nothing was learned.
+    """
+    held = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = pa.struct([("word", pa.string()), ("lang", pa.string()), ("score", pa.float64())])
+        for batch in batches:
+            got = [[dict(zip(("word", "lang", "score"), w, strict=True)) for w in held.value.label(t)] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(word))], ["doc_id", "words"])
+
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, words array<struct<word string, lang string, score double>>")
+
+
 def predicted(documents: DataFrame, model: Model, name: str = "lang_pred", least: float = 0.0) -> DataFrame:
     """``documents`` with the column ``name``, the predicted language, ``und`` below the score ``least``; a column of that name is replaced. Rows stay where they are."""
     held = documents.sparkSession.sparkContext.broadcast(model)

@@ -81,3 +81,45 @@ def test_query(spark, sf):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     held = [r for r in op8_language_id(spark, sf).where("held_out").collect() if truth[r["doc_id"]]]
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) / len(held) > 0.9
+
+
+def test_marks_stay_in_words_and_words_get_labels(spark):
+    assert len(langid.words("हिन्दी में लिखा गया वाक्य")) == 5 and len(langid.words("\u0301\u0301 a\u0301b \u0301")) == 1
+    model = langid.fit(["the cat and the dog of the house", "el gato y el perro de la casa"] * 4, ["en", "es"] * 4)
+    table = spark.createDataFrame([(1, "the dog y el gato"), (2, None), (3, "12")], "doc_id long, text string")
+    got = {r["doc_id"]: [(w["word"], w["lang"]) for w in r["words"]] for r in langid.word_labels(table, model).collect()}
+    assert got == {1: [("the", "en"), ("dog", "en"), ("y", "es"), ("el", "es"), ("gato", "es")], 2: [], 3: []}
+
+
+def test_query_against_plain_forward_backward(spark, sf):
+    """Each document's mean posterior by sums over paths of its chains, word by word."""
+    import math
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs).collect()}
+    k, trans = len(model.languages), [[math.exp(x) for x in row] for row in model.transition.tolist()]
+    checked = 0
+    for r in docs.collect():
+        w = langid.words(r["text"] or "")
+        if not 0 < len(w) <= 300:
+            continue
+        e = [[math.exp(x - max(row)) for x in row] for row in w.emissions(model.weights).tolist()]
+        total = [0.0] * k
+        for at in range(0, len(e), langid.CHAIN):
+            chain = e[at : at + langid.CHAIN]
+            ahead = [chain[0]]
+            for row in chain[1:]:
+                new = [sum(ahead[-1][i] * trans[i][j] for i in range(k)) * row[j] for j in range(k)]
+                ahead.append([x / sum(new) for x in new])
+            behind = [[1.0] * k]
+            for row in chain[:0:-1]:
+                new = [sum(trans[i][j] * row[j] * behind[-1][j] for j in range(k)) for i in range(k)]
+                behind.append([x / sum(new) for x in new])
+            for a, b in zip(ahead, behind[::-1], strict=True):
+                both = [x * y for x, y in zip(a, b, strict=True)]
+                total = [t + x / sum(both) for t, x in zip(total, both, strict=True)]
+        best = max(range(k), key=lambda j: total[j])
+        assert got[r["doc_id"]][0] == model.languages[best] and abs(got[r["doc_id"]][1] - total[best] / len(e)) < 1e-4
+        checked += 1
+    assert checked > 50
