@@ -50,17 +50,26 @@ def test_targets_and_takes(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(table.repartition(7)).collect()))
 
 
-def test_positions_follow_the_schedule():
+def test_positions_follow_the_schedule(spark):
     """The integral of the linear weight up to a position is the share of demand met."""
     from pyspark.sql import functions as F
 
-    spark = mixing.F  # noqa: F841
-    for start, end in ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0)):
-        for share in (0.0, 0.1, 0.5, 0.9, 1.0):
-            want = share * (start + end) / 2
-            x = 2 * want / (start + max(0.0, start**2 + 2 * (end - start) * want) ** 0.5)
-            assert abs(start * x + (end - start) * x * x / 2 - want) < 1e-12
-    assert F is not None
+    cases = [(share, start, end) for start, end in ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0)) for share in (0.0, 0.1, 0.5, 0.9, 1.0)]
+    got = spark.createDataFrame(cases, "share double, a double, b double").select("*", mixing.position(F.col("share"), F.col("a"), F.col("b")).alias("x")).collect()
+    for r in got:
+        assert abs(r["a"] * r["x"] + (r["b"] - r["a"]) * r["x"] ** 2 / 2 - r["share"] * (r["a"] + r["b"]) / 2) < 1e-12
+
+
+def test_every_pass_has_its_own_position(spark):
+    for r in mixing.mix(spark.createDataFrame(docs(), SCHEMA)).collect():
+        assert len(r["positions"]) == r["copies"] and r["positions"] == sorted(set(r["positions"])) and (not r["copies"] or r["position"] == r["positions"][0])
+
+
+def test_rows_without_ids_are_taken_apart(spark):
+    table = spark.createDataFrame([(None, f"w{i} " * 10, "a", i) for i in range(100)] + [(1, "x " * 200, "b", 0)], "doc_id long, text string, source string, last int")
+    plan = sum(r["copies"] for r in mixing.mix(table).collect())
+    out = mixing.mixed_documents(table)
+    assert out.columns == table.columns and out.count() == plan
 
 
 def test_documents_as_often_as_taken(spark):
