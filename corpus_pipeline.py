@@ -22,8 +22,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = langid.train(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    keep = langid.predicted(docs, model, least=LEAST_SCORE).where(F.col("lang_pred") != langid.UNKNOWN)
-    return keep.select(docs.columns)
+    name = "lang_pred"
+    while name in docs.columns:  # a column of the documents stays as it is
+        name += "_"
+    return langid.predicted(docs, model, name, LEAST_SCORE).where(F.col(name) != langid.UNKNOWN).drop(name)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +34,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, with or without an id."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, written in order of their training positions."""
     return mixing.mixed_documents(docs)
 
 
