@@ -245,10 +245,12 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     best = keys.groupBy("component").agg(F.min("rank").alias("best"))
     judged = keys.join(best, "component").select(F.col("rank.doc_id").alias("id"), F.col("rank.text_hash").alias("h"), "count", (F.col("rank") == F.col("best")).alias("stays"))
     judged = materialize(judged, "judged")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(F.col("text").cast("binary")) == F.col("h"))
-    left = documents.join(judged.where("not stays"), same, "left_anti")
-    repeated = judged.where("stays and count > 1")
+    judged = judged.select(F.col("id").alias("id_"), F.col("h").alias("hash_"), F.col("count").alias("count_"), "stays")
+    row = documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("row_"), F.col("doc_id").cast("long").alias("own_"), F.xxhash64(F.col("text").cast("binary")).alias("text_hash_"))
+    same = (F.col("text_hash_") == F.col("hash_")) & F.col("own_").eqNullSafe(F.col("id_"))
+    left = row.join(judged.where("not stays"), same, "left_anti")
+    repeated = judged.where("stays and count_ > 1")
     if repeated.isEmpty():
-        return left.select(documents.columns)
-    one = left.join(repeated, same, "left_semi").groupBy(F.col("doc_id").cast("long").alias("id"), _text_hash().alias("h")).agg(F.min(F.struct(*documents.columns)).alias("row"))
-    return left.join(repeated, same, "left_anti").select(documents.columns).union(one.select("row.*"))
+        return left.select("row_.*")
+    one = left.join(repeated, same, "left_semi").groupBy("own_", "text_hash_").agg(F.min("row_").alias("row_"))
+    return left.join(repeated, same, "left_anti").select("row_.*").union(one.select("row_.*"))
