@@ -20,6 +20,10 @@ BLUEPRINT = f"bp bigint, sections array<{SECTION}>"
 #: Kinds of activity without a builder.
 UNBUILT = ("h5pactivity", "scorm")
 NAME_LIMIT = 255
+#: Most characters of a course's names.
+FULL_NAME_LIMIT, SHORT_NAME_LIMIT = 254, 100
+#: Jumps of a lesson's answers that name no page.
+JUMPS = ("", "next", "end", "this")
 TOLERANCE = "0.0001"
 
 
@@ -76,6 +80,45 @@ def long_names(blueprints: DataFrame, most: int = NAME_LIMIT) -> DataFrame:
     return titles.where(F.char_length("title") > most).select("bp", F.concat("path", F.lit("/title")).alias("path"), F.char_length("title").alias("chars"))
 
 
+def long_course_names(courses: DataFrame) -> DataFrame:
+    """The other columns and ``field, chars`` of course names that are too long. Courses have ``fullname`` and ``shortname``; null ones are not too long."""
+    field = lambda name, most: F.when(F.char_length(name) > most, F.struct(F.lit(name).alias("field"), F.char_length(name).alias("chars")))
+    rows = courses.withColumn("f", F.explode(F.array_compact(F.array(field("fullname", FULL_NAME_LIMIT), field("shortname", SHORT_NAME_LIMIT)))))
+    return rows.drop("fullname", "shortname").select("*", "f.*").drop("f")
+
+
+def feedback_range_errors(items: DataFrame) -> DataFrame:
+    """Numeric feedback ``items(type, min, max)`` whose least value is over the greatest; a null bound is none."""
+    return items.where((F.col("type") == "numeric") & (F.col("min") > F.col("max")))
+
+
+def broken_jumps(pages: DataFrame) -> DataFrame:
+    """``lesson, page, answer, jumpto``: answers that jump to a page their lesson doesn't have. ``pages(lesson, page, jumps array<string>)``."""
+    each = pages.select("lesson", "page", F.posexplode("jumps").alias("answer", "jumpto")).where(~F.col("jumpto").isin(*JUMPS))
+    known = pages.select(F.col("lesson").alias("of"), F.col("page").alias("target"))
+    return each.join(known, (F.col("lesson") == F.col("of")) & (F.col("jumpto") == F.col("target")), "left_anti")
+
+
+def regenerated(blueprints: DataFrame, edits: DataFrame) -> DataFrame:
+    """``blueprints`` with section ``at`` replaced by ``section``, and ``missing``: ids that something outside refers to and the new section lacks.
+
+    With any missing the old section stays; ``missing`` is null where nothing is edited. ``edits(bp, at, section)``, one for each blueprint at most.
+    """
+    target = F.concat(F.lit("/sections/"), F.col("at").cast("string")).alias("path")
+    required = required_ids(blueprints, edits.select("bp", target))
+    have = node_ids(edits.select("bp", F.array("section").alias("sections"))).select("bp", "id").distinct()
+    lost = required.join(have, ["bp", "id"], "left_anti").groupBy("bp").agg(F.count(F.lit(1)).alias("lost"))
+    rows = blueprints.join(edits.join(lost, "bp", "left").select("bp", "at", "section", F.coalesce("lost", F.lit(0)).alias("missing")), "bp", "left")
+    new = F.transform("sections", lambda s, i: F.when((F.col("missing") == 0) & (i == F.col("at")), F.col("section")).otherwise(s))
+    return rows.select(*[new.alias(c) if c == "sections" else c for c in blueprints.columns], "missing")
+
+
+def enum_errors(blueprints: DataFrame, types: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
+    """``bp, path, value, allowed``: unknown kinds of activities and questions, with what is allowed there."""
+    wrong = lambda rows, field, values: rows.where(~F.col(field).isin(*values)).select("bp", F.concat("path", F.lit(f"/{field}")).alias("path"), F.col(field).alias("value"), F.lit(", ".join(values)).alias("allowed"))
+    return wrong(activities(blueprints), "type", types).union(wrong(questions(blueprints), "qtype", kinds))
+
+
 def broken_references(blueprints: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """``bp, path, kind, ref``: references to activities and objectives that don't exist, and to sources if ``sources(bp, id)`` are given."""
     ids = node_ids(blueprints).select("bp", F.col("kind").alias("of"), F.col("id").alias("target"))
@@ -189,19 +232,20 @@ def resolved(steps: DataFrame, kinds: DataFrame) -> DataFrame:
     """``bp, step, status``: built steps are skipped, steps under a parent that isn't built fail, steps without a builder are for people, the rest is created or fails.
 
     ``steps`` with ``done`` and ``fails`` (booleans); ``kinds(bp, path, type)`` of activities. Parents are at most
-    two levels up, so two joins settle what a chain of failures does.
+    three levels up, and all in the step's blueprint: one window gathers them, looked up by path.
     """
     rows = steps.join(kinds.select("bp", "path", "type"), ["bp", "path"], "left")
     own = F.when(F.col("done"), "skipped").when(F.coalesce(F.col("type").isin(*UNBUILT), F.lit(False)), "manual").when(F.col("fails"), "failed").otherwise("created")
     rows = rows.withColumn("own", own)
-    up = rows.select(F.col("bp").alias("b"), F.col("path").alias("p"), F.col("own").alias("up"), F.col("parent_path").alias("up_parent"))
-    top = rows.select(F.col("bp").alias("b2"), F.col("path").alias("p2"), F.col("own").alias("top"), F.col("parent_path").alias("top_parent"))
-    course = rows.where("kind = 'course'").select(F.col("bp").alias("b3"), F.col("own").alias("course"))
-    out = rows.join(up, (F.col("bp") == F.col("b")) & (F.col("parent_path") == F.col("p")), "left").join(top, (F.col("bp") == F.col("b2")) & (F.col("up_parent") == F.col("p2")), "left").join(course, F.col("bp") == F.col("b3"), "left")
+    parents = F.collect_list(F.when(F.col("kind") != "activity", F.struct("path", F.struct("own", "parent_path")))).over(Window.partitionBy("bp"))
+    out = rows.withColumn("parents", F.map_from_entries(parents))
+    for name, path in (("up", "parent_path"), ("top", "up_parent"), ("course", "top_parent")):
+        found = F.try_element_at("parents", F.coalesce(path, F.lit("")))
+        out = out.withColumns({name: found["own"], f"{name}_parent": found["parent_path"]})
     built = lambda c: c.isin("created", "skipped")
     # a skipped step stands even where what is above it failed
     course_ok = F.col("course").isNull() | built(F.col("course"))
-    top_ok = F.col("top").isNull() | (F.col("top") == "skipped") | (built(F.col("top")) & (F.col("top_parent").isNull() | course_ok))
+    top_ok = F.col("top").isNull() | (F.col("top") == "skipped") | (built(F.col("top")) & course_ok)
     up_ok = F.col("up").isNull() | (F.col("up") == "skipped") | (built(F.col("up")) & top_ok)
     status = F.when(F.col("own") == "skipped", "skipped").when(~up_ok, "failed").otherwise(F.col("own"))
     return out.select("bp", "step", "kind", "id", status.alias("status"))

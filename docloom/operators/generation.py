@@ -140,22 +140,40 @@ def shown_progress(status: Column, progress: Column, finished: Column, stage: Co
 
 
 def json_block(text: Column) -> Column:
-    """The JSON in an answer: a fenced block if there is one, else from the first brace to the last; of a cut answer, to its end."""
+    """The JSON in an answer: a fenced block if there is one, else the first balanced block (marks in strings don't count); of a cut answer, to its end."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*\n(.*?)```", 1)
     opened = F.regexp_extract(text, r"(?s)([{\[].*)\z", 1)
-    whole = F.regexp_extract(opened, r"(?s)\A(.*[}\]])", 1)
-    return F.when(fenced != "", F.trim(fenced)).when(whole != "", whole).otherwise(opened)
+    parts = F.regexp_extract_all(opened, F.lit(rf'(?s){STRING}|[{{}}\[\]]|[^"{{}}\[\]]++|"'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("read"), F.lit(0).alias("end"))
+
+    def step(s: Column, part: Column) -> Column:
+        depth = s["depth"] + F.when(part.isin("{", "["), 1).when(part.isin("}", "]"), -1).otherwise(0)
+        read = s["read"] + F.char_length(part)
+        return F.struct(depth.alias("depth"), read.alias("read"), F.when((s["end"] == 0) & (depth == 0), read).otherwise(s["end"]).alias("end"))
+
+    end = F.aggregate(parts, start, step)["end"]
+    return F.when(fenced != "", F.trim(fenced)).when(end > 0, F.substr(opened, F.lit(1), end)).otherwise(opened)
 
 
 STRING = r'"(?:[^"\\]++|\\.)*+"'
+#: Comments, strings in either quotes, and what is between them.
+LEXEME = rf"(?s)//[^\n]*|/\*.*?\*/|{STRING}|'(?:[^'\\]++|\\.)*+'|[^\"'/]++|."
 
 
 def repaired_json(text: Column) -> Column:
-    """Comments and trailing commas out, Python's literals as JSON's, open strings and brackets closed; strings stay as they are."""
-    outside = rf'(?=(?:[^"]++|{STRING})*+\z)'
-    text = F.regexp_replace(text, rf"(?s)({STRING})|//[^\n]*|/\*.*?\*/", "$1")
-    for word, literal in (("True", "true"), ("False", "false"), ("None", "null"), ("NaN", "0")):
-        text = F.regexp_replace(text, rf"\b{word}\b{outside}", literal)
+    """Comments and trailing commas out, Python's literals and quotes as JSON's, open strings and brackets closed; strings stay as they are."""
+    parts = F.regexp_extract_all(text, F.lit(LEXEME), F.lit(0))
+
+    def mended(part: Column, i: Column) -> Column:
+        inner = F.replace(F.replace(F.substr(part, F.lit(2), F.char_length(part) - 2), F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"'))
+        quoted = part.rlike(r"(?s)\A'.*'\z") & (F.char_length(part) > 1) & F.get(parts, i - 1).rlike(r"[{\[,:]\s*\z")
+        plain = part
+        for word, literal in (("True", "true"), ("False", "false"), ("None", "null"), ("NaN", "0")):
+            plain = F.regexp_replace(plain, rf"\b{word}\b", literal)
+        comment = part.rlike(r"\A/[/*]")
+        return F.when(part.startswith('"'), part).when(quoted, F.concat(F.lit('"'), inner, F.lit('"'))).when(comment, "").otherwise(plain)
+
+    text = F.array_join(F.transform(parts, mended), "")
     start = F.struct(F.lit("").alias("stack"), F.lit(False).alias("inside"), F.lit(False).alias("escaped"))
 
     def step(s: Column, c: Column) -> Column:

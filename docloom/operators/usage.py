@@ -77,7 +77,9 @@ def by_job(log: DataFrame, jobs: DataFrame, period: str = "", most: int = REPORT
 
 def by_user(log: DataFrame, users: DataFrame, period: str = "") -> DataFrame:
     """Users by cost, with ``name`` from ``users(userid, name)`` ('' if gone)."""
-    return in_period(log, period).groupBy("userid").agg(*sums()).join(users.select("userid", "name"), "userid", "left").fillna("", ["name"]).orderBy(F.desc("cost"), "userid")
+    rows = in_period(log, period).groupBy("userid").agg(*sums())
+    named = rows.join(users.select("userid", "name"), "userid", "left").fillna("", ["name"])
+    return named.select("userid", "name", *[c for c in rows.columns if c != "userid"]).orderBy(F.desc("cost"), "userid")
 
 
 def by_model(log: DataFrame, period: str = "") -> DataFrame:

@@ -7,12 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions.text import key_for
 from ..operators import blueprints as B
+from ..sources.files import shared_folder
 from ..sources.tables import relation, table
 from .registry import query
 
 
+#: Folders of the nested documents by application and input.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def blueprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per blueprint."""
+    """One row per blueprint. The nested documents are written once for each input, so what is flattened from them is a scan without shuffles."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        path = shared_folder(spark)
+        nested(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "bp").write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relations ``bp_*`` as documents."""
     from pyspark.sql.types import StructType
 
     read = lambda name: relation(spark, sf_dir, name)
@@ -263,5 +278,62 @@ def build_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bp_shape_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two kinds of activity and one of question are not allowed here; the tests break the other keywords."""
-    types = tuple(t for t in B.ACTIVITY_TYPES if t not in ("label", "scorm"))
-    return B.shape_errors(blueprints(spark, sf_dir), types, tuple(t for t in B.QUESTION_TYPES if t != "essay"))
+    return B.shape_errors(blueprints(spark, sf_dir), TYPES, KINDS)
+
+
+TYPES, KINDS = tuple(t for t in B.ACTIVITY_TYPES if t not in ("label", "scorm")), tuple(t for t in B.QUESTION_TYPES if t != "essay")
+
+
+@query(
+    f"""select bp, {PATH} || '/activities/' || ai || '/type' as path, type as value, '{", ".join(TYPES)}' as allowed from bp_activity where type in ('label', 'scorm')
+    union all select bp, {PATH} || '/activities/' || ai || '/questions/' || qi || '/qtype', qtype, '{", ".join(KINDS)}' from bp_question where qtype = 'essay'""",
+    ALL,
+)
+def bp_enum_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.enum_errors(blueprints(spark, sf_dir), TYPES, KINDS)
+
+
+@query(
+    f"""with {NODES}, required as (
+        select distinct i.bp, i.id from nodes i where (i.path = '/sections/0' or starts_with(i.path, '/sections/0/')) and (i.path = '/sections/0' or exists (
+            select 1 from (select bp, si, need as id from bp_activity where need is not null union all select bp, si, objective_ref from bp_question) r where r.bp = i.bp and r.id = i.id and r.si <> 0))),
+    fresh as (select bp, id from nodes where path = '/sections/0' or starts_with(path, '/sections/0/objectives/') or path = '/sections/0/activities/0' or starts_with(path, '/sections/0/activities/0/')),
+    lost as (select bp, count(*) as n from required r where bp % 3 = 0 and not exists (select 1 from fresh f where f.bp = r.bp and f.id = r.id) group by 1)
+    select bp, coalesce(n, 0) as missing, coalesce(n, 0) = 0 as replaced, case when n is null then 'new' else title end as title
+    from (select bp, title from bp_container where si = 0 and ui = -1 and bp % 3 = 0) c left join lost using (bp)""",
+    ALL,
+)
+def bp_regenerated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each third blueprint's first section comes back with one activity and no subsections."""
+    every = blueprints(spark, sf_dir)
+    first = F.get("sections", F.lit(0))
+    new = first.withField("title", F.lit("new")).withField("activities", F.slice(first["activities"], F.lit(1), F.lit(1))).withField("subsections", F.slice(first["subsections"], F.lit(1), F.lit(0)))
+    made = B.regenerated(every, every.where("bp % 3 = 0").select("bp", F.lit(0).alias("at"), new.alias("section")))
+    return made.where("missing is not null").select("bp", "missing", (F.col("missing") == 0).alias("replaced"), F.get("sections", F.lit(0))["title"].alias("title"))
+
+
+@query(
+    """with names as (select p_partkey, repeat(p_name || ' ', cast(p_partkey % 12 as int)) as fullname, p_brand || repeat('x', cast(p_partkey % 120 as int)) as shortname from part)
+    select p_partkey, 'fullname' as field, length(fullname)::int as chars from names where length(fullname) > 254 union all select p_partkey, 'shortname', length(shortname)::int from names where length(shortname) > 100"""
+)
+def bp_long_course_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey").cast("int")
+    names = table(spark, sf_dir, "part").select("p_partkey", F.repeat(F.concat("p_name", F.lit(" ")), n % 12).alias("fullname"), F.concat("p_brand", F.repeat(F.lit("x"), n % 120)).alias("shortname"))
+    return B.long_course_names(names)
+
+
+@query("select l_orderkey as bp, l_linenumber as item from lineitem where l_suppkey % 2 = 0 and l_partkey % 50 > l_suppkey % 70")
+def bp_feedback_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("l_suppkey") % 2 == 0, "numeric").otherwise("text")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("bp"), F.col("l_linenumber").alias("item"), kind.alias("type"), (F.col("l_partkey") % 50).alias("min"), (F.col("l_suppkey") % 70).alias("max"))
+    return B.feedback_range_errors(items).select("bp", "item")
+
+
+JUMPS = "jumps as (select l_orderkey as lesson, 'p' || l_linenumber as page, unnest([0, 1]) as answer, unnest(['p' || (l_partkey % 8), split_part('next,,end,this', ',', cast(l_suppkey % 4 + 1 as int))]) as jumpto from lineitem)"
+
+
+@query(f"with {JUMPS} select * from jumps j where jumpto not in ('', 'next', 'end', 'this') and not exists (select 1 from lineitem i where i.l_orderkey = j.lesson and 'p' || i.l_linenumber = j.jumpto)")
+def bp_lesson_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = F.array(F.concat(F.lit("p"), (F.col("l_partkey") % 8).cast("string")), F.expr("split_part('next,,end,this', ',', cast(l_suppkey % 4 + 1 as int))"))
+    pages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("lesson"), F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("page"), answers.alias("jumps"))
+    return B.broken_jumps(pages)

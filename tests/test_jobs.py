@@ -28,3 +28,26 @@ def test_repaired_json(spark):
     df = spark.createDataFrame([(b,) for b in broken], "t string")
     got = [json.loads(r[0]) for r in df.select(G.repaired_json(G.json_block(F.col("t")))).collect()]
     assert got == [{"a": [1, 2]}, {"a": 'say "} // no', "b": None}, {"a": {"b": [1, {"c": "half"}]}}, {"t": True, "f": False, "n": 0}, {"a": 1}]
+
+
+def test_json_out_of_answers(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from docloom.operators import generation as G
+
+    cases = [
+        ('So: {"a": 1} as in {b}', {"a": 1}),
+        ("{'a': 'x \"y\" it\\'s', 'b': [True, None]}", {"a": 'x "y" it\'s', "b": [True, None]}),
+        ('{"a": "True, it\'s // no comment", /* one */ "b": [1, 2,], // two\n}', {"a": "True, it's // no comment", "b": [1, 2]}),
+        ('```json\n{"a": "}"}\n``` and more', {"a": "}"}),
+        ('{"a": ["}", {"b": "cut', {"a": ["}", {"b": "cut"}]}),
+        ('[{"a": "\\"}"}] }', [{"a": '"}'}]),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = rows.select("i", G.repaired_json(G.json_block(F.col("t"))).alias("x")).collect()
+    for r in got:
+        assert json.loads(r["x"]) == cases[r["i"]][1], r
+    long = spark.createDataFrame([("[" + '"True", True, ' * 40_000 + "0]",)], "t string").select(G.repaired_json("t").alias("x")).first()[0]
+    assert json.loads(long)[:2] == ["True", True]
