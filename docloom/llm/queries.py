@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, clustering, codebooks, decontam, langid, mixing, sharding, simhash, substring, toxicity, url_filter
+from . import ann, chat, clustering, codebooks, decontam, langid, mixing, repeats, sharding, simhash, substring, toxicity, url_filter
 
 #: (host, path, action)
 RULES = (
@@ -76,12 +76,16 @@ def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("label")
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_nearest_neighbours, op5_toxicity, op6_mixing, op7_sharding, op8_language_id, op9_chat_formatting, op10_substring_dedup, op11_vector_code_compression, op13_centroid_clustering)}
+    return {f.__name__: f for f in (op1_url_filters, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_nearest_neighbours, op5_toxicity, op6_mixing, op7_sharding, op8_language_id, op9_chat_formatting, op10_substring_dedup, op11_vector_code_compression, op12_suffix_array_dedup, op13_centroid_clustering)}
 
 
 def _op1_sql() -> str:
@@ -102,4 +106,4 @@ def _op1_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": _op1_sql(), "op6_mixing": mixing.oracle_sql(), "op9_chat_formatting": chat.oracle_sql(), "op11_vector_code_compression": codebooks.oracle_sql(), "op13_centroid_clustering": clustering.oracle_sql()}
+    return {"op1_url_filters": _op1_sql(), "op6_mixing": mixing.oracle_sql(), "op9_chat_formatting": chat.oracle_sql(), "op11_vector_code_compression": codebooks.oracle_sql(), "op12_suffix_array_dedup": repeats.oracle_sql(), "op13_centroid_clustering": clustering.oracle_sql()}
