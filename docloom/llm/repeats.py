@@ -124,7 +124,7 @@ def _cut(texts: DataFrame, length: int, piece: int) -> DataFrame:
                 pieces, content, first, count = contexts(text, ends, hashes, length, piece)
                 part = np.searchsorted(ends, first, side="right")
                 start = first - (ends[part] - np.diff(ends, prepend=0)[part]) + bases[part]
-                of = batch.take(pa.array(rows[part]))
+                of = batch.select(["id", "rest", "copies"]).take(pa.array(rows[part]))
                 columns = [pa.array(pieces), pa.array(content), of.column("id"), of.column("rest"), pa.array(start, pa.int32()), pa.array(count, pa.int32()), of.column("copies")]
                 yield pa.RecordBatch.from_arrays(columns, ["piece", "content", "id", "rest", "start", "windows", "copies"])
 
