@@ -304,7 +304,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, s
     rows = identified(docs.select("doc_id", "text"))
     texts, spans = repeated_spans(rows.select("id", "rest", "text"), length, piece, shard, group)
     kept = texts.join(spans, ["id", "rest"]).select("id", "rest", "spans", kept_bytes(F.col("text"), F.col("spans")).alias("kept"))
-    kept = kept.withColumn("sha", F.sha2("kept", 256)).withColumnsRenamed({"id": "id_", "rest": "rest_"})
+    # written, so that the copies of one text (a third of all rows, maybe) are a side of the join that can be split
+    kept = materialize(kept.withColumn("sha", F.sha2("kept", 256)), "kept").withColumnsRenamed({"id": "id_", "rest": "rest_"})
     same = (F.col("id") == F.col("id_")) & (F.col("rest") == F.col("rest_"))
     data = F.col("text").cast("binary")
     none = F.array().cast("array<struct<first: int, end: int>>")
