@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.files import written
+
 ANSWER = "struct<fraction:decimal(6,4)>"
 QUESTION = f"struct<id:string,qtype:string,single:boolean,objective_ref:string,text:string,choices:int,answers:array<{ANSWER}>>"
 ACTIVITY = f"struct<id:string,type:string,title:string,refs:array<string>,url:string,review:boolean,competencies:array<string>,needs:array<string>,questions:array<{QUESTION}>>"
@@ -99,18 +101,79 @@ def broken_jumps(pages: DataFrame) -> DataFrame:
     return each.join(known, (F.col("lesson") == F.col("of")) & (F.col("jumpto") == F.col("target")), "left_anti")
 
 
-def regenerated(blueprints: DataFrame, edits: DataFrame) -> DataFrame:
-    """``blueprints`` with section ``at`` replaced by ``section``, and ``missing``: ids that something outside refers to and the new section lacks.
+def placed(path: Column) -> list[Column]:
+    """Numbers of the section, subsection, activity and question in a node's path; null for levels that the path lacks."""
+    at = lambda level: F.nullif(F.regexp_extract(path, rf"/{level}/([0-9]+)", 1), F.lit("")).cast("int")
+    return [at(level) for level in ("sections", "subsections", "activities", "questions")]
+
+
+def with_node(sections: Column, path: Column, section: Column, subsection: Column, activity: Column, question: Column) -> Column:
+    """``sections`` with the node at ``path`` replaced by the one of its kind; all that is not on the path stays as it is."""
+    si, ui, ai, qi = placed(path)
+
+    def swapped(nodes: Column, at: Column, change: Column) -> Column:
+        return F.transform(nodes, lambda n, i: F.when(i == at, change(n)).otherwise(n))
+
+    def in_activities(box: Column) -> Column:
+        inner = lambda a: F.when(qi.isNull(), activity).otherwise(a.withField("questions", swapped(a["questions"], qi, lambda q: question)))
+        return box.withField("activities", swapped(box["activities"], ai, inner))
+
+    def in_section(s: Column) -> Column:
+        box = lambda u: F.when(ai.isNull(), subsection).otherwise(in_activities(u))
+        below = s.withField("subsections", swapped(s["subsections"], ui, box))
+        return F.when(ui.isNotNull(), below).when(ai.isNotNull(), in_activities(s)).otherwise(section)
+
+    return swapped(sections, si, in_section)
+
+
+def errors(blueprints: DataFrame, sources: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """``bp, rule, path, detail``: what all rules find. ``sources(bp, id)`` and ``texts(bp, text)`` as for the rules that take them."""
+    named = lambda rule, rows, detail: rows.select("bp", F.lit(rule).alias("rule"), "path", detail.alias("detail"))
+    nothing = F.lit("")
+    out = named("shape", shape_errors(blueprints), F.col("keyword")).union(named("duplicate id", duplicate_ids(blueprints), F.col("id")))
+    out = out.union(named("long name", long_names(blueprints), nothing)).union(named("broken reference", broken_references(blueprints, sources), F.col("ref")))
+    out = out.union(named("fractions", fraction_errors(blueprints), nothing)).union(named("gaps", gap_errors(blueprints), nothing))
+    return out.union(named("link without source", unsourced_urls(blueprints, texts), F.col("url"))) if texts is not None else out
+
+
+NODES = {"section": SECTION, "subsection": SUBSECTION, "activity": ACTIVITY, "question": QUESTION}
+
+
+def regenerated(blueprints: DataFrame, edits: DataFrame, sources: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """``blueprints`` with new nodes at any depth, and ``outcome, missing, invalid``, null where nothing is edited.
+
+    ``edits(bp, node_id, section, subsection, activity, question)``, one for each blueprint at most: the id of the node to replace (the first in
+    document order that has it) and its replacement in the column of its kind. The old version stays, with the outcome
+
+    - ``unknown node``: no node has the id, or the replacement is of another kind (its column is null);
+    - ``lost ids``: the new node lacks its own id or one that something outside refers to (``missing`` counts them);
+    - ``invalid``: a rule of ``errors`` finds what it didn't find in the old version (``invalid`` counts that).
 
-    With any missing the old section stays; ``missing`` is null where nothing is edited. ``edits(bp, at, section)``, one for each blueprint at most.
+    Otherwise it is ``replaced``. Only edited blueprints are read for that, and only changed ones are checked.
     """
-    target = F.concat(F.lit("/sections/"), F.col("at").cast("string")).alias("path")
-    required = required_ids(blueprints, edits.select("bp", target))
-    have = node_ids(edits.select("bp", F.array("section").alias("sections"))).select("bp", "id").distinct()
+    asked = written(blueprints.join(edits, "bp"))
+    places = located(asked, edits.select("bp", F.col("node_id").alias("id"))).select(F.col("bp").alias("owner"), "kind", "path")
+    fits = F.coalesce(F.element_at(F.create_map(*[x for k in NODES for x in (F.lit(k), F.col(k).isNotNull())]), F.col("kind")), F.lit(False))
+    changed = with_node(F.col("sections"), F.col("path"), *map(F.col, NODES))
+    asked = asked.join(places, F.col("bp") == F.col("owner"), "left").select("bp", "path", "sections", fits.alias("fits"), F.when(fits, changed).alias("changed"))
+    asked = written(asked)
+    fitting = asked.where("fits")
+    target = fitting.select("bp", F.col("path").alias("target"))
+    required = required_ids(fitting, fitting.select("bp", "path"))
+    within = (F.col("path") == F.col("target")) | F.col("path").startswith(F.concat("target", F.lit("/")))
+    have = node_ids(fitting.select("bp", F.col("changed").alias("sections"))).join(target, "bp").where(within).select("bp", "id").distinct()
     lost = required.join(have, ["bp", "id"], "left_anti").groupBy("bp").agg(F.count(F.lit(1)).alias("lost"))
-    rows = blueprints.join(edits.join(lost, "bp", "left").select("bp", "at", "section", F.coalesce("lost", F.lit(0)).alias("missing")), "bp", "left")
-    new = F.transform("sections", lambda s, i: F.when((F.col("missing") == 0) & (i == F.col("at")), F.col("section")).otherwise(s))
-    return rows.select(*[new.alias(c) if c == "sections" else c for c in blueprints.columns], "missing")
+    # both versions go through the rules at once, as blueprints of their own
+    version = lambda new: F.struct("bp", F.lit(new).alias("new"))
+    both = fitting.select(F.explode(F.array(F.struct(version(False).alias("bp"), "sections"), F.struct(version(True).alias("bp"), F.col("changed").alias("sections")))).alias("v")).select("v.*")
+    twice = lambda rows, c: None if rows is None else rows.select(F.explode(F.array(version(False), version(True))).alias("bp"), c)
+    found = errors(both, twice(sources, "id"), twice(texts, "text")).groupBy("bp.bp", "rule", "path", "detail").agg(F.min("bp.new").alias("new"))
+    new = found.where("new").groupBy("bp").agg(F.count(F.lit(1)).alias("invalid"))
+    outcome = F.when(~F.col("fits"), "unknown node").when(F.col("missing") > 0, "lost ids").when(F.col("invalid") > 0, "invalid").otherwise("replaced")
+    judged = asked.join(lost, "bp", "left").join(new, "bp", "left").select("bp", "fits", "changed", F.coalesce("lost", F.lit(0)).alias("missing"), F.coalesce("invalid", F.lit(0)).alias("invalid"))
+    rows = blueprints.join(judged.withColumn("outcome", outcome), "bp", "left")
+    made = F.when(F.col("outcome") == "replaced", F.col("changed")).otherwise(F.col("sections"))
+    return rows.select(*[made.alias(c) if c == "sections" else c for c in blueprints.columns], "outcome", "missing", "invalid")
 
 
 def enum_errors(blueprints: DataFrame, types: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
@@ -231,13 +294,17 @@ def build_steps(blueprints: DataFrame, existing_course: bool = False) -> DataFra
 def resolved(steps: DataFrame, kinds: DataFrame) -> DataFrame:
     """``bp, step, status``: built steps are skipped, steps under a parent that isn't built fail, steps without a builder are for people, the rest is created or fails.
 
-    ``steps`` with ``done`` and ``fails`` (booleans); ``kinds(bp, path, type)`` of activities. Parents are at most
-    three levels up, and all in the step's blueprint: one window gathers them, looked up by path.
+    ``steps`` with ``done`` and ``fails`` (booleans); ``kinds(bp, path, type)`` of activities, a row for each path. Parents are at most
+    three levels up, and all in the step's blueprint: one window gathers them, looked up by path. Of steps that share
+    a path the first is the parent; a step without a path is nobody's.
     """
     rows = steps.join(kinds.select("bp", "path", "type"), ["bp", "path"], "left")
     own = F.when(F.col("done"), "skipped").when(F.coalesce(F.col("type").isin(*UNBUILT), F.lit(False)), "manual").when(F.col("fails"), "failed").otherwise("created")
     rows = rows.withColumn("own", own)
-    parents = F.collect_list(F.when(F.col("kind") != "activity", F.struct("path", F.struct("own", "parent_path")))).over(Window.partitionBy("bp"))
+    nth = F.row_number().over(Window.partitionBy("bp", "path").orderBy("step"))
+    a_parent = (F.col("kind") != "activity") & F.col("path").isNotNull() & (F.col("nth") == 1)
+    rows = rows.withColumn("nth", nth)
+    parents = F.collect_list(F.when(a_parent, F.struct("path", F.struct("own", "parent_path")))).over(Window.partitionBy("bp"))
     out = rows.withColumn("parents", F.map_from_entries(parents))
     for name, path in (("up", "parent_path"), ("top", "up_parent"), ("course", "top_parent")):
         found = F.try_element_at("parents", F.coalesce(path, F.lit("")))

@@ -1,4 +1,4 @@
-"""Queries of blueprints: nested documents built from the relations ``bp_*``, whose SQL reads those relations as they are."""
+"""Queries of blueprints: nested documents, and SQL over the flat relations ``bp_*`` that hold the same."""
 
 from __future__ import annotations
 
@@ -7,46 +7,40 @@ from pyspark.sql import functions as F
 
 from ..functions.text import key_for
 from ..operators import blueprints as B
-from ..sources.files import shared_folder
 from ..sources.tables import relation, table
 from .registry import query
 
 
-#: Folders of the nested documents by application and input.
-_WRITTEN: dict[tuple[str, str], str] = {}
+def _activities(np: str, owner: str) -> str:
+    """SQL of a container's activities, from its number and id: as ``bp_activity`` and ``bp_question`` have them, but in the row."""
+    na = f"({np} + i)"
+    answer = lambda k, values: f"named_struct('fraction', cast(case ({na} + j) % {k} {values} end as decimal(6,4)))"
+    some = lambda c: f"array_compact(array({c}))"
+    question = f"""named_struct('id', 'q' || cast({na} % 40 + j as string),
+        'qtype', split_part('multichoice,multichoice,truefalse,shortanswer,numerical,essay,gapselect', ',', cast(({na} + j) % 7 + 1 as int)),
+        'single', ({na} + j) % 7 = 0, 'objective_ref', {owner} || '.o' || cast(j % 3 as string),
+        'text', case ({na} + j) % 4 when 0 then 'Fill [[1]] and [[2]]' when 1 then 'Fill [[2]] only' when 2 then 'review: see [[1]]' else 'none' end,
+        'choices', cast({na} % 4 as int),
+        'answers', array({answer(4, "when 0 then 1.0 when 1 then 0.5 when 2 then 0.3333 else 0.0")}, {answer(5, "when 0 then 0.5 when 1 then 0.6667 when 2 then 1.0 else -0.25")}))"""
+    return f"""transform(sequence(0, cast({np} % 4 as int)), i -> named_struct('id', {owner} || '.a' || cast(i % 3 as string),
+        'type', split_part('page,book,label,url,resource,folder,quiz,lesson,assign,forum,glossary,wiki,choice,feedback,h5pactivity,scorm', ',', cast(({np} + i * 7) % 16 + 1 as int)),
+        'title', if({na} % 70 = 0, repeat('a', 256), 'Activity'), 'refs', array('src' || cast({na} % 6 as string)),
+        'url', if({na} % 4 = 0, 'https://x.org/' || cast({na} % 20 as string), null), 'review', {na} % 19 = 0,
+        'competencies', {some(f"if({na} % 3 = 0, 'C' || cast({na} % 4 as string), null)")},
+        'needs', {some(f"case {na} % 5 when 0 then 's1.a0' when 1 then 's9.a9' when 2 then {owner} || '.a0' end")},
+        'questions', if({na} % 3 = 1, transform(sequence(0, cast(1 + {na} % 3 as int)), j -> {question}), array())))"""
 
 
 def blueprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per blueprint. The nested documents are written once for each input, so what is flattened from them is a scan without shuffles."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WRITTEN:
-        path = shared_folder(spark)
-        nested(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "bp").write.parquet(path)
-        _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
-
-
-def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The relations ``bp_*`` as documents."""
-    from pyspark.sql.types import StructType
-
-    read = lambda name: relation(spark, sf_dir, name)
-    q = read("bp_question")
-    some = lambda c: F.array_compact(F.array(c))
-    question = F.struct("id", "qtype", "single", "objective_ref", "text", "choices", F.array(F.struct(F.col("f1").alias("fraction")), F.struct(F.col("f2").alias("fraction"))).alias("answers"))
-    q = q.groupBy("bp", "si", "ui", "ai").agg(F.array_sort(F.collect_list(F.struct("qi", question.alias("q")))).alias("qs"))
-    a = read("bp_activity").join(q.select("bp", "si", "ui", "ai", F.col("qs.q").alias("questions")), ["bp", "si", "ui", "ai"], "left")
-    asked = F.coalesce("questions", F.array().cast(f"array<{B.QUESTION}>"))
-    activity = F.struct("id", "type", "title", F.array("ref").alias("refs"), "url", "review", some(F.col("competency")).alias("competencies"), some(F.col("need")).alias("needs"), asked.alias("questions"))
-    a = a.groupBy("bp", "si", "ui").agg(F.array_sort(F.collect_list(F.struct("ai", activity.alias("a")))).alias("as"))
-    c = read("bp_container").join(a.select("bp", "si", "ui", F.col("as.a").alias("activities")), ["bp", "si", "ui"])
-    inner = F.array_sort(F.collect_list(F.when(F.col("ui") >= 0, F.struct("ui", F.struct("id", "title", "review", "activities").alias("u")))))
-    goals = F.transform(F.sequence(F.lit(0), (F.col("np") % 2).cast("int")), lambda i: F.concat("id", F.lit(".o"), i.cast("string")))
-    own = F.max(F.when(F.col("ui") < 0, F.struct("id", "title", "review", goals.alias("objectives"), "activities")))
-    s = c.groupBy("bp", "si").agg(own.alias("s"), inner.alias("us"))
-    section = F.struct("si", F.struct("s.id", "s.title", "s.review", "s.objectives", "s.activities", F.col("us.u").alias("subsections")).alias("s"))
-    rows = s.groupBy("bp").agg(F.array_sort(F.collect_list(section)).alias("ss")).select("bp", F.col("ss.s").alias("sections"))
-    return rows.to(StructType.fromDDL(B.BLUEPRINT))
+    """One row per blueprint: an order's line items are its sections, gathered by one shuffle; what they hold is made in the row."""
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("bp")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))).alias("items"))
+    sid, np, inner = "'s' || cast(x.l_linenumber as string)", "x.l_partkey", "(x.l_partkey + 100 * (u + 1))"
+    subsection = f"named_struct('id', {sid} || '-' || cast(u as string), 'title', 'Part', 'review', {np} % 13 = u, 'activities', {_activities(inner, f'({sid} || {chr(39)}-{chr(39)} || cast(u as string))')})"
+    section = f"""named_struct('id', {sid}, 'title', if({np} % 50 = 0, repeat('T', 300), 'Section ' || cast({np} as string)), 'review', {np} % 11 = 0,
+        'objectives', transform(sequence(0, cast({np} % 2 as int)), o -> {sid} || '.o' || cast(o as string)),
+        'activities', {_activities(np, f'({sid})')},
+        'subsections', if({np} % 3 = 0, transform(sequence(0, cast({np} % 2 as int)), u -> {subsection}), array()))"""
+    return items.select("bp", F.expr(f"cast(transform(items, x -> {section}) as array<{B.SECTION}>)").alias("sections"))
 
 
 PATH = "'/sections/' || si || case when ui < 0 then '' else '/subsections/' || ui end"
@@ -293,23 +287,50 @@ def bp_enum_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.enum_errors(blueprints(spark, sf_dir), TYPES, KINDS)
 
 
+#: What is edited: by the blueprint's number, its first section, that section's first subsection or activity, the activity's first question, or nothing there is.
+TARGETS = """targets as (
+        select bp, 'section' as kind, '/sections/0' as target, 's' || min(l.l_linenumber) as node_id from lineitem l join (select distinct bp from bp_section) b on b.bp = l.l_orderkey where bp % 7 in (0, 1) group by bp
+        union all select bp, 'subsection', '/sections/0/subsections/0', id from bp_container where si = 0 and ui = 0 and bp % 7 = 2
+        union all select bp, 'activity', '/sections/0/activities/0', id from bp_activity where si = 0 and ui = -1 and ai = 0 and bp % 7 in (3, 4)
+        union all select bp, 'question', '/sections/0/activities/0/questions/0', id from bp_question where si = 0 and ui = -1 and ai = 0 and qi = 0 and bp % 7 = 5)"""
+
+
 @query(
-    f"""with {NODES}, required as (
-        select distinct i.bp, i.id from nodes i where (i.path = '/sections/0' or starts_with(i.path, '/sections/0/')) and (i.path = '/sections/0' or exists (
-            select 1 from (select bp, si, need as id from bp_activity where need is not null union all select bp, si, objective_ref from bp_question) r where r.bp = i.bp and r.id = i.id and r.si <> 0))),
-    fresh as (select bp, id from nodes where path = '/sections/0' or starts_with(path, '/sections/0/objectives/') or path = '/sections/0/activities/0' or starts_with(path, '/sections/0/activities/0/')),
-    lost as (select bp, count(*) as n from required r where bp % 3 = 0 and not exists (select 1 from fresh f where f.bp = r.bp and f.id = r.id) group by 1)
-    select bp, coalesce(n, 0) as missing, coalesce(n, 0) = 0 as replaced, case when n is null then 'new' else title end as title
-    from (select bp, title from bp_container where si = 0 and ui = -1 and bp % 3 = 0) c left join lost using (bp)""",
+    f"""with {NODES}, {TARGETS},
+    firsts as (select bp, id, path, row_number() over (partition by bp, id order by p0, p1, p2, p3) as nth from nodes),
+    -- the first node with the target's id is the target itself, or else nothing of its kind was given
+    found as (select t.* from targets t join firsts f on f.bp = t.bp and f.id = t.node_id and f.nth = 1 and f.path = t.target),
+    under as (select n.bp, t.target, n.id, n.path from nodes n join found t using (bp) where n.path = t.target or starts_with(n.path, t.target || '/')),
+    refs as (select bp, {PATH} || '/activities/' || ai as path, need as ref from bp_activity where need is not null
+        union all select bp, {PATH} || '/activities/' || ai || '/questions/' || qi, objective_ref from bp_question),
+    required as (select distinct u.bp, u.id from under u where u.path = u.target or exists (select 1 from refs r where r.bp = u.bp and r.ref = u.id and not (r.path = u.target or starts_with(r.path, u.target || '/')))),
+    -- a section keeps its goals and its first activity, a subsection its first activity, an activity its first question
+    kept as (select u.bp, u.id from under u join found t using (bp) where t.kind = 'question' or u.path = u.target or starts_with(u.path, u.target || '/objectives/')
+        or t.kind in ('section', 'subsection') and (u.path = u.target || '/activities/0' or starts_with(u.path, u.target || '/activities/0/')) or t.kind = 'activity' and u.path = u.target || '/questions/0'),
+    lost as (select bp, count(*) as n from required r where not exists (select 1 from kept k where k.bp = r.bp and k.id = r.id) group by bp),
+    long as (select bp, target from found t where bp % 2 = 0 and t.kind <> 'question' and not exists (select 1 from (select bp, {PATH} as path, title from bp_container union all select bp, {PATH} || '/activities/' || ai, title from bp_activity) o where o.bp = t.bp and o.path = t.target and length(o.title) > 255)),
+    every as (select distinct bp from bp_section where bp % 7 <> 6)
+    select e.bp, case when f.bp is null then 'unknown node' when l.n > 0 then 'lost ids' when g.bp is not null then 'invalid' else 'replaced' end as outcome, coalesce(l.n, 0) as missing, (g.bp is not null)::bigint as invalid
+    from every e left join found f on f.bp = e.bp left join lost l on l.bp = e.bp left join long g on g.bp = e.bp""",
     ALL,
 )
 def bp_regenerated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each third blueprint's first section comes back with one activity and no subsections."""
+    """Nodes of every kind come back with less in them, some with a title that is too long; what is asked for by other blueprints is not there."""
     every = blueprints(spark, sf_dir)
-    first = F.get("sections", F.lit(0))
-    new = first.withField("title", F.lit("new")).withField("activities", F.slice(first["activities"], F.lit(1), F.lit(1))).withField("subsections", F.slice(first["subsections"], F.lit(1), F.lit(0)))
-    made = B.regenerated(every, every.where("bp % 3 = 0").select("bp", F.lit(0).alias("at"), new.alias("section")))
-    return made.where("missing is not null").select("bp", "missing", (F.col("missing") == 0).alias("replaced"), F.get("sections", F.lit(0))["title"].alias("title"))
+    k, first = F.col("bp") % 7, F.get("sections", F.lit(0))
+    sub, act = F.get(first["subsections"], F.lit(0)), F.get(first["activities"], F.lit(0))
+    asked = F.get(act["questions"], F.lit(0))
+    title = lambda node: node.withField("title", F.when(F.col("bp") % 2 == 0, F.repeat(F.lit("x"), F.lit(300))).otherwise(F.lit("new")))
+    head = lambda node, field, n=1: F.slice(node[field], F.lit(1), F.lit(n))
+    new = {
+        "section": (k.isin(0, 1), title(first).withField("activities", head(first, "activities")).withField("subsections", head(first, "subsections", 0)), first["id"]),
+        "subsection": (k == 2, title(sub).withField("activities", head(sub, "activities")), sub["id"]),
+        "activity": (k.isin(3, 4), title(act).withField("questions", head(act, "questions")), act["id"]),
+        "question": (k == 5, asked, asked["id"]),
+    }
+    node_id = F.coalesce(*[F.when(on, ident) for on, _, ident in new.values()], F.lit("none"))
+    edits = every.where(k != 6).select("bp", node_id.alias("node_id"), *[F.when(on, node).alias(kind) for kind, (on, node, _) in new.items()])
+    return B.regenerated(every, edits).where("outcome is not null").select("bp", "outcome", "missing", "invalid")
 
 
 @query(

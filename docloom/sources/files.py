@@ -86,3 +86,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not base and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base or 'file://' + tempfile.mkdtemp(prefix='docloom-')}/{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` written once under the shared folder and read from there, where several steps need what was costly to make."""
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -32,3 +32,60 @@ def test_gap_and_fraction_rules(spark):
     at = lambda df: sorted(int(r["path"].rsplit("/", 1)[1]) + 1 for r in df.collect())
     assert at(B.gap_errors(b)) == [2, 3, 4, 5]
     assert at(B.fraction_errors(b)) == [7, 10, 12, 13]
+
+
+def activity(ident, **more):
+    return {"id": ident, "type": "page", "title": "P", "refs": [], "competencies": [], "needs": [], "questions": [], **more}
+
+
+def test_regenerated_at_any_depth(spark):
+    """One edit a blueprint: which are taken, and that nothing off the path changes."""
+    quiz = activity("s1.quiz1", type="quiz", questions=[{"id": "q1", "qtype": "essay", "text": "a"}, {"id": "q2", "qtype": "essay", "text": "b"}])
+    sub = {"id": "s1-0", "title": "U", "activities": [activity("s1-0.page1"), activity("s1-0.page2")]}
+    sections = [{"id": "s1", "title": "T", "objectives": ["o1"], "activities": [quiz, activity("s1.page2")], "subsections": [sub]}, {"id": "s2", "title": "T", "objectives": [], "activities": [activity("s2.page1", needs=["s1-0.page2"])], "subsections": []}]
+    cases = [
+        ("s1-0", "subsection", {**sub, "title": "new"}, "replaced", 0),
+        ("s1-0", "subsection", {**sub, "activities": [activity("s1-0.page1")]}, "lost ids", 1),
+        ("s1.page2", "activity", activity("s1.page2", title="new"), "replaced", 0),
+        ("s1.page2", "activity", activity("s1.page3"), "lost ids", 1),
+        ("s1.page2", "activity", activity("s1.page2", needs=["nobody"]), "invalid", 1),
+        ("s1.page2", "activity", activity("s1.page2", title="x" * 256, type="poem"), "invalid", 2),
+        ("q2", "question", {"id": "q2", "qtype": "essay", "text": "new"}, "replaced", 0),
+        ("q2", "question", {"id": "q2", "qtype": "numerical", "answers": [{"fraction": 0.5}]}, "invalid", 1),
+        ("s2", "section", {**sections[1], "title": "new"}, "replaced", 0),
+        ("q2", "activity", activity("q2"), "unknown node", 0),
+        ("s7", "section", sections[0], "unknown node", 0),
+    ]
+    rows = [(n, json.dumps(sections), c[0], *[json.dumps(c[2]) if c[1] == k else None for k in B.NODES]) for n, c in enumerate(cases)]
+    edits = spark.createDataFrame(rows, "bp long, j string, node_id string, section string, subsection string, activity string, question string")
+    edits = edits.selectExpr("bp", f"from_json(j, 'array<{B.SECTION}>') as sections", "node_id", *[f"from_json({k}, '{kind}') as {k}" for k, kind in B.NODES.items()]).cache()
+    every = edits.select("bp", "sections").union(edits.where("bp = 0").selectExpr("99L", "sections"))
+    out = {r["bp"]: r for r in B.regenerated(every, edits.drop("sections")).collect()}
+    old = {r["bp"]: r["sections"] for r in edits.collect()}
+    assert out[99]["outcome"] is None and out[99]["sections"] == old[0]
+    for n, (_, _, _, outcome, count) in enumerate(cases):
+        assert (out[n]["outcome"], out[n]["missing"] or out[n]["invalid"]) == (outcome, count), n
+        assert (out[n]["sections"] == old[n]) == (outcome != "replaced"), n
+    new = {n: out[n]["sections"] for n in (0, 2, 6)}
+    assert new[0][0]["subsections"][0]["title"] == "new" and new[0][0]["activities"] == old[0][0]["activities"] and new[0][1] == old[0][1]
+    assert new[2][0]["activities"][1]["title"] == "new" and new[2][0]["activities"][0] == old[0][0]["activities"][0]
+    assert [q["text"] for q in new[6][0]["activities"][0]["questions"]] == ["a", "new"]
+
+
+def test_blueprints_follow_their_input(spark, sf, tmp_path):
+    """Nothing is kept of an input that was replaced."""
+    from docloom.plans import blueprints as P
+
+    whole = spark.read.parquet(f"{sf}/lineitem.parquet")
+    for orders in (100, 40):
+        whole.where(f"l_orderkey <= {orders}").write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+        want = whole.where(f"l_orderkey <= {orders}").select("l_orderkey").distinct().count()
+        assert P.blueprints(spark, str(tmp_path)).count() == want
+
+
+def test_repeated_and_null_paths_of_steps(spark):
+    rows = [(1, 1, "course", "course", "course", None), (1, 2, "section", "s1", "/s/0", "course"), (1, 3, "section", "s1", "/s/0", "course"), (1, 4, "activity", "a", "/s/0/a/0", "/s/0"), (1, 5, "section", "s2", None, "course"), (1, 6, "activity", "b", None, None)]
+    steps = spark.createDataFrame(rows, "bp int, step int, kind string, id string, path string, parent_path string").selectExpr("*", "false as done", "step = 2 as fails")
+    kinds = spark.createDataFrame([(1, "/s/0/a/0", "page")], "bp int, path string, type string")
+    got = {r["step"]: r["status"] for r in B.resolved(steps, kinds).collect()}
+    assert got == {1: "created", 2: "failed", 3: "created", 4: "failed", 5: "created", 6: "created"}
