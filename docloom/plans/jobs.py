@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fenced, rendered
 from ..operators import generation as G
 from ..operators import jobs as J
+from ..operators import schema
 from ..sources.tables import relation, table
 from .registry import query
 
@@ -387,3 +388,52 @@ def generated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     wanted = items.groupBy(F.col("l_orderkey").alias("jobid"), F.concat(F.lit("h"), (F.col("l_partkey") % 50).cast("string")).alias("inputhash")).agg(F.max(F.concat(F.lit("say "), F.col("l_suppkey").cast("string"))).alias("prompt"))
     return G.answers(wanted, relation(spark, sf_dir, "step"), shout, long_enough)
+
+
+#: What a step's answer looks like: activities of some kinds, each with content of its own.
+ANSWER_SCHEMA = {
+    "type": "object", "additionalProperties": False, "required": ["activities", "id"],
+    "properties": {"id": {"type": "string", "pattern": "^s[0-9]+$"}, "activities": {"type": "array", "minItems": 1, "items": {"$ref": "#/$defs/activity"}}},
+    "$defs": {
+        "activity": {
+            "type": "object", "additionalProperties": False, "required": ["title", "type"],
+            "properties": {"type": {"enum": ["page", "url", "quiz"]}, "title": {"type": "string", "minLength": 1, "maxLength": 40}, "content": {"type": "object"}, "minutes": {"oneOf": [{"type": "null"}, {"type": "integer", "minimum": 1}]}},
+            "allOf": [{"if": {"properties": {"type": {"const": "url"}}}, "then": {"required": ["content"], "properties": {"content": {"$ref": "#/$defs/link"}}}}],
+        },
+        "link": {"type": "object", "additionalProperties": False, "minProperties": 1, "properties": {"externalurl": {"type": "string", "pattern": "^https?://"}, "text": {"type": "string"}}},
+    },
+}
+#: Answers by the call's number: right, with extra keys at three depths, with a misnamed key, with errors of other kinds, cut off.
+WRITTEN = """written as (select event_id, event_id % 8 as k, '{"activities":[{"title":"' || event_type || '","type":"page"}' as head, '],"id":"s' || user_id || '"' as tail from events),
+    answered as (select event_id, k, head || tail || '}' as plain, case k when 0 then head || tail || '}' when 1 then head || tail || ',"note":{"a":[1]}}'
+        when 2 then head || ',{"colour":"red","title":"T","type":"page","x":1},{"content":{"externalurl":"https://x.org","more":true},"title":"U","type":"url"}' || tail || ',"z":null}'
+        when 3 then head || ',{"content":{"link":"https://x.org"},"title":"U","type":"url"}' || tail || '}' when 4 then head || ',{"minutes":0,"title":"","type":"poem","x":1}' || tail || '}'
+        when 5 then '{"activities":[],"id":"x"}' when 6 then head || ',{"title":"U","type":"url"},{"minutes":5,"title":"V","type":"quiz"}' || tail || '}' else head end as answer from written)"""
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = WRITTEN.replace("from events", "from {events}").replace("{", "{{").replace("}", "}}").replace("{{events}}", "{events}")
+    rows = spark.sql(f"with {text} select event_id, answer from answered", events=table(spark, sf_dir, "events"))
+    return rows.select("event_id", F.try_parse_json("answer").alias("v"))
+
+
+@query(
+    f"""with {WRITTEN} select event_id, case when k in (1, 2) then case k when 1 then plain else replace(replace(replace(replace(answer, '"colour":"red",', ''), ',"x":1', ''), ',"more":true', ''), ',"z":null', '') end when k <> 7 then answer end as output,
+        case k when 1 then 1 when 2 then 4 else 0 end as removed, case k when 3 then 1 when 4 then 4 when 5 then 2 when 6 then 1 when 7 then null else 0 end as errors from answered"""
+)
+def answers_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extra keys go where that settles the answer; a misnamed one stays, as nothing would be left of its object."""
+    rows = _answers(spark, sf_dir).select("event_id", schema.stripped(F.col("v"), ANSWER_SCHEMA).alias("s"))
+    return rows.select("event_id", F.to_json("s.output").alias("output"), "s.removed", F.when(F.col("s.errors").isNotNull(), F.size("s.errors")).alias("errors"))
+
+
+@query(
+    f"""with {WRITTEN}, found as (select event_id, k, unnest(case k when 1 then ['|additionalProperties|note'] when 2 then ['|additionalProperties|z', '/activities/1|additionalProperties|colour,x', '/activities/2/content|additionalProperties|more']
+        when 3 then ['/activities/1/content|additionalProperties|link'] when 4 then ['/activities/1|additionalProperties|x', '/activities/1/type|enum|', '/activities/1/title|minLength|', '/activities/1/minutes|oneOf|']
+        when 5 then ['/id|pattern|', '/activities|minItems|'] when 6 then ['/activities/1|required|content'] else [] end) as e from answered)
+    select event_id, split_part(e, '|', 1) as path, split_part(e, '|', 2) as keyword, split_part(e, '|', 3) as keys from found"""
+)
+def answer_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every error of every answer that can be read, at its path."""
+    rows = _answers(spark, sf_dir).select("event_id", F.explode(schema.errors(F.col("v"), ANSWER_SCHEMA)).alias("e"))
+    return rows.select("event_id", "e.path", "e.keyword", F.array_join("e.keys", ",").alias("keys"))
