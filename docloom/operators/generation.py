@@ -1,18 +1,20 @@
 """Generated content: what to ask for, what to keep of the answers, and what is still missing.
 
-A call to a provider is the one step that isn't an expression: ``answers`` runs it in the
-tasks, over steps that have no checkpoint yet.
+A call to a provider is the one step that isn't an expression: ``called`` runs it in the
+tasks; ``answers`` goes in rounds of calls, over steps that have no checkpoint yet.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.files import written
 from .jobs import pending
 
 QUESTIONS = (5, 15)
@@ -140,19 +142,22 @@ def shown_progress(status: Column, progress: Column, finished: Column, stage: Co
 
 
 def json_block(text: Column) -> Column:
-    """The JSON in an answer: a fenced block if there is one, else the first balanced block (marks in strings don't count); of a cut answer, to its end."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*\n(.*?)```", 1)
-    opened = F.regexp_extract(text, r"(?s)([{\[].*)\z", 1)
-    parts = F.regexp_extract_all(opened, F.lit(rf'(?s){STRING}|[{{}}\[\]]|[^"{{}}\[\]]++|"'), F.lit(0))
+    """The JSON object in an answer: that of a fenced block which starts with one, else the first balanced one; of a cut answer, to its end.
+
+    It opens at the first ``{``, whatever stands in front of it (citations, lists); marks in strings don't count. Null if there is none.
+    """
+    fenced = F.regexp_extract(text, r"(?s)```(?:json|JSON)?\s*(\{.*?)```", 1)
+    opened = F.regexp_extract(F.when(fenced != "", fenced).otherwise(text), r"(?s)(\{.*)\z", 1)
+    parts = F.regexp_extract_all(opened, F.lit(rf'(?s){STRING}|[{{}}]|[^"{{}}]++|"'), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("read"), F.lit(0).alias("end"))
 
     def step(s: Column, part: Column) -> Column:
-        depth = s["depth"] + F.when(part.isin("{", "["), 1).when(part.isin("}", "]"), -1).otherwise(0)
+        depth = s["depth"] + F.when(part == "{", 1).when(part == "}", -1).otherwise(0)
         read = s["read"] + F.char_length(part)
         return F.struct(depth.alias("depth"), read.alias("read"), F.when((s["end"] == 0) & (depth == 0), read).otherwise(s["end"]).alias("end"))
 
     end = F.aggregate(parts, start, step)["end"]
-    return F.when(fenced != "", F.trim(fenced)).when(end > 0, F.substr(opened, F.lit(1), end)).otherwise(opened)
+    return F.when(opened == "", None).when(end > 0, F.substr(opened, F.lit(1), end)).otherwise(opened)
 
 
 STRING = r'"(?:[^"\\]++|\\.)*+"'
@@ -189,28 +194,92 @@ def repaired_json(text: Column) -> Column:
     return F.regexp_replace(closed, rf"({STRING})|,(?=\s*[}}\]])", "$1")
 
 
-ANSWER = "jobid long, inputhash string, status string, output string, calls int"
 Provider = Callable[[str], str]
+CALLED = "jobid long, inputhash string, content string, failed boolean"
+#: Calls for one step after the first.
+REPAIRS = 2
+KEYS = ["jobid", "inputhash"]
 
 
-def answers(wanted: DataFrame, steps: DataFrame, provider: Provider, valid: Callable[[str], bool], tries: int = 3) -> DataFrame:
-    """Run the steps of ``wanted(jobid, inputhash, prompt)`` that have no checkpoint: ``jobid, inputhash, status, output, calls``.
+def called(requests: DataFrame, provider: Provider) -> DataFrame:
+    """One call for each of ``requests(jobid, inputhash, request)``: ``jobid, inputhash, content, failed``.
 
-    ``provider`` answers a prompt (and must be picklable); an answer that isn't ``valid`` is asked for
-    again, at most ``tries`` times in all. Append the result to the steps: a task that runs again after a
-    lost executor pays again for what was not yet written, so keep partitions small.
+    ``provider`` answers a request (and must be picklable); whatever it raises is a failure at the provider.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for job, key, prompt in batch[["jobid", "inputhash", "prompt"]].itertuples(index=False):
-                calls, output = 0, None
-                while output is None and calls < tries:
-                    calls += 1
-                    got = provider(prompt)
-                    output = got if valid(got) else None
-                rows.append((job, key, "done" if output is not None else "error", output, calls))
-            yield pd.DataFrame(rows, columns=["jobid", "inputhash", "status", "output", "calls"])
-
-    return pending(wanted, steps).mapInPandas(run, ANSWER)
+            for job, key, request in batch[["jobid", "inputhash", "request"]].itertuples(index=False):
+                try:
+                    rows.append((job, key, provider(request), False))
+                except Exception:
+                    rows.append((job, key, None, True))
+            yield pd.DataFrame(rows, columns=["jobid", "inputhash", "content", "failed"])
+
+    return requests.select("jobid", "inputhash", "request").mapInPandas(run, CALLED)
+
+
+def repair_request(errors: Column, document: Column) -> Column:
+    """What asks for a corrected document."""
+    return F.concat(F.lit("Correct this document.\nErrors: "), errors, F.lit("\nDocument: "), document)
+
+
+def answers(wanted: DataFrame, steps: DataFrame, provider: Provider, checked: Callable[[Column], Column], repairs: int = REPAIRS) -> DataFrame:
+    """Run the steps of ``wanted(jobid, inputhash, prompt)`` that have no checkpoint: ``jobid, inputhash, status, output, errors, calls, reason``.
+
+    ``checked`` takes the decoded answer (VARIANT, null if it could not be read) and gives ``struct<output, errors, removed>``, as
+    ``schema.stripped`` does. Calls go in rounds, each of which is a table that is written before its answers are looked at, so what a round has paid for
+    is not paid again if an executor is lost later; within a round only tasks that had not ended call again. After the
+    first call at most ``repairs`` more follow for steps that are still wrong:
+
+    - an answer that was never JSON is asked for again, with the same prompt, and an unreadable new one counts as a round;
+    - one with errors goes back with them, as the request of ``repair_request``; if what comes is not JSON, nothing more is tried;
+    - a failure at the provider ends the step as it stands.
+
+    ``reason`` is null for a plain success, ``cleaned`` or ``repaired`` for others, and ``provider``, ``unreadable``,
+    ``validation`` or ``repair_exhausted`` for errors. ``errors`` is JSON. Of repeated steps one is run.
+    """
+    todo = pending(wanted, steps).groupBy(*KEYS).agg(F.min("prompt").alias("prompt"))
+    state = todo.select(*KEYS, "prompt", F.col("prompt").alias("request"), F.lit(None).cast("string").alias("output"), F.lit(None).cast("string").alias("errors"))
+    ended = []
+    for calls in range(1, repairs + 2):
+        got = written(called(state, provider))
+        new = F.try_parse_json(repaired_json(json_block(F.col("content"))))
+        rows = got.withColumn("new", new).withColumn("c", checked(F.col("new"))).select(*KEYS, "failed", F.to_json("c.output").alias("made"), F.to_json("c.errors").alias("found"), F.size("c.errors").alias("n"), F.col("c.removed").alias("removed"))
+        rows = state.join(rows, KEYS)
+        readable, right = F.col("made").isNotNull(), F.coalesce(F.col("n") == 0, F.lit(False))
+        before = F.col("output").isNotNull()
+        over = F.col("failed") | right | (~readable & before) | F.lit(calls > repairs)
+        output, errors = F.coalesce("made", "output"), F.when(readable, F.col("found")).otherwise(F.col("errors"))
+        why = F.when(right, F.when(F.lit(calls > 1), "repaired").when(F.col("removed") > 0, "cleaned")).when(F.col("failed"), "provider").when(output.isNull(), "unreadable")
+        why = why.otherwise(F.lit("repair_exhausted" if calls > 1 and calls > repairs else "validation"))
+        judged = rows.select(*KEYS, "prompt", output.alias("output"), errors.alias("errors"), over.alias("over"), F.when(right, "done").otherwise("error").alias("status"), why.alias("reason"))
+        judged = written(judged)
+        ended.append(judged.where("over").select(*KEYS, "status", F.when(F.col("status") == "done", F.col("output")).alias("output"), F.when(F.col("status") == "done", "[]").otherwise(F.col("errors")).alias("errors"), F.lit(calls).alias("calls"), "reason"))
+        state = judged.where("not over").select(*KEYS, "prompt", F.when(F.col("output").isNull(), F.col("prompt")).otherwise(repair_request(F.col("errors"), F.col("output"))).alias("request"), "output", "errors")
+        if calls > repairs or state.isEmpty():
+            break
+    return reduce(DataFrame.union, ended)
+
+
+# Rules of single steps, beside their schemas
+
+
+def outline_errors(outlines: DataFrame) -> DataFrame:
+    """``job, path, rule``: outlines with too few or too many sections for their minutes. ``outlines(job, minutes, sections)``; no minutes allow any number."""
+    low, high = section_range(F.col("minutes"))
+    return outlines.where((high > 0) & ~F.col("sections").between(low, high)).select("job", F.lit("/sections").alias("path"), F.lit("sections for the minutes").alias("rule"))
+
+
+def review_errors(issues: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``job, path, rule``: issues about nodes that aren't there (or about none). ``issues(job, place, node)``, ``nodes(job, id)`` of sections, activities and questions."""
+    known = nodes.select(F.col("job").alias("of"), "id")
+    lost = issues.join(known, (F.col("job") == F.col("of")) & (F.col("node") == F.col("id")), "left_anti")
+    return lost.select("job", F.concat(F.lit("/issues/"), F.col("place").cast("string"), F.lit("/node")).alias("path"), F.lit("broken reference").alias("rule"))
+
+
+def digest_errors(digests: DataFrame) -> DataFrame:
+    """``job, path, rule``: digests without any item. ``digests(job, concepts, definitions, objectives, procedures)``, as numbers; null is none."""
+    items = sum((F.coalesce(c, F.lit(0)) for c in ("concepts", "definitions", "objectives", "procedures")), F.lit(0))
+    return digests.where(items == 0).select("job", F.lit("").alias("path"), F.lit("empty digest").alias("rule"))

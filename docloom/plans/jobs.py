@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -357,37 +359,71 @@ def repaired_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.concat(F.lit('{"kind": "'), kind, F.lit('", "n": '), n)
     broken = (
         F.when(k == 0, F.concat(F.lit("Sure!\n```json\n"), plain, F.lit("}\n```\nDone.")))
-        .when(k == 1, F.concat(F.lit("Here: "), plain, F.lit("} and more")))
+        .when(k == 1, F.concat(F.lit("Here [1]: "), plain, F.lit("} and [more]")))
         .when(k == 2, F.concat(plain, F.lit(", }")))
         .when(k == 3, F.concat(plain, F.lit(', "list": [1, 2')))
         .when(k == 4, F.concat(plain, F.lit(', "ok": True, "none": None, "s": "None, } //"}')))
         .when(k == 5, F.concat(F.lit("{// a note\n"), F.substring(plain, 2, 1 << 20), F.lit("/* end */}")))
         .when(k == 6, F.concat(plain, F.lit(', "cut": "half')))
-        .otherwise(F.concat(plain, F.lit("}")))
+        .otherwise(F.concat(F.lit("{'kind': '"), kind, F.lit("', 'note': 'it\\'s \"so\"', 'n': "), n, F.lit("}")))
     )
     whole = G.repaired_json(G.json_block(broken))
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object(whole, "$.kind").alias("kind"), F.get_json_object(whole, "$.n").cast("long").alias("n"))
 
 
-def shout(prompt: str) -> str:
-    return prompt.upper()
+NUMBER = {"type": "object", "additionalProperties": False, "required": ["n"], "properties": {"n": {"type": "integer", "minimum": 10}, "of": {"type": "string"}}}
 
 
-def long_enough(answer: str) -> bool:
-    return len(answer) > 5
+def obliging(request: str) -> str:
+    """A provider that gives the number it is asked for: some kinds of request it fails at, answers badly at first, or never answers well."""
+    kind, n = request.rsplit("|", 2)[-2:] if "Document: " not in request else ("again", "".join(c for c in request.rsplit("Document: ", 1)[1].split('"n":', 1)[-1] if c.isdigit()))
+    if kind == "down":
+        raise ConnectionError(request)
+    if kind == "again":
+        if int(n) % 3 == 2:
+            return "I can not."
+        return json.dumps({"n": int(n) + (10 if int(n) % 3 else 5)})
+    return {"words": "no object here", "plain": f'{{"n": 1{n}}}', "more": f'See [1]: {{"n": 1{n}, "why": "so"}}', "small": f'{{"n": {n}}}'}[kind]
 
 
 @query(
-    """with wanted as (select l_orderkey as jobid, 'h' || (l_partkey % 50) as inputhash, max('say ' || l_suppkey) as prompt from lineitem group by 1, 2)
-    select jobid, inputhash, case when length(prompt) > 5 then 'done' else 'error' end as status, case when length(prompt) > 5 then upper(prompt) end as output, case when length(prompt) > 5 then 1 else 3 end as calls
-    from wanted w where not exists (select 1 from step s where s.jobid = w.jobid and s.inputhash = w.inputhash and s.status in ('done', 'manual') and s.output is not null and s.output not in ('', '[]', '{}', 'null'))""",
+    """with wanted as (select l_orderkey as jobid, 'h' || (l_partkey % 50) as inputhash, min(l_suppkey % 10) as n, min(l_partkey % 5) as k from lineitem group by 1, 2),
+    todo as (select * from wanted w where not exists (select 1 from step s where s.jobid = w.jobid and s.inputhash = w.inputhash and s.status in ('done', 'manual') and s.output is not null and s.output not in ('', '[]', '{}', 'null')))
+    select jobid, inputhash, case when k in (1, 2) or k = 4 and (n % 3 = 1 or n % 3 = 0 and n >= 5) then 'done' else 'error' end as status,
+        case when k in (1, 2) then '{"n":1' || n || '}' when k = 4 and n % 3 = 1 then '{"n":' || (n + 10) || '}' when k = 4 and n % 3 = 0 and n >= 5 then '{"n":' || (n + 5) || '}' end as output,
+        case when k in (0, 1, 2) then 1 when k = 3 or n % 3 = 0 and n < 5 then 3 else 2 end as calls,
+        case when k = 0 then 'provider' when k = 1 then null when k = 2 then 'cleaned' when k = 3 then 'unreadable' when n % 3 = 2 then 'validation' when n % 3 = 0 and n < 5 then 'repair_exhausted' else 'repaired' end as reason
+    from todo""",
     ("step",),
 )
 def generated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps without a checkpoint, answered by a provider that repeats the prompt in capitals; short answers are refused three times."""
+    """Steps without a checkpoint in rounds of calls: numbers are too small, in words, with more keys, or not given at all."""
     items = table(spark, sf_dir, "lineitem")
-    wanted = items.groupBy(F.col("l_orderkey").alias("jobid"), F.concat(F.lit("h"), (F.col("l_partkey") % 50).cast("string")).alias("inputhash")).agg(F.max(F.concat(F.lit("say "), F.col("l_suppkey").cast("string"))).alias("prompt"))
-    return G.answers(wanted, relation(spark, sf_dir, "step"), shout, long_enough)
+    wanted = items.groupBy(F.col("l_orderkey").alias("jobid"), F.concat(F.lit("h"), (F.col("l_partkey") % 50).cast("string")).alias("inputhash")).agg(F.min(F.col("l_suppkey") % 10).alias("n"), F.min(F.col("l_partkey") % 5).alias("k"))
+    kind = F.element_at(F.array(*map(F.lit, ("down", "plain", "more", "words", "small"))), (F.col("k") + 1).cast("int"))
+    prompt = F.concat(F.lit("A number, please|"), kind, F.lit("|"), F.col("n").cast("string"))
+    made = G.answers(wanted.select("jobid", "inputhash", prompt.alias("prompt")), relation(spark, sf_dir, "step"), obliging, lambda v: schema.stripped(v, NUMBER))
+    return made.drop("errors")
+
+
+@query(
+    """with outlines as (select id as job, id % 700 as minutes, id % 14 as sections from job), ranges as (select *, case when minutes > 0 then least(12, greatest(1, ceil(minutes / 80.0))) else 0 end as low from outlines),
+    issues as (select l_orderkey as job, l_linenumber - 1 as place, case when l_partkey % 5 > 0 then 's' || (l_partkey % 4) end as node from lineitem)
+    select job, '/sections' as path, 'sections for the minutes' as rule from ranges where minutes > 0 and not sections between low and least(12, greatest(low, floor(minutes / 30.0)))
+    union all select job, '/issues/' || place || '/node', 'broken reference' from issues i where node is null or not exists (select 1 from lineitem l where l.l_orderkey = i.job and 's' || l.l_linenumber = i.node)
+    union all select p_partkey, '', 'empty digest' from part where p_partkey % 2 = 0 and p_partkey % 3 <> 1 and p_size % 4 = 0""",
+    ("job",),
+)
+def step_rule_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What outlines, reviews and digests have to hold beside their schemas."""
+    items, k = table(spark, sf_dir, "lineitem"), F.col("id")
+    outlines = G.outline_errors(relation(spark, sf_dir, "job").select(k.alias("job"), (k % 700).alias("minutes"), (k % 14).alias("sections")))
+    node = F.when(F.col("l_partkey") % 5 > 0, F.concat(F.lit("s"), (F.col("l_partkey") % 4).cast("string")))
+    issues = items.select(F.col("l_orderkey").alias("job"), (F.col("l_linenumber") - 1).alias("place"), node.alias("node"))
+    nodes = items.select(F.col("l_orderkey").alias("job"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("id"))
+    n = F.col("p_partkey")
+    digests = table(spark, sf_dir, "part").select(n.alias("job"), (n % 2).alias("concepts"), F.when(n % 3 == 1, 1).alias("definitions"), (F.col("p_size") % 4).alias("objectives"), F.lit(0).alias("procedures"))
+    return outlines.union(G.review_errors(issues, nodes)).union(G.digest_errors(digests))
 
 
 #: What a step's answer looks like: activities of some kinds, each with content of its own.

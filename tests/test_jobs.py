@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import generation as G
 from docloom.operators import jobs as J
+from docloom.operators import schema
 from docloom.sources.tables import relation, table
 
 
@@ -16,11 +17,45 @@ def test_export_holds_what_a_user_has(spark, sf):
     assert len(rows[5]["calls"]) == read("call_log").where("userid = 5").count()
 
 
-def test_answers_run_what_has_no_checkpoint(spark):
-    wanted = spark.createDataFrame([(1, "a", "say 1"), (1, "b", "bad"), (2, "a", "say 2")], "jobid long, inputhash string, prompt string")
-    steps = spark.createDataFrame([(1, "a", "done", '{"x": 1}'), (2, "a", "error", '{"x": 1}')], "jobid long, inputhash string, status string, output string")
-    got = {(r["jobid"], r["inputhash"]): (r["status"], r["output"], r["calls"]) for r in G.answers(wanted, steps, lambda p: p.upper(), lambda a: a.startswith("SAY")).collect()}
-    assert got == {(1, "b"): ("error", None, 3), (2, "a"): ("done", "SAY 2", 1)}
+NUMBER = {"type": "object", "additionalProperties": False, "required": ["n"], "properties": {"n": {"type": "integer", "minimum": 5}}}
+
+
+def test_answers_in_rounds(spark, tmp_path):
+    """Each kind of answer takes its way: how often it is asked for, with what, and how it ends; calls are counted where they are made."""
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def provider(request):
+        import os
+        import uuid
+
+        name = request.split("|")[1] if "|" in request else "repair"
+        if "Errors: " in request:
+            name = "repair " + json.loads(request.split("Document: ")[1])["w"]
+        (log / f"{name}-{uuid.uuid4()}").write_text(request)
+        n = len([f for f in os.listdir(log) if f.startswith(name + "-")])
+        return {
+            "good": '{"n": 7}', "extra": '{"n": 7, "x": 1}', "words": "no" if n < 3 else '{"n": 9}', "never": "no", "lost": 1 // 0 if name == "lost" else "",
+            "fix": '{"n": 1, "w": "fix"}', "repair fix": '{"n": 8}', "twice": '{"n": 1, "w": "twice"}', "repair twice": '{"n": 2, "w": "twice"}' if n < 2 else '{"n": 6}',
+            "stuck": '{"n": 1, "w": "stuck"}', "repair stuck": '{"n": 1, "w": "stuck"}', "mute": '{"n": 1, "w": "mute"}', "repair mute": "sorry", "gone": '{"n": 1, "w": "gone"}', "repair gone": 1 // 0 if name == "repair gone" else "",
+        }[name]
+
+    want = {
+        "good": ("done", 7, 1, None), "extra": ("done", 7, 1, "cleaned"), "words": ("done", 9, 3, "repaired"), "never": ("error", None, 3, "unreadable"), "lost": ("error", None, 1, "provider"),
+        "fix": ("done", 8, 2, "repaired"), "twice": ("done", 6, 3, "repaired"), "stuck": ("error", None, 3, "repair_exhausted"), "mute": ("error", None, 2, "validation"), "gone": ("error", None, 2, "provider"),
+    }
+    wanted = spark.createDataFrame([(1, k, f"say |{k}|") for k in want] + [(1, "old", "say |never|"), (1, "good", "say |good|")], "jobid long, inputhash string, prompt string")
+    steps = spark.createDataFrame([(1, "old", "done", '{"x": 1}'), (2, "good", "done", '{"x": 1}')], "jobid long, inputhash string, status string, output string")
+    made = G.answers(wanted, steps, provider, lambda v: schema.stripped(v, NUMBER))
+    paid = len(list(log.iterdir()))
+    rows = {r["inputhash"]: r for r in made.collect()}
+    assert {k: (r["status"], r["output"] and json.loads(r["output"])["n"], r["calls"], r["reason"]) for k, r in rows.items()} == want
+    assert paid == sum(w[2] for w in want.values())
+    made.count()
+    assert len(list(log.iterdir())) == paid  # reading the result again pays for nothing
+    assert [e["keyword"] for e in json.loads(rows["stuck"]["errors"])] == ["additionalProperties", "minimum"]
+    asked = next(log.glob("repair twice-*")).read_text()
+    assert '"keyword":"minimum"' in asked and asked.endswith('"w":"twice"}')
 
 
 def test_repaired_json(spark):
@@ -43,7 +78,8 @@ def test_json_out_of_answers(spark):
         ('{"a": "True, it\'s // no comment", /* one */ "b": [1, 2,], // two\n}', {"a": "True, it's // no comment", "b": [1, 2]}),
         ('```json\n{"a": "}"}\n``` and more', {"a": "}"}),
         ('{"a": ["}", {"b": "cut', {"a": ["}", {"b": "cut"}]}),
-        ('[{"a": "\\"}"}] }', [{"a": '"}'}]),
+        ('see [1]: [{"a": "\\"}"}] }', {"a": '"}'}),
+        ('```\n[1]\n``` {"a": 2}', {"a": 2}),
     ]
     rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
     got = rows.select("i", G.repaired_json(G.json_block(F.col("t"))).alias("x")).collect()
