@@ -326,6 +326,40 @@ def competency_activities(blueprints: DataFrame, of_course: DataFrame) -> DataFr
     return first.groupBy("bp", "competency").agg(F.array_sort(F.collect_list(F.struct("place", "activity"))).alias("x")).select("bp", "competency", F.col("x.activity").alias("activities"))
 
 
+def competency_links(wanted: DataFrame, framework: DataFrame, built: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(links to add, warnings)``: ``bp, competency, cmid`` and ``bp, competency, activity, warning``.
+
+    ``wanted(bp, idnumber, activity)``, ``framework(idnumber, competency)``, ``built(bp, activity, cmid)``, ``links(bp, competency, cmid)``; a link
+    with a null ``cmid`` is that of the course. Every competency that the framework knows is linked to its course, and to each of its
+    activities that is built. What is linked already is left alone, so a second run adds nothing; repeated wishes are one.
+    """
+    asked = wanted.distinct().join(framework, "idnumber", "left").join(built, ["bp", "activity"], "left")
+    unknown = asked.where("competency is null").select("bp", F.col("idnumber").alias("competency"), F.lit(None).cast("string").alias("activity"), F.lit("not in the framework").alias("warning")).distinct()
+    known = asked.where("competency is not null")
+    unbuilt = known.where("activity is not null and cmid is null").select("bp", F.col("idnumber").alias("competency"), "activity", F.lit("activity is not built").alias("warning"))
+    to_course = known.select("bp", "competency", F.lit(None).cast("long").alias("cmid"))
+    to_activity = known.where("cmid is not null").select("bp", "competency", F.col("cmid").cast("long").alias("cmid"))
+    old = links.select(F.col("bp").alias("b"), F.col("competency").alias("c"), F.col("cmid").alias("m"))
+    there = (F.col("bp") == F.col("b")) & (F.col("competency") == F.col("c")) & F.col("cmid").eqNullSafe(F.col("m"))
+    return to_course.union(to_activity).distinct().join(old, there, "left_anti"), unknown.union(unbuilt)
+
+
+def new_badges(wanted: DataFrame, badges: DataFrame, built: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(badges to create, warnings)``: ``bp, name, course_wide, cmids`` and ``bp, name, activities``.
+
+    ``wanted(bp, pos, name, criteria array<string>)`` with null criteria for the course as a whole, ``badges(bp, name)`` that
+    there are, ``built(bp, activity, cmid, tracked)``. A name that exists is skipped, so a second run makes none; of several creators of one
+    name the first by ``pos`` wins. Names are trimmed. Activities that aren't built or don't track completion are left out, with a warning.
+    """
+    name = F.trim("name")
+    first = wanted.withColumn("name", name).groupBy("bp", "name").agg(F.min_by(F.struct("criteria"), "pos").alias("w"))
+    fresh = first.join(badges.select("bp", "name").distinct(), ["bp", "name"], "left_anti").select("bp", "name", "w.criteria")
+    each = fresh.select("bp", "name", F.posexplode("criteria").alias("at", "activity")).join(built.where("tracked").select("bp", "activity", "cmid"), ["bp", "activity"], "left")
+    lists = each.groupBy("bp", "name").agg(F.sort_array(F.collect_set("cmid")).alias("cmids"), F.array_sort(F.collect_list(F.when(F.col("cmid").isNull(), F.struct("at", "activity")))).alias("lost"))
+    made = fresh.join(lists, ["bp", "name"], "left").select("bp", "name", F.col("criteria").isNull().alias("course_wide"), F.coalesce("cmids", F.array().cast("array<bigint>")).alias("cmids"), F.transform("lost", lambda x: x["activity"]).alias("lost"))
+    return made.drop("lost"), made.where(F.size("lost") > 0).select("bp", "name", F.array_join("lost", ", ").alias("activities"))
+
+
 def availability(blueprints: DataFrame, built: DataFrame) -> DataFrame:
     """``bp, id, needs, missing``: activities with conditions, and how many of what they need (once each) or of themselves isn't built. ``built(bp, id)``."""
     rows = activities(blueprints).where(F.size("needs") > 0).select("bp", "id", F.array_distinct("needs").alias("needs")).distinct()

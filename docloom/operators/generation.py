@@ -283,3 +283,47 @@ def digest_errors(digests: DataFrame) -> DataFrame:
     """``job, path, rule``: digests without any item. ``digests(job, concepts, definitions, objectives, procedures)``, as numbers; null is none."""
     items = sum((F.coalesce(c, F.lit(0)) for c in ("concepts", "definitions", "objectives", "procedures")), F.lit(0))
     return digests.where(items == 0).select("job", F.lit("").alias("path"), F.lit("empty digest").alias("rule"))
+
+
+# Sections as they came
+
+PAGE = "struct<id:string,title:string>"
+PART = f"struct<type:string,url:string,pages:array<{PAGE}>>"
+#: A scheme, a host and no spaces; addresses are ASCII.
+ADDRESS = r"\A[A-Za-z][A-Za-z0-9+.-]*://[!-~&&[^/?#]]+[!-~]*\z"
+
+
+def _numbered(pages: Column) -> Column:
+    """Pages without an id get that of their place (p1, p2, ...), unless another page has it already."""
+    unset = lambda p: F.coalesce(p["id"], F.lit("")).isin("", "0")
+    used = F.transform(F.filter(pages, lambda p: ~unset(p)), lambda p: p["id"])
+
+    def own(p: Column, i: Column) -> Column:
+        name = F.concat(F.lit("p"), (i + 1).cast("string"))
+        return F.when(unset(p) & ~F.array_contains(used, name), p.withField("id", name)).otherwise(p)
+
+    return F.transform(pages, own)
+
+
+def normalized_sections(answers: DataFrame, texts: DataFrame) -> DataFrame:
+    """``job, node, id, activities, numbered, removed, renamed`` of ``answers(job, node, id, activities)``, activities as ``array<PART>``.
+
+    The id becomes the node's. Pages of lessons without an id get one by their place. Links (``url`` activities) to what is no address or
+    occurs in no source text of the job go, unless nothing would be left; a job without ``texts(job, text)`` keeps them all. Null lists stay null.
+    """
+    link = lambda a: (a["type"] == "url") & a["url"].isNotNull()
+    lesson = lambda a: F.coalesce(a["type"] == "lesson", F.lit(False)) & a["pages"].isNotNull()
+    urls = answers.select("job", F.explode(F.filter("activities", lambda a: link(a) & a["url"].rlike(ADDRESS))).alias("a")).select("job", F.col("a.url").alias("url")).distinct()
+    own = texts.select(F.col("job").alias("of"), "text")
+    found = urls.join(own, (F.col("job") == F.col("of")) & F.col("text").contains(F.col("url")), "left_semi")
+    found = found.groupBy("job").agg(F.collect_set("url").alias("found"))
+    jobs = texts.select("job").distinct().withColumn("sourced", F.lit(True))
+    rows = answers.join(jobs, "job", "left").join(found, "job", "left")
+    known = F.coalesce("found", F.array().cast("array<string>"))
+    kept = F.filter("activities", lambda a: ~F.coalesce(link(a), F.lit(False)) | F.array_contains(known, a["url"]))
+    chosen = F.when(F.col("sourced") & (F.size(kept) > 0), kept).otherwise(F.col("activities"))
+    rows = rows.select("job", "node", "id", "activities", chosen.alias("chosen"))
+    made = F.transform("chosen", lambda a: F.when(lesson(a), a.withField("pages", _numbered(a["pages"]))).otherwise(a))
+    without = lambda c: F.aggregate(c, F.lit(0), lambda n, a: n + F.when(lesson(a), F.size(F.filter(a["pages"], lambda p: F.coalesce(p["id"], F.lit("")).isin("", "0")))).otherwise(0))
+    rows = rows.select("job", "node", "id", "activities", "chosen", made.alias("made"))
+    return rows.select("job", "node", F.col("node").alias("id"), F.col("made").alias("activities"), (without("chosen") - without("made")).alias("numbered"), (F.size("activities") - F.size("chosen")).alias("removed"), (~F.col("id").eqNullSafe(F.col("node"))).alias("renamed"))

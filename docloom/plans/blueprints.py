@@ -199,6 +199,56 @@ def competencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.competency_activities(every, course).withColumn("activities", F.array_join("activities", ","))
 
 
+LINKS = """wanted as (select distinct bp, competency as idnumber, id as activity from bp_activity where competency is not null), framework as (select 'C' || i as idnumber, 100 + i as competency from range(0, 3) t(i)),
+    built as (select bp, id as activity, min(na) as cmid from bp_activity where na % 4 <> 1 group by 1, 2), links as (select bp, 100 + bp % 3 as competency, case when bp % 2 = 0 then null else (select min(b.cmid) from built b where b.bp = s.bp) end as cmid from (select distinct bp from bp_section) s),
+    asked as (select * from wanted left join framework using (idnumber) left join built using (bp, activity)),
+    linked as (select bp, competency, null::bigint as cmid from asked where competency is not null union select bp, competency, cmid from asked where competency is not null and cmid is not null)"""
+
+
+@query(
+    f"""with {LINKS} select bp, cast(competency as varchar) as competency, cmid, null::varchar as activity, 'link' as what from linked l where not exists (select 1 from links o where o.bp = l.bp and o.competency = l.competency and o.cmid is not distinct from l.cmid)
+    union all select distinct bp, idnumber, null, null, 'not in the framework' from asked where competency is null
+    union all select bp, idnumber, null, activity, 'activity is not built' from asked where competency is not null and cmid is null""",
+    ("bp_activity",),
+)
+def competencies_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that are missing, and warnings; after they are added a second run finds none (a test)."""
+    wanted, framework, built, links = link_tables(spark, sf_dir)
+    new, warnings = B.competency_links(wanted, framework, built, links)
+    new = new.select("bp", F.col("competency").cast("string").alias("competency"), "cmid", F.lit(None).cast("string").alias("activity"), F.lit("link").alias("what"))
+    return new.union(warnings.select("bp", "competency", F.lit(None).cast("long"), "activity", "warning"))
+
+
+def link_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    rows = relation(spark, sf_dir, "bp_activity")
+    built = rows.where("na % 4 <> 1").groupBy("bp", F.col("id").alias("activity")).agg(F.min("na").alias("cmid"))
+    links = rows.select("bp").distinct().join(built.groupBy("bp").agg(F.min("cmid").alias("least")), "bp", "left")
+    links = links.select("bp", (100 + F.col("bp") % 3).alias("competency"), F.when(F.col("bp") % 2 == 1, F.col("least")).alias("cmid"))
+    framework = spark.range(3).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("idnumber"), (100 + F.col("id")).alias("competency"))
+    return rows.where("competency is not null").select("bp", F.col("competency").alias("idnumber"), F.col("id").alias("activity")), framework, built, links
+
+
+@query(
+    """with wanted as (select l_orderkey as bp, l_linenumber as pos, ' Badge ' || (l_partkey % 3) || ' ' as name, l_partkey % 5 = 0 as wide, l_suppkey as k, l_partkey as np from lineitem),
+    ranked as (select bp, trim(name) as name, wide, k, row_number() over (partition by bp, trim(name) order by pos, k, np) as nth from wanted), fresh as (select * from ranked where nth = 1 and not (bp % 4 = 1 and name = 'Badge 1')),
+    each as (select bp, name, i, 'a' || ((k + i) % 6) as activity, (k + i) % 6 as n from fresh, range(0, 3) t(i) where not wide)
+    select bp, name, wide as course_wide, coalesce((select string_agg(c, ',' order by c) from (select distinct (10 * bp + n)::varchar as c from each e where e.bp = f.bp and e.name = f.name and n not in (0, bp % 6))), '') as cmids,
+        coalesce((select string_agg(activity, ', ' order by i) from each e where e.bp = f.bp and e.name = f.name and n in (0, bp % 6)), '') as left_out from fresh f"""
+)
+def badges_created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Badges that don't exist yet, with the activities they need, and those that are left out: not built (0), or not tracked."""
+    items = table(spark, sf_dir, "lineitem")
+    criteria = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat(F.lit("a"), ((F.col("l_suppkey") + i) % 6).cast("string")))
+    name = F.concat(F.lit(" Badge "), (F.col("l_partkey") % 3).cast("string"), F.lit(" "))
+    wanted = items.select(F.col("l_orderkey").alias("bp"), F.struct("l_linenumber", "l_suppkey", "l_partkey").alias("pos"), name.alias("name"), F.when(F.col("l_partkey") % 5 != 0, criteria).alias("criteria"))
+    courses = items.select(F.col("l_orderkey").alias("bp")).distinct()
+    badges = courses.where("bp % 4 = 1").select("bp", F.lit("Badge 1").alias("name"))
+    built = courses.select("bp", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n")).select("bp", F.concat(F.lit("a"), F.col("n").cast("string")).alias("activity"), (10 * F.col("bp") + F.col("n")).alias("cmid"), (F.col("n") != F.col("bp") % 6).alias("tracked"))
+    made, lost = B.new_badges(wanted, badges, built)
+    rows = made.join(lost, ["bp", "name"], "left")
+    return rows.select("bp", "name", "course_wide", F.array_join(F.array_sort(F.transform("cmids", lambda c: c.cast("string"))), ",").alias("cmids"), F.coalesce("activities", F.lit("")).alias("left_out"))
+
+
 @query(
     """with built as (select distinct bp, id from bp_activity where na % 4 <> 1), rules as (select distinct bp, id, need from bp_activity where need is not null),
     wants as (select bp, id, need, id as want from rules union select bp, id, need, need from rules)

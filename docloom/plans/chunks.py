@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import chunking as C
-from ..sources.tables import table
+from ..sources.files import ingested, publish, read_published, shared_folder
+from ..sources.tables import relation, table
 from .registry import query
 from .text import paged
 
@@ -157,3 +158,29 @@ def referenced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = F.concat(F.lit("src"), (F.col("o_custkey") % 40).cast("string"), F.when(key % 2 == 0, "").otherwise(F.concat(F.lit("#"), (key % 9).cast("string"))))
     sections = table(spark, sf_dir, "orders").select(key.alias("section"), F.when(key % 5 == 0, F.array(F.lit("chapter 3"))).otherwise(F.array(ref, ref)).alias("refs"))
     return C.referenced_chunks(sections, turns(spark, sf_dir)).select("section", "source", "chunkindex", F.md5("content").alias("digest"))
+
+
+@query(
+    """with read as (select id, id % 4 = 0 as read, jobid, status, rawtokens from source),
+    chunks as (select id, i, 10 as tokencount from read, range(0, 3) t(i) where not read and i <= id % 3 union all select id, i, 7 + id % 5 from read, range(0, 2) t(i) where read)
+    select id, case when read then 'extracted' else status end as status, case when read then 2 * (7 + id % 5) else rawtokens end as tokencount, case when read then 'en' end as language,
+        (select count(*) from chunks c where c.id = r.id) as chunks, (select sum(tokencount)::bigint from chunks c where c.id = r.id) as tokens, case when jobid % 4 = 0 then 5.5 else 1.5 end::double as cost
+    from read r""",
+    ("source",),
+)
+def ingest_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the sources is read again: chunks, sources and estimates change in one step, and are read back."""
+    k, root = F.col("id"), shared_folder(spark)
+    rows = relation(spark, sf_dir, "source")
+    sources = rows.select("id", "jobid", "status", F.col("rawtokens").alias("tokencount"), F.lit(None).cast("string").alias("language"))
+    chunks = lambda some, n, tokens: some.select(k.alias("sourceid"), F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("chunkindex"), tokens.alias("tokencount"))
+    jobs = sources.select("jobid").distinct()
+    first = {"chunks": chunks(sources, k % 3, F.lit(10).cast("long")), "sources": sources, "estimates": jobs.select("jobid", F.lit(1.5).alias("cost"))}
+    publish(spark, root, first, 0)
+    old = {name: read_published(spark, root, name, 1) for name in first}
+    again = sources.where("id % 4 = 0")
+    new = ingested(*old.values(), chunks(again, F.lit(1).cast("long"), 7 + k % 5), again.select("id", F.lit("en").alias("language")), jobs.where("jobid % 4 = 0").select("jobid", F.lit(5.5).alias("cost")))
+    publish(spark, root, new, 1)
+    got = {name: read_published(spark, root, name) for name in first}
+    counts = got["chunks"].groupBy(F.col("sourceid").alias("id")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("tokencount").alias("tokens"))
+    return got["sources"].join(counts, "id", "left").join(got["estimates"], "jobid").select("id", "status", "tokencount", "language", "chunks", "tokens", "cost")

@@ -473,3 +473,33 @@ def answer_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every error of every answer that can be read, at its path."""
     rows = _answers(spark, sf_dir).select("event_id", F.explode(schema.errors(F.col("v"), ANSWER_SCHEMA)).alias("e"))
     return rows.select("event_id", "e.path", "e.keyword", F.array_join("e.keys", ",").alias("keys"))
+
+
+#: Sections with links, lessons and pages; some links are no addresses, and every fourth job has no sources.
+SECTIONS = """items as (select *, row_number() over () as line from lineitem),
+    parts as (select l_orderkey as job, 's' || l_linenumber as node, line, l_partkey as np, i, case (l_partkey + i) % 3 when 0 then 'url' when 1 then 'lesson' else 'page' end as type,
+        case (l_partkey + i) % 4 when 0 then 'https://x.org/' || ((l_partkey + i) % 20) when 1 then 'https://y.org/z' when 2 then 'no address' end as url from items, range(0, 3) t(i) where i <= l_partkey % 3),
+    pages as (select job, node, line, np, i, k, case (np + k) % 3 when 1 then 'p' || ((np + k) % 4 + 1) when 2 then '' end as id from parts, range(0, 4) t(k) where type = 'lesson')"""
+
+
+@query(
+    f"""with {SECTIONS}, texts as (select o_orderkey as job, 'See https://x.org/' || (o_orderkey % 20) || ' for more.' as text from orders where o_orderkey % 4 <> 0),
+    judged as (select p.*, exists (select 1 from texts t where t.job = p.job) as sourced, not (type = 'url' and url is not null) or exists (select 1 from texts t where t.job = p.job and contains(t.text, p.url)) as good from parts p),
+    chosen as (select *, good or not sourced or not bool_or(good) over (partition by line) as kept from judged),
+    numbered as (select *, coalesce(id, '') = '' and not exists (select 1 from pages o where o.line = p.line and o.i = p.i and o.id = 'p' || (p.k + 1)) as made from pages p),
+    ids as (select line, count(*) filter (made) as numbered, string_agg(case when made then 'p' || (k + 1) else coalesce(id, '') end, ',' order by i, k) as pages from numbered join chosen using (line, i) where kept group by line)
+    select job, node, np, count(*) filter (kept) as kept, count(*) filter (not kept) as removed, coalesce(any_value(ids.numbered), 0) as numbered, coalesce(any_value(ids.pages), '') as pages, np % 2 = 1 as renamed
+    from chosen left join ids using (line) group by line, job, node, np"""
+)
+def sections_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = "named_struct('id', case (l_partkey + k) % 3 when 1 then 'p' || cast((l_partkey + k) % 4 + 1 as string) when 2 then '' end, 'title', cast(l_partkey as string))"
+    part = f"""named_struct('type', case (l_partkey + i) % 3 when 0 then 'url' when 1 then 'lesson' else 'page' end,
+        'url', case (l_partkey + i) % 4 when 0 then 'https://x.org/' || cast((l_partkey + i) % 20 as string) when 1 then 'https://y.org/z' when 2 then 'no address' end,
+        'pages', transform(sequence(0, 3), k -> {page}))"""
+    node = "'s' || cast(l_linenumber as string)"
+    answers = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as job", f"{node} as node", f"if(l_partkey % 2 = 1, 'other', {node}) as id", f"cast(transform(sequence(0, cast(l_partkey % 3 as int)), i -> {part}) as array<{G.PART}>) as activities")
+    texts = table(spark, sf_dir, "orders").where("o_orderkey % 4 <> 0").selectExpr("o_orderkey as job", "'See https://x.org/' || cast(o_orderkey % 20 as string) || ' for more.' as text")
+    made = G.normalized_sections(answers, texts)
+    ids = F.array_join(F.flatten(F.transform(F.filter("activities", lambda a: a["type"] == "lesson"), lambda a: F.transform(a["pages"], lambda p: F.coalesce(p["id"], F.lit(""))))), ",")
+    np = F.coalesce(F.get("activities", F.lit(0))["pages"][0]["title"].cast("long"), F.lit(0))
+    return made.select("job", "node", np.alias("np"), F.size("activities").cast("long").alias("kept"), F.col("removed").cast("long").alias("removed"), F.col("numbered").cast("long").alias("numbered"), ids.alias("pages"), "renamed")

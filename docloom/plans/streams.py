@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import shared_folder
 from ..sources.tables import table
+from ..streaming import calls
 from ..streaming import usage as S
 from .registry import doubles, query
 
@@ -36,3 +37,18 @@ def stream_usage_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.sessions(log(spark, sf_dir)).withColumns({"start": F.unix_timestamp("start"), "end": F.unix_timestamp("end")})
     return S.drained(rows, shared_folder(spark))
+
+
+@query(
+    """select event_id as call, 1 + event_id % 3 as attempt, user_id as userid, event_id % 40 as jobid, event_type as step, case when event_id % 4 = 0 then 'configured' else 'deepseek' end as connector, case when event_id % 4 = 0 then '' else 'flash' end as model,
+        case when event_id % 4 = 0 then 0 else event_id % 900 end as tokensin, case when event_id % 4 = 0 then 0.0 else event_id % 700 / 1000.0 end::double as cost, case when event_type = 'error' then 'error' else 'success' end as status, nullif(event_id % 5 * 100, 0) as httpstatus
+    from events where user_id % 7 <> 0"""
+)
+def stream_call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts come twice where the event's number says so; every fourth was billed nothing, and some have no user."""
+    k = F.col("event_id")
+    billed = F.when(k % 4 != 0, F.struct(F.lit("deepseek").alias("connector"), F.lit("flash").alias("model"), (k % 900).alias("tokensin"), (k % 50).alias("tokensout"), F.lit(None).cast("long").alias("tokenscached"), ((k % 700) / 1000).cast("decimal(12,6)").alias("cost")))
+    rows = S.read_events(spark, sf_dir, table(spark, sf_dir, "events").schema).withColumn("again", F.explode(F.sequence(F.lit(0), (k % 2).cast("int"))))
+    attempts = rows.select(k.alias("call"), (1 + k % 3).alias("attempt"), "ts", F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("userid"), (k % 40).alias("jobid"), F.col("event_type").alias("step"), F.lit("configured").alias("connector"), billed.alias("billed"), F.lit(5).alias("durationms"), (F.col("event_type") == "error").alias("error"), (k % 5 * 100).alias("httpstatus"))
+    log = calls.append(attempts, shared_folder(spark))
+    return doubles(log.select("call", "attempt", "userid", "jobid", "step", "connector", "model", "tokensin", "cost", "status", "httpstatus"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import io
+import json
 import tempfile
 import uuid
 import zipfile
@@ -93,3 +94,62 @@ def written(rows: DataFrame) -> DataFrame:
     path = shared_folder(rows.sparkSession)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], seen: int) -> int:
+    """Show new versions of several tables in one step: readers see all of them or none. The number of the version.
+
+    Every table is written to a folder of its own; then one small file, ``versions/<seen + 1>``, which says where they are, is created, or not if it
+    is there already: another writer has published since ``seen``, and this one has to begin again from what is there now
+    (``FileExistsError``). Tables that aren't given stay those of ``seen``. What an interrupted writer left is never read.
+    The file system's rename must be atomic and not replace, as that of HDFS.
+    """
+    places = dict(published(spark, root, seen)) if seen else {}
+    for name, rows in tables.items():
+        places[name] = f"data/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{root}/{places[name]}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/versions/{seen + 1:012d}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    own = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/versions/.{uuid.uuid4().hex}")
+    out = files.create(own, False)
+    out.write(bytearray(json.dumps(places).encode()))
+    out.close()
+    if files.exists(path) or not files.rename(own, path):
+        files.delete(own, False)
+        raise FileExistsError(f"version {seen + 1} was published by another writer")
+    return seen + 1
+
+
+def latest(spark: SparkSession, root: str) -> int:
+    """The number of the last version that was published; 0 for none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/versions")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    return max((int(n) for n in names if n.isdigit()), default=0)
+
+
+def published(spark: SparkSession, root: str, version: int) -> dict[str, str]:
+    """Where the tables of a version are, under ``root``."""
+    text = spark.read.text(f"{root}/versions/{version:012d}", wholetext=True).first()[0]
+    return json.loads(text)
+
+
+def read_published(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    return spark.read.parquet(f"{root}/{published(spark, root, version or latest(spark, root))[name]}")
+
+
+def ingested(chunks: DataFrame, sources: DataFrame, estimates: DataFrame, new_chunks: DataFrame, done: DataFrame, new_estimates: DataFrame) -> dict[str, DataFrame]:
+    """What a read source changes, for ``publish``: its chunks replace the old ones, its status and token count follow, its job's estimate is made anew.
+
+    ``chunks(sourceid, ...)``, ``sources(id, status, tokencount, language, ...)``, ``estimates(jobid, cost)``; ``done(id, language)`` are the sources that
+    were read, ``new_chunks`` all that they have now (with ``tokencount``). Others stay as they are.
+    """
+    read = done.select(F.col("id").alias("sourceid")).distinct()
+    kept = chunks.join(read, "sourceid", "left_anti").unionByName(new_chunks)
+    tokens = new_chunks.groupBy(F.col("sourceid").alias("of")).agg(F.sum("tokencount").alias("tokens"))
+    own = done.groupBy(F.col("id").alias("of")).agg(F.max("language").alias("spoken")).join(tokens, "of", "left").withColumn("is_read", F.lit(True))
+    rows = sources.join(own, F.col("id") == F.col("of"), "left")
+    set_ = {"status": F.lit("extracted"), "tokencount": F.coalesce("tokens", F.lit(0)), "language": F.col("spoken")}
+    rows = rows.select(*[F.when(F.col("is_read"), set_[c]).otherwise(F.col(c)).alias(c) if c in set_ else c for c in sources.columns])
+    costs = estimates.join(new_estimates, "jobid", "left_anti").unionByName(new_estimates)
+    return {"chunks": kept, "sources": rows, "estimates": costs}

@@ -89,3 +89,22 @@ def test_repeated_and_null_paths_of_steps(spark):
     kinds = spark.createDataFrame([(1, "/s/0/a/0", "page")], "bp int, path string, type string")
     got = {r["step"]: r["status"] for r in B.resolved(steps, kinds).collect()}
     assert got == {1: "created", 2: "failed", 3: "created", 4: "failed", 5: "created", 6: "created"}
+
+
+def test_second_run_links_and_creates_nothing(spark, sf):
+    from docloom.plans import blueprints as P
+
+    wanted, framework, built, links = P.link_tables(spark, sf)
+    new, warnings = B.competency_links(wanted, framework, built, links)
+    new = new.cache()
+    assert new.count() > 0 and warnings.count() > 0
+    assert new.count() == new.distinct().count()
+    again, still = B.competency_links(wanted, framework, built, links.union(new))
+    assert again.count() == 0 and still.count() == warnings.count()
+    asked = spark.createDataFrame([(1, 2, "Star", ["a", "b"]), (1, 1, " Star ", ["a", "c", "d"]), (1, 3, "All", None), (2, 1, "Star", ["d"])], "bp int, pos int, name string, criteria array<string>")
+    built = spark.createDataFrame([(1, "a", 10, True), (1, "c", 11, False), (2, "d", 12, True)], "bp int, activity string, cmid long, tracked boolean")
+    none = spark.createDataFrame([], "bp int, name string")
+    made, lost = B.new_badges(asked, none, built)
+    assert sorted(map(tuple, made.collect())) == [(1, "All", True, []), (1, "Star", False, [10]), (2, "Star", False, [12])]
+    assert [tuple(r) for r in lost.collect()] == [(1, "Star", "c, d")]
+    assert B.new_badges(asked, made.select("bp", "name"), built)[0].count() == 0

@@ -87,3 +87,30 @@ def test_json_out_of_answers(spark):
         assert json.loads(r["x"]) == cases[r["i"]][1], r
     long = spark.createDataFrame([("[" + '"True", True, ' * 40_000 + "0]",)], "t string").select(G.repaired_json("t").alias("x")).first()[0]
     assert json.loads(long)[:2] == ["True", True]
+
+
+def test_sections_as_they_came(spark):
+    page = lambda *ids: {"type": "lesson", "pages": [{"id": i, "title": "t"} for i in ids]}
+    url = lambda u: {"type": "url", "url": u}
+    good, bad = url("https://x.org/a"), url("https://x.org/b")
+    cases = [
+        (1, [page(None, "p1", "", "x")], 1, 0, [["", "p1", "p3", "x"]]),  # p1 is taken, so the first stays without
+        (1, [page("p2", None, "0")], 1, 0, [["p2", "", "p3"]]),
+        (1, [good, bad, url("no address"), page("a")], 0, 2, [["a"]]),
+        (1, [bad, url("ftp://")], 0, 0, []),  # all would go
+        (2, [bad], 0, 0, []),  # no sources
+        (1, [url(None), {"type": None, "url": "z"}, good], 0, 0, []),
+        (1, None, 0, 0, None),
+    ]
+    rows = spark.createDataFrame([(job, f"s{n}", None if n % 2 else f"s{n}", json.dumps(a)) for n, (job, a, *_) in enumerate(cases)], "job int, node string, id string, j string")
+    answers = rows.selectExpr("job", "node", "id", f"from_json(j, 'array<{G.PART}>') as activities")
+    texts = spark.createDataFrame([(1, "see https://x.org/a or no address"), (3, "https://x.org/b")], "job int, text string")
+    for r in G.normalized_sections(answers, texts).collect():
+        n = int(r["node"][1:])
+        _, before, numbered, removed, pages = cases[n]
+        assert r["id"] == r["node"] and r["renamed"] == bool(n % 2)
+        if before is None:
+            assert r["activities"] is None
+            continue
+        assert (r["numbered"], r["removed"], len(r["activities"])) == (numbered, removed, len(before) - removed), n
+        assert [[p["id"] or "" for p in a["pages"]] for a in r["activities"] if a["type"] == "lesson"] == pages

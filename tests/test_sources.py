@@ -4,8 +4,9 @@ import pytest
 
 from docloom.operators.usage import sums
 from docloom.plans.money import ledger_events
-from docloom.sources.files import decoded, read_files, replace_partitions
+from docloom.sources.files import decoded, latest, publish, read_files, read_published, replace_partitions
 from docloom.sources.tables import table
+from docloom.streaming import calls
 from docloom.streaming import usage as stream
 
 
@@ -75,3 +76,45 @@ def test_unknown_month_is_refused(spark, sf):
 
     with pytest.raises(ValueError, match="2024-13"):
         totals(relation(spark, sf, "call_log"), "2024-13")
+
+
+def test_publish_is_all_or_nothing(spark, tmp_path):
+    root = f"file://{tmp_path}/tables"
+    numbers = lambda *n: spark.createDataFrame([(x,) for x in n], "n int")
+    state = lambda: {name: sorted(r["n"] for r in read_published(spark, root, name).collect()) for name in ("chunks", "sources")}
+    assert latest(spark, root) == 0
+    assert publish(spark, root, {"chunks": numbers(1, 2), "sources": numbers(1)}, 0) == 1
+    broken = spark.range(1).selectExpr("cast(raise_error('lost') as int) as n")
+    with pytest.raises(Exception, match="lost"):  # the chunks are written when the sources fail
+        publish(spark, root, {"chunks": numbers(3), "sources": broken}, 1)
+    assert state() == {"chunks": [1, 2], "sources": [1]} and latest(spark, root) == 1
+    assert publish(spark, root, {"sources": numbers(4)}, 1) == 2
+    assert state() == {"chunks": [1, 2], "sources": [4]}
+    with pytest.raises(FileExistsError):  # it has seen version 1 only
+        publish(spark, root, {"chunks": numbers(9)}, 1)
+    assert state() == {"chunks": [1, 2], "sources": [4]} and latest(spark, root) == 2
+
+
+def test_call_log_has_every_attempt_once(spark, tmp_path):
+    """The last batch is run again as after a failure before its commit; attempts are sent again in later batches."""
+    billed = "struct<connector:string,model:string,tokensin:long,tokensout:long,tokenscached:long,cost:decimal(12,6)>"
+    kind = f"call long, attempt int, ts timestamp, userid long, jobid long, step string, connector string, billed {billed}, durationms long, error boolean, httpstatus int"
+    source, folder = tmp_path / "in", f"file://{tmp_path}/log"
+
+    def add(*rows):
+        made = spark.createDataFrame(rows, "call long, attempt int, userid long, tokens long, error boolean, httpstatus int")
+        bill = f"case when tokens is not null then cast(named_struct('connector', 'c', 'model', 'm', 'tokensin', tokens, 'tokensout', 0L, 'tokenscached', 0L, 'cost', 0.5) as {billed}) end as billed"
+        made.selectExpr("call", "attempt", "timestamp'2024-01-01 10:00:00' as ts", "userid", "1L as jobid", "'outline' as step", "'set' as connector", bill, "5L as durationms", "error", "httpstatus").coalesce(1).write.mode("append").parquet(str(source))
+
+    read = lambda: calls.append(spark.readStream.schema(kind).parquet(str(source)), folder)
+    key = lambda df: sorted((r["call"], r["attempt"], r["status"], r["connector"], r["tokensin"], float(r["cost"]), r["httpstatus"]) for r in df.collect())
+    add((1, 1, 7, None, True, 503), (1, 2, 7, 40, False, 0), (1, 2, 7, 40, False, 0), (2, 1, 7, 90, True, 0), (3, 1, None, 1, False, 0))
+    want = [(1, 1, "error", "set", 0, 0.0, 503), (1, 2, "success", "c", 40, 0.5, None), (2, 1, "error", "c", 90, 0.5, None)]
+    assert key(read()) == want
+    commits = sorted((tmp_path / "log/checkpoint/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for old in commits[-1:]:
+        old.unlink()
+        old.with_name(f".{old.name}.crc").unlink(missing_ok=True)
+    assert key(read()) == want
+    add((1, 2, 7, 40, False, 0), (4, 1, 8, 3, False, 0))
+    assert key(read()) == [*want, (4, 1, "success", "c", 3, 0.5, None)]
