@@ -48,13 +48,42 @@ MIN_TOKENS, MAX_TOKENS, UNIT_LIMIT, OVERLAP = 1500, 3000, 1500, 0.10
 TITLE = 255
 DIGEST_LIMITS = {"concepts": 40, "definitions": 40, "objectives": 15, "procedures": 15}
 
-# Frequent words of each language
+# Words and signs of page numbers and headings. Fixed values of the data model
+DASHES = ("-", "–", "—")
+PAGE_WORDS = ("pagina", "page", "pag.", "pag", "p.")
+PAGE_OF = ("din", "of", "/")
+CHAPTER_WORDS = ("capitolul", "capitol", "partea", "chapter", "part")
+SECTION_WORDS = ("secțiunea", "sectiunea", "section", "anexa", "annex", "appendix")
+HEADING_ENDS = (".", "!", "?", ",", ";", ":")
+
+# Frequent words of each language. Fixed values of the data model
 STOP_WORDS = {
-    "ro": "și si în in de la cu pe care este sunt pentru din un că ca nu mai sau se au fi prin acest această acestei lor ale al cel cea unei unui fiecare foarte dar dacă când între către",
-    "en": "the and of to in is that for it with as was on are by this be or from at an which have has not but they their can will all you we more when these also such between",
-    "fr": "le la les de des du et en un une est que qui dans pour pas sur au aux avec ce il elle sont par plus ou mais nous vous ont",
-    "de": "der die das und in den von zu mit ist für auf nicht ein eine dem des sich im auch als bei oder wird werden sind an nach wie",
-    "es": "el la los las de en un una es que por con para del se su al lo como más pero sus son este esta entre también sin sobre",
-    "it": "il lo la gli le di in un una che per con non del della dei delle è sono si da come più anche nel alla questo tra",
-    "hu": "az és hogy nem is egy meg de van volt ez azt még már csak mint vagy el ki be fel le át köztük amely között szerint kell lehet",
+    "ro": [
+        "și", "si", "în", "in", "de", "la", "cu", "pe", "care", "este", "sunt", "pentru", "din", "un", "că", "ca", "nu", "mai", "sau", "se", "au", "fi", "prin", "acest",
+        "această", "acestei", "lor", "ale", "al", "cel", "cea", "unei", "unui", "fiecare", "foarte", "dar", "dacă", "când", "între", "către",
+    ],
+    "en": [
+        "the", "and", "of", "to", "in", "is", "that", "for", "it", "with", "as", "was", "on", "are", "by", "this", "be", "or", "from", "at", "an", "which", "have", "has", "not",
+        "but", "they", "their", "can", "will", "all", "you", "we", "more", "when", "these", "also", "such", "between",
+    ],
+    "fr": [
+        "le", "la", "les", "de", "des", "du", "et", "en", "un", "une", "est", "que", "qui", "dans", "pour", "pas", "sur", "au", "aux", "avec", "ce", "il", "elle", "sont", "par",
+        "plus", "ou", "mais", "nous", "vous", "ont",
+    ],
+    "de": [
+        "der", "die", "das", "und", "in", "den", "von", "zu", "mit", "ist", "für", "auf", "nicht", "ein", "eine", "dem", "des", "sich", "im", "auch", "als", "bei", "oder", "wird",
+        "werden", "sind", "an", "nach", "wie",
+    ],
+    "es": [
+        "el", "la", "los", "las", "de", "en", "un", "una", "es", "que", "por", "con", "para", "del", "se", "su", "al", "lo", "como", "más", "pero", "sus", "son", "este", "esta",
+        "entre", "también", "sin", "sobre",
+    ],
+    "it": [
+        "il", "lo", "la", "gli", "le", "di", "in", "un", "una", "che", "per", "con", "non", "del", "della", "dei", "delle", "è", "sono", "si", "da", "come", "più", "anche", "nel",
+        "alla", "questo", "tra",
+    ],
+    "hu": [
+        "az", "és", "hogy", "nem", "is", "egy", "meg", "de", "van", "volt", "ez", "azt", "még", "már", "csak", "mint", "vagy", "el", "ki", "be", "fel", "le", "át", "köztük",
+        "amely", "között", "szerint", "kell", "lehet",
+    ],
 }

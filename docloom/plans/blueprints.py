@@ -307,12 +307,12 @@ def module_count_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""with keys as (select p_partkey, 'aicb-' || case when p_partkey % 5 = 0 then 'nojob' else cast(p_partkey as varchar) end || '-' || trim(regexp_replace(lower(p_name || '.' || p_brand || repeat('_x', cast(p_partkey % 60 as int)) || '!'), '[^a-z0-9]+', '-', 'g'), '-') as key from part)
+    r"""with keys as (select p_partkey, 'build-' || case when p_partkey % 5 = 0 then 'nojob' else cast(p_partkey as varchar) end || '-' || trim(regexp_replace(lower(p_name || '.' || p_brand || repeat('_x', cast(p_partkey % 60 as int)) || '!'), '[^a-z0-9]+', '-', 'g'), '-') as key from part)
     select p_partkey, case when length(key) <= 100 then key else rtrim(substr(key, 1, 87), '-') || '-' || substr(sha256(key), 1, 12) end as key from keys"""
 )
 def build_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = F.concat("p_name", F.lit("."), "p_brand", F.repeat(F.lit("_x"), (F.col("p_partkey") % 60).cast("int")), F.lit("!"))
-    return table(spark, sf_dir, "part").select("p_partkey", key_for(F.when(F.col("p_partkey") % 5 != 0, F.col("p_partkey")), node).alias("key"))
+    return table(spark, sf_dir, "part").select("p_partkey", key_for(F.when(F.col("p_partkey") % 5 != 0, F.col("p_partkey")), node, "build").alias("key"))
 
 
 @query(

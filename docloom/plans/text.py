@@ -33,9 +33,12 @@ LINES = r"""texts as (select doc_id, source, string_split(text, chr(10)) as part
     lines as (select doc_id, page, n_pages, unnest(lines) as line, generate_subscripts(lines, 1) - 1 as pos from page_lines),
     filled as (select *, row_number() over (partition by doc_id, page order by pos) as head, row_number() over (partition by doc_id, page order by pos desc) as tail from lines where trim(line, ' ' || chr(9) || chr(13)) <> ''),
     edges as (select * from filled where head <= 3 or tail <= 3)"""
-NUMBER = r"""regexp_matches(line, '^[\s\x{A0}]*[-–—]?[\s\x{A0}]*(?:(?:pagina|page|pag\.?|p\.)[\s\x{A0}]*)?[0-9]{1,4}(?:[\s\x{A0}]*(?:din|of|/)[\s\x{A0}]*[0-9]{1,4})?[\s\x{A0}]*[-–—]?[\s\x{A0}]*$', 'i')"""
-KEY = r"""case when regexp_matches(trim(line), '^(#{1,6}\s|\||<!--|-\s|>)') or len(regexp_extract_all(trim(regexp_replace(regexp_replace(lower(trim(line)), '\p{Nd}+', '#', 'g'), '[^\p{L}#]+', ' ', 'g')), '\p{L}')) < 4 then ''
-    else trim(regexp_replace(regexp_replace(lower(trim(line)), '\p{Nd}+', '#', 'g'), '[^\p{L}#]+', ' ', 'g')) end"""
+#: Without blanks, dashes around it and a word in front, one number of up to four digits or two.
+NUMBER = r"""(not regexp_matches(line, '[0-9][\s\x{A0}]+[0-9]') and list_bool_and(list_transform(
+    string_split_regex(regexp_replace(trim(regexp_replace(lower(line), '[\s\x{A0}]+', '', 'g'), '-–—'), '^(pagina|page|pag[.]|pag|p[.])', ''), 'din|of|/'), lambda n: try_cast(n as int) is not null and length(n) between 1 and 4))
+    and len(string_split_regex(regexp_replace(lower(line), '[\s\x{A0}]+', '', 'g'), 'din|of|/')) <= 2)"""
+RUNS = r"""array_to_string(list_transform(regexp_extract_all(lower(line), '[\p{L}\p{Nd}#]+'), lambda w: regexp_replace(w, '\p{Nd}+', '#', 'g')), ' ')"""
+KEY = rf"""case when left(ltrim(line), 1) in ('|', '>') or left(ltrim(line), 4) = '<!--' or split_part(trim(line), ' ', 1) in ('-', '#', '##', '###', '####', '#####', '######') or length(translate({RUNS}, ' #', '')) < 4 then '' else {RUNS} end"""
 
 
 @query(f"with {LINES} select doc_id, count(distinct page) as pages, count(*) as lines, sum(length(line))::bigint as chars from lines group by 1")
@@ -108,17 +111,19 @@ def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "pos", line.alias("line"))
 
 
-CAPITALS = r"(len(regexp_extract_all(line, '\p{L}')) >= 4 and len(regexp_extract_all(line, '\p{Lu}')) * 10 >= len(regexp_extract_all(line, '\p{L}')) * 9 and (len(regexp_extract_all(line, '[^\s\x{A0}]+')) >= 2 or len(regexp_extract_all(line, '\p{L}')) >= 8))"
+LETTERS, UPPER = r"len(regexp_extract_all(line, '\p{L}'))", r"len(regexp_extract_all(line, '\p{Lu}'))"
+CAPITALS = rf"({LETTERS} >= 4 and {UPPER} >= 0.9 * {LETTERS} and ({LETTERS} >= 8 or len(w) >= 2))"
 
 
 @query(
-    rf"""with {HEADS}, trimmed as (select doc_id, pos, trim(line) as line from heads)
-    select doc_id, pos::int as pos, case when line = '' or length(line) > 90 or regexp_matches(line, '[.!?,;:]$') or regexp_matches(line, '^(#|\||>|-\s|<!--)') or {NUMBER} then null
-        when regexp_matches(line, '^([0-9]{{1,2}}(\.[0-9]{{1,2}}){{0,2}})\.?[\s\x{{A0}}]+\p{{Lu}}[^\s\x{{A0}}]*([\s\x{{A0}}]+[^\s\x{{A0}}]+){{0,11}}$') then least(3, length(regexp_replace(regexp_extract(line, '^([0-9]{{1,2}}(\.[0-9]{{1,2}}){{0,2}})', 1), '[^.]', '', 'g')) + 1)
-        when regexp_matches(line, '^(capitolul|capitol|partea|chapter|part)[\s\x{{A0}}]+([0-9]+|[ivxlc]+|a[\s\x{{A0}}]+[ivxlc]+-a)([^\p{{L}}\p{{N}}_]|$)', 'i') then 1
-        when regexp_matches(line, '^(sec[țt]iunea|section|anexa|annex|appendix)[\s\x{{A0}}]+([0-9]+|[ivxlc]+|[a-z])([^\p{{L}}\p{{N}}_]|$)', 'i') then 2
-        when {CAPITALS} then 2 end::int as level, {CAPITALS} as capitals, {NUMBER} as page_number, regexp_matches(line, '^[•●▪■◦·‣⁃○◆►–—*-][\s\x{{A0}}]+[^\s\x{{A0}}].*$') as item
-    from trimmed"""
+    rf"""with {HEADS}, trimmed as (select doc_id, pos, trim(line) as line, list_filter(string_split_regex(trim(line), '[\s\x{{A0}}]+'), lambda x: x <> '') as w from heads),
+    judged as (select *, {CAPITALS} as capitals, {NUMBER} as page_number, string_split(regexp_replace(w[1], '[.]$', ''), '.') as n, lower(w[1]) as head, lower(regexp_extract(w[2], '^[\p{{L}}\p{{N}}_]*')) as ordinal from trimmed)
+    select doc_id, pos::int as pos, case when line = '' or length(line) > 90 or right(line, 1) in ('.', '!', '?', ',', ';', ':') or left(line, 1) in ('#', '|', '>') or left(line, 4) = '<!--' or w[1] = '-' or page_number then null
+        when len(n) <= 3 and list_bool_and(list_transform(n, lambda x: length(x) between 1 and 2 and try_cast(x as int) is not null)) and upper(left(w[2], 1)) = left(w[2], 1) and lower(left(w[2], 1)) <> left(w[2], 1) and len(w) <= 13 then len(n)
+        when head in ('capitolul', 'capitol', 'partea', 'chapter', 'part') and (try_cast(ordinal as bigint) is not null or ordinal <> '' and translate(ordinal, 'ivxlc', '') = '' or ordinal = 'a' and lower(w[3]) similar to '[ivxlc]+-a') then 1
+        when head in ('secțiunea', 'sectiunea', 'section', 'anexa', 'annex', 'appendix') and (try_cast(ordinal as bigint) is not null or ordinal <> '' and translate(ordinal, 'ivxlc', '') = '' or ordinal between 'a' and 'z' and length(ordinal) = 1) then 2
+        when capitals then 2 end::int as level, capitals, page_number, len(w) > 1 and w[1] in ('•', '●', '▪', '■', '◦', '·', '‣', '⁃', '○', '◆', '►', '–', '—', '*', '-') as item
+    from judged"""
 )
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = T.strip(F.col("line"))
@@ -159,7 +164,7 @@ def deduplicated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.deduplicated(rows).select("doc_id", "block", "type")
 
 
-STOPS = "stops(name, place, word) as (values " + ", ".join(f"('{name}', {i}, '{w}')" for i, (name, words) in enumerate(STOP_WORDS.items()) for w in dict.fromkeys(words.split())) + ")"
+STOPS = "stops(name, place, word) as (values " + ", ".join(f"('{name}', {i}, '{w}')" for i, (name, words) in enumerate(STOP_WORDS.items()) for w in dict.fromkeys(words)) + ")"
 
 
 @query(
