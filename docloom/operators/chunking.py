@@ -208,9 +208,18 @@ def rendered_windows(made: DataFrame, placed: DataFrame, names: DataFrame) -> Da
 
 
 def rebuilt(made: DataFrame, sources: DataFrame) -> DataFrame:
-    """``jobid, text``: the chunks of a job's sources in order, each after a line break, so overlaps repeat. ``sources(doc_id, jobid)``."""
-    rows = made.join(sources, "doc_id").groupBy("jobid").agg(F.array_sort(F.collect_list(F.struct("doc_id", "chunkindex", "content"))).alias("c"))
-    return rows.select("jobid", F.array_join(F.transform("c.content", lambda t: F.concat(F.lit("\n"), t)), "").alias("text"))
+    """``jobid, doc_id, chunkindex, start, piece``: the text of a job's sources, as pieces with the character each starts at; overlaps repeat.
+
+    The pieces of a job, in order of ``start``, are its whole text: every chunk after a line break. Where a source starts comes from the sums of those before it,
+    where a chunk starts from those of its source, so no value is larger than a chunk. ``sources(doc_id, jobid)``.
+    """
+    rows = made.join(sources, "doc_id").withColumn("piece", F.concat(F.lit("\n"), "content"))
+    size = F.char_length("piece").cast("long")
+    first = lambda part, order: Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("jobid", "doc_id").agg(F.sum(size).alias("size"))
+    starts = sizes.select("jobid", "doc_id", F.coalesce(F.sum("size").over(first(["jobid"], "doc_id")), F.lit(0)).alias("doc_start"))
+    own = rows.withColumn("own", F.coalesce(F.sum(size).over(first(["jobid", "doc_id"], "chunkindex")), F.lit(0)))
+    return own.join(starts, ["jobid", "doc_id"]).select("jobid", "doc_id", "chunkindex", (F.col("doc_start") + F.col("own")).alias("start"), "piece")
 
 
 # Digests: window answers as rows (source, window, list, pos, name, detail, refs)

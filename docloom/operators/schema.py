@@ -75,7 +75,7 @@ def _resolved(schema: dict, root: dict) -> dict:
 def errors(v: Column, schema: dict, root: dict | None = None, path: Column | None = None, depth: int = 0) -> Column:
     """What the schema finds in ``v`` (VARIANT): ``array<struct<path, keyword, keys>>``.
 
-    Paths are JSON pointers; ``keys`` are those that ``required`` misses and ``additionalProperties`` refuses. All
+    Paths are JSON pointers; ``keys`` are those that ``required`` misses and ``additionalProperties`` refuses, and for ``enum`` and ``const`` what is allowed, as JSON. All
     errors are found, not the first alone. Keywords: type, enum, const, required, properties, additionalProperties, minProperties,
     items, minItems, maxItems, uniqueItems, minLength, maxLength, pattern, format (date), minimum, maximum, exclusiveMinimum,
     exclusiveMaximum, allOf, anyOf, oneOf, not, if with then and else, and references within the schema. A null document has null errors.
@@ -100,7 +100,8 @@ def _found(x: Column, schema: dict, root: dict, path: Column, depth: int) -> Col
         add(~_kind(x).isin(*kinds, *(["integer"] if "number" in kinds else [])), "type")
     for keyword, values in (("enum", schema.get("enum")), ("const", [schema["const"]] if "const" in schema else None)):
         if values is not None:
-            add(~F.to_json(v).isin(*[json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in values]), keyword)
+            allowed = [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in values]
+            add(~F.to_json(v).isin(*allowed), keyword, F.array(*map(F.lit, allowed)))
     if "required" in schema:
         missing = F.filter(F.array(*map(F.lit, schema["required"])), lambda k: ~F.map_contains_key(members, k))
         add(F.size(missing) > 0, "required", missing)

@@ -92,6 +92,13 @@ def periods(spark, now: int, months: int = REPORT_MONTHS) -> DataFrame:
     return spark.range(months).select(F.col("id").alias("place"), F.date_format(F.add_months(first, -F.col("id").cast("int")), "yyyy-MM").alias("period"))
 
 
+def periods_of(log: DataFrame, months: int = REPORT_MONTHS) -> DataFrame:
+    """The months up to that of the log's last call, latest first: ``place, period``. An empty log has none."""
+    last = log.agg(F.trunc(F.to_date(F.timestamp_seconds(F.max("timecreated"))), "month").alias("last")).where("last is not null")
+    rows = last.select("last", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(months - 1).cast("long"))).alias("place"))
+    return rows.select("place", F.date_format(F.add_months("last", -F.col("place").cast("int")), "yyyy-MM").alias("period"))
+
+
 def by_month(log: DataFrame, now: int, months: int = REPORT_MONTHS) -> DataFrame:
     """The last ``months`` months, latest first; months without calls have zeros. One aggregate over the months' calls."""
     calendar = periods(log.sparkSession, now, months)
@@ -152,7 +159,7 @@ def cost_drift(jobs: DataFrame, steps: DataFrame, tolerance: str = "0.000001") -
 
 
 def run_quality(steps: DataFrame) -> DataFrame:
-    """Per job: content nodes, nodes for people, fixes by kind, repairs beyond the first call, and the share of cached input."""
+    """Per job: content nodes, nodes for people, fixes by kind, repairs beyond the first call, the outline's sections, and the share of cached input (null without any)."""
     content = F.col("step").isin("sections", "activities", "questions")
     manual = F.col("status").isin("manual", "error")
     return steps.groupBy("jobid").agg(
@@ -162,5 +169,7 @@ def run_quality(steps: DataFrame) -> DataFrame:
         F.count(F.when(F.col("reason") == "cleaned", 1)).alias("cleaned"),
         F.count(F.when(F.col("reason") == "repaired", 1)).alias("repaired"),
         F.sum(F.col("attempts") - 1).cast("long").alias("repairs"),
+        F.max(F.when(F.col("step") == "outline", F.json_array_length(F.get_json_object("output", "$.sections")))).cast("long").alias("sections"),
         F.sum("tokensin").alias("tokensin"), F.sum("tokensout").alias("tokensout"), F.sum("tokenscached").alias("tokenscached"),
+        (F.sum("tokenscached") / F.nullif(F.sum("tokensin"), F.lit(0))).alias("cached_share"),
     )

@@ -72,11 +72,14 @@ def window_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.rendered_windows(made, C.windows(made, 400), names).select("doc_id", "window", F.md5("text").alias("digest"))
 
 
-@query(f"with {TURNS} select doc_id % 5 as jobid, md5(string_agg(chr(10) || content, '' order by doc_id, chunkindex)) as digest from turns group by 1")
+@query(
+    f"""with {TURNS}, pieces as (select doc_id % 5 as jobid, doc_id, chunkindex, chr(10) || content as piece from turns)
+    select jobid, doc_id, chunkindex, coalesce(sum(length(piece)) over (partition by jobid order by doc_id, chunkindex rows between unbounded preceding and 1 preceding), 0)::bigint as start, md5(piece) as digest from pieces"""
+)
 def rebuilt_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = turns(spark, sf_dir)
     jobs = made.select("doc_id", (F.col("doc_id") % 5).alias("jobid")).distinct()
-    return C.rebuilt(made, jobs).select("jobid", F.md5("text").alias("digest"))
+    return C.rebuilt(made, jobs).select("jobid", "doc_id", "chunkindex", "start", F.md5("piece").alias("digest"))
 
 
 @query(f"with {TURNS} select doc_id, chunkindex, sha1(content) as contenthash from turns")

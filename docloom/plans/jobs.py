@@ -11,6 +11,7 @@ from ..functions.text import fenced, rendered
 from ..operators import generation as G
 from ..operators import jobs as J
 from ..operators import schema
+from ..operators.settings import site_settings
 from ..sources.tables import relation, table
 from .registry import query
 
@@ -465,7 +466,7 @@ def answers_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {WRITTEN}, found as (select event_id, k, unnest(case k when 1 then ['|additionalProperties|note'] when 2 then ['|additionalProperties|z', '/activities/1|additionalProperties|colour,x', '/activities/2/content|additionalProperties|more']
-        when 3 then ['/activities/1/content|additionalProperties|link'] when 4 then ['/activities/1|additionalProperties|x', '/activities/1/type|enum|', '/activities/1/title|minLength|', '/activities/1/minutes|oneOf|']
+        when 3 then ['/activities/1/content|additionalProperties|link'] when 4 then ['/activities/1|additionalProperties|x', '/activities/1/type|enum|"page","url","quiz"', '/activities/1/title|minLength|', '/activities/1/minutes|oneOf|']
         when 5 then ['/id|pattern|', '/activities|minItems|'] when 6 then ['/activities/1|required|content'] else [] end) as e from answered)
     select event_id, split_part(e, '|', 1) as path, split_part(e, '|', 2) as keyword, split_part(e, '|', 3) as keys from found"""
 )
@@ -503,3 +504,20 @@ def sections_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array_join(F.flatten(F.transform(F.filter("activities", lambda a: a["type"] == "lesson"), lambda a: F.transform(a["pages"], lambda p: F.coalesce(p["id"], F.lit(""))))), ",")
     np = F.coalesce(F.get("activities", F.lit(0))["pages"][0]["title"].cast("long"), F.lit(0))
     return made.select("job", "node", np.alias("np"), F.size("activities").cast("long").alias("kept"), F.col("removed").cast("long").alias("removed"), F.col("numbered").cast("long").alias("numbered"), ids.alias("pages"), "renamed")
+
+
+@query(
+    """with given as (select c_custkey as site, split_part('joblimit,userlimit,alertpercent,parallel,colour', ',', (1 + c_custkey % 5)::int) as name, c_custkey from customer union all select c_custkey, 'sitelimit', c_custkey from customer),
+    valued as (select site, name, case c_custkey % 7 when 0 then '50' when 1 then ' 7.5 ' when 2 then '3.255' when 3 then '-1' when 4 then 'many' when 5 then '5' else '2000000' end as v from given),
+    numbers as (select site, name, case when regexp_full_match(trim(v), case when name in ('alertpercent', 'parallel') then '[0-9]{1,9}' else '[0-9]{1,9}(\.[0-9]{1,2})?' end) then trim(v)::double end as n from valued)
+    select site, coalesce(max(n) filter (name = 'joblimit' and n <= 10000), 5)::double as joblimit, coalesce(max(n) filter (name = 'userlimit' and n <= 10000), 20)::double as userlimit, coalesce(max(n) filter (name = 'sitelimit' and n <= 1000000), 200)::double as sitelimit,
+        coalesce(max(n) filter (name = 'alertpercent' and n <= 100), 80)::double as alertpercent, coalesce(max(n) filter (name = 'parallel' and n between 1 and 6), 4)::double as parallel from numbers group by 1"""
+)
+def settings_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of every kind: numbers, some out of range, with too many decimals, negative or in words."""
+    k = F.col("c_custkey")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (1 + k % n).cast("int"))
+    value = pick(("50", " 7.5 ", "3.255", "-1", "many", "5", "2000000"), 7).alias("value")
+    rows = table(spark, sf_dir, "customer")
+    one = rows.select(k.alias("site"), pick(("joblimit", "userlimit", "alertpercent", "parallel", "colour"), 5).alias("name"), value)
+    return site_settings(one.union(rows.select(k, F.lit("sitelimit"), value)))

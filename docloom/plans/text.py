@@ -246,14 +246,14 @@ def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""with rows as (select conv_id, list(struct_pack(turn := turn, cells := string_split(replace(substr(text, 1, 60), ',', '|'), ' ')[1:1 + turn % 3]) order by turn, text) as r from conversations group by 1),
+    r"""with rows as (select conv_id, list(struct_pack(turn := turn, cells := string_split(replace(text, ',', '|'), '. ')) order by turn, text) as r from conversations group by 1),
     wide as (select conv_id, list_max(list_transform(r, lambda x: len(x.cells))) as w, r from rows),
     made as (select conv_id, w, list_transform(r, lambda x: '| ' || array_to_string(list_transform(list_resize(x.cells, w, ''), lambda c: replace(trim(regexp_replace(c, '\s+', ' ', 'g')), '|', '\|')), ' | ') || ' |') as lines from wide)
     select conv_id, md5(array_to_string(list_concat([lines[1], '| ' || array_to_string(list_resize(['---'], w, '---'), ' | ') || ' |'], lines[2:]), chr(10))) as digest, len(lines) as n from made"""
 )
 def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row of a few cells of each turn; rows differ in length and hold pipes."""
-    cells = F.slice(F.split(F.replace(F.substring("text", 1, 60), F.lit(","), F.lit("|")), " ", -1), F.lit(1), (F.col("turn") % 3 + 1).cast("int"))
+    """Whole turns as rows, a cell for each sentence; rows differ in length and hold pipes."""
+    cells = F.split(F.replace("text", F.lit(","), F.lit("|")), r"\. ", -1)
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", cells.alias("cells")))).alias("r"))
     rows = rows.withColumn("t", T.table_rows(F.col("r.cells")))
     return rows.select("conv_id", F.md5("t").alias("digest"), F.size("r").cast("long").alias("n"))

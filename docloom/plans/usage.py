@@ -65,9 +65,9 @@ def usage_by_month_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(usage.by_month(relation(spark, sf_dir, "long_log"), NOW))
 
 
-@query("select i as place, strftime(date '2001-08-01' - to_months(cast(i as int)), '%Y-%m') as period from range(12) t(i)")
+@query("select i as place, strftime(date_trunc('month', make_timestamp(last * 1000000)) - to_months(cast(i as int)), '%Y-%m') as period from (select max(timecreated) as last from long_log), range(12) t(i)", ("long_log",))
 def usage_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.periods(spark, NOW)
+    return usage.periods_of(relation(spark, sf_dir, "long_log"))
 
 
 @query(
@@ -143,9 +143,13 @@ def cost_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """select jobid, count(*) filter (step in ('sections', 'activities', 'questions')) as nodes, count(*) filter (status in ('manual', 'error')) as manual,
         coalesce(string_agg(distinct nodekey, ',' order by nodekey) filter (status in ('manual', 'error')), '') as manual_nodes,
         count(*) filter (reason = 'cleaned') as cleaned, count(*) filter (reason = 'repaired') as repaired, cast(sum(attempts - 1) as bigint) as repairs,
-        cast(sum(tokensin) as bigint) as tokensin, cast(sum(tokensout) as bigint) as tokensout, cast(sum(tokenscached) as bigint) as tokenscached
+        max(attempts + 2) filter (step = 'outline') as sections, cast(sum(tokensin) as bigint) as tokensin, cast(sum(tokensout) as bigint) as tokensout, cast(sum(tokenscached) as bigint) as tokenscached,
+        sum(tokenscached)::double / nullif(sum(tokensin), 0)::double as cached_share
     from step group by 1""",
     ("step",),
 )
 def run_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.run_quality(relation(spark, sf_dir, "step"))
+    """An outline has as many sections as it had attempts, and two more."""
+    steps = relation(spark, sf_dir, "step")
+    outline = F.to_json(F.struct(F.transform(F.sequence(F.lit(0).cast("long"), F.col("attempts").cast("long") + 1), lambda i: F.struct(i.alias("id"))).alias("sections")))
+    return usage.run_quality(steps.withColumn("output", F.when(F.col("step") == "outline", outline).otherwise(F.col("output"))))
