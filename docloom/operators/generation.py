@@ -119,6 +119,11 @@ def retryable(code: Column, network_error: Column) -> Column:
     return network_error | F.coalesce(code.isin(*CODES), F.lit(False))
 
 
+def retry_wait(attempt: Column, asked: Column, chance: Column, base: float = 1.0, most: float = 30.0) -> Column:
+    """Seconds until the next try: what the provider asks for, else a share (``chance``, 0 to 1) of a span that doubles with each attempt, up to ``most``."""
+    return F.coalesce(asked.cast("double"), chance * F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt - 1)))
+
+
 def ingest_progress(sources: DataFrame) -> DataFrame:
     """``jobid, percent``: each source has three phases: pending 0, failed or digested 3, else 2 with chunks and 1 without. ``sources(jobid, status, chunks)``."""
     done = F.when(F.col("status") == "pending", 0).when(F.col("status").isin("failed", "digested"), 3).when(F.col("chunks") > 0, 2).otherwise(1)

@@ -148,6 +148,17 @@ def attempts(steps: DataFrame) -> DataFrame:
     return steps.groupBy("jobid", "inputhash").agg(F.count(F.lit(1)).alias("attempts"))
 
 
+def started(steps: DataFrame, starts: DataFrame) -> DataFrame:
+    """``jobid, inputhash, status, attempts``: the rows that starting steps leave: a new one with one attempt, or what was there with one more, running.
+
+    ``steps(jobid, inputhash, status, attempts)``; ``starts(jobid, inputhash)``, a row for each start. Steps that nobody starts stay as they are.
+    """
+    key = ["jobid", "inputhash"]
+    more = starts.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("more"))
+    rows = steps.groupBy(*key).agg(F.max_by("status", "attempts").alias("status"), F.max("attempts").alias("attempts")).join(more, key, "full")
+    return rows.select(*key, F.when(F.col("more").isNotNull(), "running").otherwise(F.col("status")).alias("status"), (F.coalesce("attempts", F.lit(0)) + F.coalesce("more", F.lit(0))).cast("int").alias("attempts"))
+
+
 def finished_status(success: Column, manual: Column) -> Column:
     return F.when(success & manual, "manual").when(success, "done").otherwise("error")
 

@@ -521,3 +521,25 @@ def settings_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer")
     one = rows.select(k.alias("site"), pick(("joblimit", "userlimit", "alertpercent", "parallel", "colour"), 5).alias("name"), value)
     return site_settings(one.union(rows.select(k, F.lit("sitelimit"), value)))
+
+
+@query(
+    """with rows as (select l_orderkey as jobid, 'h' || (l_partkey % 4) as inputhash, l_partkey % 2 = 0 as start, case when l_suppkey % 3 = 0 then 'done' else 'error' end as status, l_linenumber as attempts, l_suppkey from lineitem),
+    have as (select jobid, inputhash, max(attempts) as attempts from rows where not start or l_suppkey % 5 = 0 group by 1, 2), more as (select jobid, inputhash, count(*) as more from rows where start group by 1, 2)
+    select jobid, inputhash, case when more is null then 'error' else 'running' end as status, (coalesce(attempts, 0) + coalesce(more, 0))::int as attempts from have full join more using (jobid, inputhash)"""
+)
+def step_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("jobid"), F.concat(F.lit("h"), (F.col("l_partkey") % 4).cast("string")).alias("inputhash"), (F.col("l_partkey") % 2 == 0).alias("start"), F.lit("error").alias("status"), F.col("l_linenumber").cast("int").alias("attempts"), "l_suppkey")
+    return J.started(rows.where("not start or l_suppkey % 5 = 0"), rows.where("start"))
+
+
+@query(
+    """select event_id, event_type || '/' || (event_id % 3) as name, event_id % 9 as attempt, case when event_id % 4 = 0 then (event_id % 50)::double else (event_id % 10) / 10.0::double * least(30, 2 ** (event_id % 9 - 1)) end as wait
+    from events where event_type || '/' || (event_id % 3) like '%ch%/1' or event_type like 'c__c_'"""
+)
+def retry_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by pattern, and how long each waits before it is tried again."""
+    k = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit("/"), (k % 3).cast("string")).alias("name"), (k % 9).alias("attempt"), "event_type")
+    wait = G.retry_wait(k % 9, F.when(k % 4 == 0, k % 50), (k % 10) / F.lit(10.0))
+    return rows.where(F.col("name").like("%ch%/1") | F.col("event_type").like("c__c_")).select("event_id", "name", "attempt", wait.alias("wait"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import STOP_WORDS
 from ..functions import text as T
 from ..operators import structure as S
+from ..sources.files import decoded_texts, replace_partitions, shared_folder
 from ..sources.tables import table
 from .registry import query
 
@@ -269,3 +270,24 @@ def joined_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.transform("t", lambda x: F.when(x["turn"] % 3 == 1, "").otherwise(x["text"]))
     joined = S.joined_pages(texts)
     return pages.select("conv_id", F.md5(F.when(joined != "", joined)).alias("digest"))
+
+
+@query("select doc_id, case when doc_id % 7 = 0 then 'no text' end as error, case when doc_id % 7 = 0 then md5('') else md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) end as digest from documents")
+def decoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as bytes of several encodings, with and without marks; some hold only blanks."""
+    k, text = F.col("doc_id") % 4, F.when(F.col("doc_id") % 7 == 0, " \n\t ").otherwise(F.col("text"))
+    marked = lambda mark, code: F.concat(F.unhex(F.lit(mark)), F.encode(text, code))
+    raw = F.when(k == 0, F.encode(text, "UTF-8")).when(k == 1, marked("EFBBBF", "UTF-8")).when(k == 2, marked("FFFE", "UTF-16LE")).otherwise(marked("FEFF", "UTF-16BE"))
+    made = decoded_texts(documents(spark, sf_dir).select("doc_id", raw.alias("content")))
+    return made.select("doc_id", "error", F.md5("text").alias("digest"))
+
+
+@query("select doc_id % 10 as part, count(*) as n, sum(case when doc_id % 10 < 4 and doc_id % 3 = 0 then 2 else 1 end)::bigint as version from documents where doc_id % 10 >= 4 or doc_id % 3 = 0 group by 1")
+def replaced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some parts are written a second time, with other rows: these replace what was there, other parts stay."""
+    path, k = shared_folder(spark), F.col("doc_id")
+    rows = documents(spark, sf_dir).select("doc_id", (k % 10).alias("part"))
+    replace_partitions(rows.withColumn("version", F.lit(1)), path, "part")
+    replace_partitions(rows.where((k % 10 < 4) & (k % 3 == 0)).withColumn("version", F.lit(2)), path, "part")
+    got = spark.read.schema("doc_id long, version int, part long").parquet(path)
+    return got.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("version").alias("version"))

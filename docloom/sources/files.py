@@ -14,6 +14,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import html_to_markdown, tidy
 from ..operators.jobs import source_type
@@ -34,23 +35,93 @@ def decoded(raw: bytes) -> str:
         return raw.decode("cp1250", "replace")
 
 
-def docx_paragraphs(raw: bytes) -> str:
-    """The paragraphs of a Word file: headings by style, list items by depth, the rest as it is."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as parts:
-        root = ElementTree.fromstring(parts.read("word/document.xml"))
-    out = []
-    for p in root.iter(f"{WORD}p"):
-        text = "".join(t.text or "" for t in p.iter(f"{WORD}t")).strip()
-        style = p.find(f"{WORD}pPr/{WORD}pStyle")
-        level = p.find(f"{WORD}pPr/{WORD}numPr/{WORD}ilvl")
-        name = style.get(f"{WORD}val", "") if style is not None else ""
-        if text and name.lower().startswith("heading") and name[7:].strip().isdigit():
-            text = "#" * min(3, int(name[7:])) + " " + text
-        elif text and level is not None:
-            text = "  " * int(level.get(f"{WORD}val", "0")) + "- " + text
-        if text:
-            out.append(text)
-    return "\n\n".join(out)
+def _heading_levels(styles: bytes | None) -> dict[str, int]:
+    """Heading level by style id: a style's own outline level or English name (``heading 2``; ``Title`` is 1), or else that of what it is based on.
+
+    Word in other languages gives built-in styles local ids and keeps their names.
+    """
+    own, base = {}, {}
+    for style in ElementTree.fromstring(styles).iter(f"{WORD}style") if styles else ():
+        ident = style.get(f"{WORD}styleId", "")
+        get = lambda path: next((e.get(f"{WORD}val", "") for e in style.iterfind(path)), "")  # noqa: B023, E731
+        name, outline = get(f"{WORD}name").lower(), get(f"{WORD}pPr/{WORD}outlineLvl")
+        base[ident] = get(f"{WORD}basedOn")
+        if name == "title":
+            own[ident] = 1
+        elif name.startswith("heading") and name[7:].strip().isdigit():
+            own[ident] = int(name[7:])
+        elif outline.isdigit() and int(outline) < 9:
+            own[ident] = int(outline) + 1
+    out = {}
+    for ident in base:
+        at, seen = ident, set()
+        while at in base and at not in own and at not in seen:
+            seen.add(at)
+            at = base[at]
+        if at in own:
+            out[ident] = own[at]
+    return out
+
+
+def _paragraph(p: ElementTree.Element, levels: dict[str, int]) -> tuple[str, str]:
+    text = "".join(t.text or "" for t in p.iter(f"{WORD}t")).strip()
+    style = p.find(f"{WORD}pPr/{WORD}pStyle")
+    name = style.get(f"{WORD}val", "") if style is not None else ""
+    plain = int(name[7:]) if name.lower().startswith("heading") and name[7:].strip().isdigit() else 0
+    heading, depth = levels.get(name, plain), p.find(f"{WORD}pPr/{WORD}numPr/{WORD}ilvl")
+    if text and heading:
+        return "heading", "#" * min(3, heading) + " " + text
+    if text and depth is not None:
+        return "list", "  " * int(depth.get(f"{WORD}val", "0")) + "- " + text
+    return "text", text
+
+
+def _table(table: ElementTree.Element) -> str:
+    """A Markdown table, its first row as the header; short rows are padded, a cell's paragraphs are one line."""
+    texts = lambda cell: " ".join(" ".join("".join(t.text or "" for t in p.iter(f"{WORD}t")) for p in cell.iter(f"{WORD}p")).split()).replace("|", "\\|")
+    rows = [[texts(cell) for cell in row.iterfind(f"{WORD}tc")] for row in table.iterfind(f"{WORD}tr")]
+    width = max(map(len, rows), default=0)
+    lines = ["| " + " | ".join([*row, *[""] * (width - len(row))]) + " |" for row in rows if any(row)]
+    return "\n".join([*lines[:1], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]) if lines else ""
+
+
+def docx_markdown(raw: bytes) -> str:
+    """A Word file: headings by style, whatever its language, list items by depth, tables; the rest as it is.
+
+    The body is read as a stream of XML events, block by block. List items in a row stay together. A file that
+    is no Word file gives no text.
+    """
+    try:
+        with zipfile.ZipFile(io.BytesIO(raw)) as parts:
+            levels = _heading_levels(parts.read("word/styles.xml") if "word/styles.xml" in parts.namelist() else None)
+            blocks, above = [], []
+            with parts.open("word/document.xml") as body:
+                for event, element in ElementTree.iterparse(body, ("start", "end")):
+                    if event == "start":
+                        above.append(element.tag)
+                        continue
+                    above.pop()
+                    if element.tag not in (f"{WORD}p", f"{WORD}tbl") or {f"{WORD}tbl", f"{WORD}p"} & set(above):
+                        continue  # what a table or a paragraph holds belongs to it
+                    blocks.append(_paragraph(element, levels) if element.tag == f"{WORD}p" else ("table", _table(element)))
+                    element.clear()
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return ""
+    blocks = [b for b in blocks if b[1]]
+    joints = ["\n" if one[0] == two[0] == "list" else "\n\n" for one, two in zip(blocks, blocks[1:], strict=False)]
+    return "".join(x for pair in zip([b[1] for b in blocks], [*joints, ""], strict=True) for x in pair)
+
+
+def decoded_texts(files: DataFrame) -> DataFrame:
+    """``files`` with ``text`` in place of ``content`` (bytes), tidied, and ``error``: ``no text`` where nothing is left, also for null content."""
+    rest = [f for f in files.schema if f.name != "content"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(text=["" if raw is None else decoded(bytes(raw)) for raw in batch["content"]]).drop(columns="content")
+
+    made = files.mapInPandas(run, StructType([*rest, StructField("text", StringType())]))
+    return made.withColumn("text", tidy(F.col("text"))).withColumn("error", F.when(F.col("text") == "", "no text"))
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int = 50 << 20) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +137,7 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = 50 << 20) -> tup
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [docx_paragraphs(raw) if kind == "docx" else decoded(raw) for kind, raw in zip(batch["type"], batch["content"], strict=True)]
+            texts = [docx_markdown(raw) if kind == "docx" else decoded(raw) for kind, raw in zip(batch["type"], batch["content"], strict=True)]
             yield pd.DataFrame({"path": batch["path"], "type": batch["type"], "text": texts})
 
     texts = files.where(readable).select("path", "type", "content").mapInPandas(run, TEXTS)

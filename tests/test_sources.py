@@ -118,3 +118,26 @@ def test_call_log_has_every_attempt_once(spark, tmp_path):
     assert key(read()) == want
     add((1, 2, 7, 40, False, 0), (4, 1, 8, 3, False, 0))
     assert key(read()) == [*want, (4, 1, "success", "c", 3, 0.5, None)]
+
+
+def word_file(path, body, styles=""):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", f"<w:styles {w}>{styles}</w:styles>")
+
+
+def test_word_tables_lists_and_local_styles(spark, tmp_path):
+    p = lambda text, style="", depth=None: "<w:p><w:pPr>" + (f'<w:pStyle w:val="{style}"/>' if style else "") + (f'<w:numPr><w:ilvl w:val="{depth}"/></w:numPr>' if depth is not None else "") + f"</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>"
+    cell = lambda *ps: "<w:tc>" + "".join(map(p, ps)) + "</w:tc>"
+    row = lambda *cells: "<w:tr>" + "".join(cells) + "</w:tr>"
+    style = lambda ident, name, more="": f'<w:style w:styleId="{ident}"><w:name w:val="{name}"/>{more}</w:style>'
+    styles = style("Titlu", "Title") + style("Titlu1", "heading 1") + style("Titlu2", "heading 2") + style("Meu", "Capitol mic", '<w:basedOn w:val="Titlu2"/>') + style("A", "a", '<w:basedOn w:val="B"/>') + style("B", "b", '<w:basedOn w:val="A"/>') + style("Nivel", "nivel", '<w:pPr><w:outlineLvl w:val="2"/></w:pPr>')
+    table = "<w:tbl>" + row(cell("Nume", ""), cell("a|b")) + row(cell("unu", "doi")) + row(cell(""), cell("")) + row(cell("<w:br/>"), cell("x")) + "</w:tbl>"
+    body = p("Carte", "Titlu") + p("Partea", "Titlu1") + p("unu", depth=0) + p("doi", depth=1) + p("trei", depth=0) + p("text", "A") + table + p("Mic", "Meu") + p("Al treilea", "Nivel") + p("")
+    word_file(tmp_path / "a.docx", body, styles)
+    (tmp_path / "b.docx").write_bytes(b"no archive")
+    texts, errors = read_files(spark, str(tmp_path))
+    want = "# Carte\n\n# Partea\n\n- unu\n  - doi\n- trei\n\ntext\n\n| Nume | a\\|b |\n| --- | --- |\n| unu doi | |\n| | x |\n\n## Mic\n\n### Al treilea"
+    assert [r["text"].replace("|  |", "| |") for r in texts.collect()] == [want]
+    assert [(r["path"].rsplit("/", 1)[1], r["error"]) for r in errors.collect()] == [("b.docx", "no text")]
