@@ -182,14 +182,29 @@ def enum_errors(blueprints: DataFrame, types: tuple[str, ...], kinds: tuple[str,
     return wrong(activities(blueprints), "type", types).union(wrong(questions(blueprints), "qtype", kinds))
 
 
+def references(blueprints: DataFrame) -> DataFrame:
+    """``bp, path, kind, ref``: what activities need (activity) and cite (source), and what questions are about (objective), in one pass over the documents."""
+    path = F.col("path")
+    ref = lambda at, kind, name: F.struct(at.alias("path"), F.lit(kind).alias("kind"), name.alias("ref"))
+
+    def of_activity(a: Column, i: Column) -> Column:
+        at = F.concat(path, F.lit("/activities/"), i.cast("string"))
+        asked = F.transform(a["questions"], lambda q, j: ref(F.concat(at, F.lit("/questions/"), j.cast("string")), "objective", q["objective_ref"]))
+        lists = F.transform(a["needs"], lambda n: ref(at, "activity", n)), F.transform(a["refs"], lambda s: ref(at, "source", s)), F.filter(asked, lambda r: r["ref"].isNotNull())
+        none = F.array().cast("array<struct<path:string,kind:string,ref:string>>")
+        return F.concat(*[F.coalesce(x, none) for x in lists])
+
+    every = F.flatten(F.transform("activities", of_activity))
+    return containers(blueprints).select("bp", F.explode(every).alias("r")).select("bp", "r.*")
+
+
 def broken_references(blueprints: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """``bp, path, kind, ref``: references to activities and objectives that don't exist, and to sources if ``sources(bp, id)`` are given."""
-    ids = node_ids(blueprints).select("bp", F.col("kind").alias("of"), F.col("id").alias("target"))
-    needs = activities(blueprints).select("bp", "path", F.lit("activity").alias("kind"), F.explode("needs").alias("ref"))
-    goals = questions(blueprints).where("objective_ref is not null").select("bp", "path", F.lit("objective").alias("kind"), F.col("objective_ref").alias("ref"))
-    refs = needs.union(goals)
-    if sources is not None:
-        refs = refs.union(activities(blueprints).select("bp", "path", F.lit("source").alias("kind"), F.explode("refs").alias("ref")))
+    ids = node_ids(blueprints).where(F.col("kind").isin("activity", "objective")).select("bp", F.col("kind").alias("of"), F.col("id").alias("target"))
+    refs = references(blueprints)
+    if sources is None:
+        refs = refs.where("kind <> 'source'")
+    else:
         ids = ids.union(sources.select("bp", F.lit("source"), "id"))
     ids = ids.withColumnRenamed("bp", "owner")
     return refs.join(ids, (F.col("bp") == F.col("owner")) & (F.col("kind") == F.col("of")) & (F.col("ref") == F.col("target")), "left_anti")
@@ -244,7 +259,7 @@ def required_ids(blueprints: DataFrame, targets: DataFrame) -> DataFrame:
     targets = targets.select(F.col("bp").alias("tbp"), F.col("path").alias("target"))
     under = lambda path: (path == F.col("target")) | path.startswith(F.concat(F.col("target"), F.lit("/")))
     inside = node_ids(blueprints).join(targets, (F.col("bp") == F.col("tbp")) & under(F.col("path")))
-    refs = activities(blueprints).select("bp", "path", F.explode("needs").alias("ref")).union(questions(blueprints).where("objective_ref is not null").select("bp", "path", "objective_ref"))
+    refs = references(blueprints).where("kind <> 'source'").select("bp", "path", "ref")
     outside = refs.join(targets, F.col("bp") == F.col("tbp")).where(~under(F.col("path"))).select("bp", "target", F.col("ref").alias("id")).distinct()
     needed = inside.select("bp", "target", "id").join(outside, ["bp", "target", "id"], "left_semi")
     return needed.union(inside.where(F.col("path") == F.col("target")).select("bp", "target", "id")).select("bp", "id").distinct()

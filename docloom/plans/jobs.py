@@ -509,7 +509,7 @@ def sections_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """with given as (select c_custkey as site, split_part('joblimit,userlimit,alertpercent,parallel,colour', ',', (1 + c_custkey % 5)::int) as name, c_custkey from customer union all select c_custkey, 'sitelimit', c_custkey from customer),
     valued as (select site, name, case c_custkey % 7 when 0 then '50' when 1 then ' 7.5 ' when 2 then '3.255' when 3 then '-1' when 4 then 'many' when 5 then '5' else '2000000' end as v from given),
-    numbers as (select site, name, case when regexp_full_match(trim(v), case when name in ('alertpercent', 'parallel') then '[0-9]{1,9}' else '[0-9]{1,9}(\.[0-9]{1,2})?' end) then trim(v)::double end as n from valued)
+    numbers as (select site, name, case when regexp_full_match(trim(v), case when name in ('alertpercent', 'parallel') then '[0-9]{1,9}' else '[0-9]{1,9}([.][0-9]{1,2})?' end) then trim(v)::double end as n from valued)
     select site, coalesce(max(n) filter (name = 'joblimit' and n <= 10000), 5)::double as joblimit, coalesce(max(n) filter (name = 'userlimit' and n <= 10000), 20)::double as userlimit, coalesce(max(n) filter (name = 'sitelimit' and n <= 1000000), 200)::double as sitelimit,
         coalesce(max(n) filter (name = 'alertpercent' and n <= 100), 80)::double as alertpercent, coalesce(max(n) filter (name = 'parallel' and n between 1 and 6), 4)::double as parallel from numbers group by 1"""
 )
