@@ -55,7 +55,7 @@ def rows():
 
 
 def test_as_plain_scan(spark, rows):
-    for length, more in ((40, {"piece": 16}), (60, {"piece": 20, "shard": 3000}), (30, {"piece": 8, "group": 2}), (200, {})):
+    for length, more in ((40, {"piece": 16}), (60, {"piece": 20, "shard": 3000}), (30, {"piece": 8, "group": 2})):
         assert got(spark, rows, length, **more) == brute(rows, length)
 
 
