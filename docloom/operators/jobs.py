@@ -94,17 +94,30 @@ def has_data(users: DataFrame, *tables: DataFrame) -> DataFrame:
     return users.join(users_with_data(*tables), "userid", "left_semi")
 
 
-def export(users: DataFrame, jobs: DataFrame, sources: DataFrame, steps: DataFrame, log: DataFrame) -> DataFrame:
-    """``userid, document``: what is held about each user, nested, as JSON. Rows gather per job and user; order is by id."""
-    own = jobs.join(users.select("userid").distinct(), "userid", "left_semi")
-    keep = own.select(F.col("id").alias("jobid"))
-    s = sources.join(keep, "jobid", "left_semi").groupBy("jobid").agg(F.array_sort(F.collect_list(F.struct("id", "filename", "status"))).alias("sources"))
-    p = steps.join(keep, "jobid", "left_semi").groupBy("jobid").agg(F.array_sort(F.collect_list(F.struct("timecreated", "step", "nodekey", "status"))).alias("steps"))
-    j = own.withColumnRenamed("id", "jobid").join(s, "jobid", "left").join(p, "jobid", "left")
-    j = j.groupBy("userid").agg(F.array_sort(F.collect_list(F.struct("jobid", "prompt", "status", "sources", "steps"))).alias("jobs"))
-    calls = log.join(users.select("userid").distinct(), "userid", "left_semi").groupBy("userid").agg(F.array_sort(F.collect_list(F.struct("id", "step", "model", "status"))).alias("calls"))
-    rows = users.select("userid").distinct().join(j, "userid", "left").join(calls, "userid", "left")
-    return rows.select("userid", F.to_json(F.struct("jobs", "calls")).alias("document"), F.coalesce(F.size("jobs"), F.lit(0)).alias("n_jobs"), F.coalesce(F.size("calls"), F.lit(0)).alias("n_calls"), F.coalesce(F.aggregate("jobs", F.lit(0), lambda n, x: n + F.coalesce(F.size(x["steps"]), F.lit(0))), F.lit(0)).alias("n_steps"))
+def export(users: DataFrame, jobs: DataFrame, sources: DataFrame, steps: DataFrame, log: DataFrame, chunks: DataFrame | None = None, versions: DataFrame | None = None, budgets: DataFrame | None = None) -> DataFrame:
+    """``userid, document``: what is held about each user, nested, as JSON. Rows gather per job and user; order is by id.
+
+    Jobs hold their ``sources``, ``steps``, ``chunks(jobid, sourceid, chunkindex, tokencount)`` and blueprints (``versions(jobid, version)``); then come the
+    ``calls`` and ``budgets(userid, period, spentusd)``. What isn't given is left out.
+    """
+    own = jobs.join(users.select("userid").distinct(), "userid", "left_semi").withColumnRenamed("id", "jobid")
+    keep = own.select("jobid")
+    parts = {
+        "sources": (sources, ("id", "filename", "status")), "steps": (steps, ("timecreated", "step", "nodekey", "status")),
+        "chunks": (chunks, ("sourceid", "chunkindex", "tokencount")), "blueprints": (versions, ("version",)),
+    }
+    given = {name: part for name, part in parts.items() if part[0] is not None}
+    for name, (rows, fields) in given.items():
+        lists = rows.join(keep, "jobid", "left_semi").groupBy("jobid").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+        own = own.join(lists, "jobid", "left")
+    out = own.groupBy("userid").agg(F.array_sort(F.collect_list(F.struct("jobid", "prompt", "status", *given))).alias("jobs"))
+    rows = users.select("userid").distinct().join(out, "userid", "left")
+    more = {"calls": (log, ("id", "step", "model", "status")), "budgets": (budgets, ("period", "spentusd"))}
+    also = {name: part for name, part in more.items() if part[0] is not None}
+    for name, (table, fields) in also.items():
+        lists = table.join(users.select("userid").distinct(), "userid", "left_semi").groupBy("userid").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+        rows = rows.join(lists, "userid", "left")
+    return rows.select("userid", F.to_json(F.struct("jobs", *also)).alias("document"))
 
 
 def without_users(users: DataFrame, jobs: DataFrame, log: DataFrame, children: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -102,15 +102,31 @@ def user_has_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with per as (select userid, count(*) as n_jobs, sum((select count(*) from step where step.jobid = job.id)) as n_steps from job group by 1), calls as (select userid, count(*) as n from call_log group by 1)
-    select c_custkey as userid, coalesce(n_jobs, 0)::int as n_jobs, coalesce(n, 0)::int as n_calls, coalesce(n_steps, 0)::int as n_steps from customer left join per p on p.userid = c_custkey left join calls c on c.userid = c_custkey""",
-    ("job", "step", "call_log"),
+    f"""with {VERSIONS}, chunks as (select jobid, id as sourceid, i as chunkindex from source, range(0, 3) t(i) where i <= id % 3),
+    s as (select jobid, string_agg(id || '=' || status, ';' order by id) as t from source group by 1),
+    p as (select jobid, string_agg(step || '=' || nodekey || '=' || status, ';' order by timecreated, step, nodekey, status) as t from step group by 1),
+    c as (select jobid, string_agg(sourceid || '=' || chunkindex, ';' order by sourceid, chunkindex) as t from chunks group by 1),
+    v as (select jobid, string_agg(version::varchar, ';' order by version) as t from versions group by 1),
+    j as (select userid, string_agg(id || ':' || status || '|' || coalesce(s.t, '') || '|' || coalesce(p.t, '') || '|' || coalesce(c.t, '') || '|' || coalesce(v.t, ''), '/' order by id) as t
+        from job left join s on s.jobid = id left join p on p.jobid = id left join c on c.jobid = id left join v on v.jobid = id group by 1),
+    l as (select userid, string_agg(id || '=' || status, ';' order by id) as t from call_log group by 1), b as (select userid, string_agg(period, ';' order by period) as t from budget group by 1)
+    select c_custkey as userid, md5(coalesce(j.t, '') || '#' || coalesce(l.t, '') || '#' || coalesce(b.t, '')) as digest
+    from customer left join j on j.userid = c_custkey left join l on l.userid = c_custkey left join b on b.userid = c_custkey""",
+    ("job", "source", "step", "call_log", "budget"),
 )
 def user_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the exported documents' parts; the tests read the documents themselves."""
+    """Every user's document, read back: a digest of its jobs with all that they hold, of its calls and budgets, in order."""
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("userid"))
     read = lambda name: relation(spark, sf_dir, name)
-    return J.export(users, read("job"), read("source"), read("step"), read("call_log")).select("userid", "n_jobs", "n_calls", "n_steps")
+    chunks = read("source").select("jobid", F.col("id").alias("sourceid"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") % 3)).alias("chunkindex"), F.lit(1).alias("tokencount"))
+    made = J.export(users, read("job"), read("source"), read("step"), read("call_log"), chunks, versions(spark, sf_dir), read("budget"))
+    job = "struct<jobid:long,status:string,sources:array<struct<id:long,status:string>>,steps:array<struct<step:string,nodekey:string,status:string>>,chunks:array<struct<sourceid:long,chunkindex:long>>,blueprints:array<struct<version:long>>>"
+    document = F.from_json("document", f"jobs array<{job}>, calls array<struct<id:long,status:string>>, budgets array<struct<period:string>>")
+    texts = lambda rows, *fields: F.coalesce(F.array_join(F.transform(rows, lambda x: F.concat_ws("=", *[x[f].cast("string") for f in fields])), ";"), F.lit(""))
+    one = lambda j: F.concat(j["jobid"].cast("string"), F.lit(":"), j["status"], F.lit("|"), F.concat_ws("|", texts(j["sources"], "id", "status"), texts(j["steps"], "step", "nodekey", "status"), texts(j["chunks"], "sourceid", "chunkindex"), texts(j["blueprints"], "version")))
+    whole = made.select("userid", document.alias("d"))
+    jobs = F.coalesce(F.array_join(F.transform("d.jobs", one), "/"), F.lit(""))
+    return whole.select("userid", F.md5(F.concat_ws("#", jobs, texts(F.col("d.calls"), "id", "status"), texts(F.col("d.budgets"), "period"))).alias("digest"))
 
 
 @query(
