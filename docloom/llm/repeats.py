@@ -317,8 +317,10 @@ def oracle_sql(length: int = LENGTH) -> str:
     """For DuckDB: every string of every text, as hexadecimal digits."""
     return f"""
     with texts as materialized (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-    strings as materialized (select r, i, md5(substr(h, 2 * i + 1, {2 * length})) as k from texts, unnest(range(0, len(h) // 2 - {length} + 1)) as t(i)),
-    found as (select r, i from strings where k in (select k from strings group by k having count(*) > 1)),
+    parts as materialized (select r, 500 * j as base, substr(h, 1000 * j + 1, {2 * (length + 499)}) as part from texts, unnest(range(0, (len(h) // 2 - {length}) // 500 + 1)) as t(j)),
+    strings as materialized (select r, base + i as i, hash(substr(part, 2 * i + 1, {2 * length})) as k from parts, unnest(range(0, len(part) // 2 - {length} + 1)) as t(i)),
+    often as materialized (select k from strings group by k having count(*) > 1),
+    found as (select r, i from strings semi join often using (k)),
     marked as (select r, i, coalesce((i > lag(i) over (partition by r order by i) + {length})::int, 1) as new from found),
     runs as (select r, i, sum(new) over (partition by r order by i) as run from marked),
     spans as (select r, run, min(i) as a, max(i) + {length} as b from runs group by r, run),
