@@ -66,25 +66,83 @@ def test_only_groups_larger_than_a_shard_are_split(spark):
     assert max(sizes.values()) <= 1.1 * sum(sizes.values()) / 40
 
 
+def plain_packing(vectors, shards):
+    """Largest bytes first, into the shard with room in bytes, tokens and rows and the highest dot product; else where least overflows."""
+    share = [sum(v[k] for v in vectors) / shards for k in range(3)]
+    left, out = [[1.0] * 3 for _ in range(shards)], {}
+    for g in sorted(range(len(vectors)), key=lambda g: -vectors[g][0]):
+        scaled = [v / s for v, s in zip(vectors[g], share, strict=True)]
+        room = [i for i in range(shards) if all(a >= b - 1e-9 for a, b in zip(left[i], scaled, strict=True))]
+        dot = lambda i: sum(a * b for a, b in zip(left[i], scaled, strict=True))  # noqa: E731, B023
+        out[g] = max(room, key=dot) if room else max(range(shards), key=lambda i: min(a - b for a, b in zip(left[i], scaled, strict=True)))  # noqa: B023
+        left[out[g]] = [a - b for a, b in zip(left[out[g]], scaled, strict=True)]
+    return [out[g] for g in range(len(vectors))]
+
+
 def test_shards_of_groups_against_a_plain_packing(spark):
     rng = random.Random(4)
     groups = [(n, "a " * n, rng.randint(1, 3)) for n in rng.sample(range(1, 400), 60)]
+    groups = list({(2 * n + 16) * c: (n, t, c) for n, t, c in groups}.values())  # ties may come in either order
+    vectors = np.array([((2 * n + 16) * c, n * c, c) for n, _, c in groups], float)
+    packed = sharding.pack(vectors, 5)
+    assert packed.tolist() == plain_packing(vectors.tolist(), 5)
+    want = sharding.even_out(vectors, packed, 5)
     rows = [(100 * g + k, t, "s", 1, 2) for g, (_, t, copies) in enumerate(groups) for k in range(copies)]
     got = {r["doc_id"]: r["shard"] for r in sharding.shard(spark.createDataFrame(rows, SCHEMA), 5, heavy=0).collect()}
-    vector = {g: ((2 * n + 16) * c, n * c, c) for g, (n, _, c) in enumerate(groups)}
-    share = [sum(v[k] for v in vector.values()) / 5 for k in range(3)]
-    left = [[1.0, 1.0, 1.0] for _ in range(5)]
-    assert len({v[0] for v in vector.values()}) == 60 or len(vector) == 60
-    for g, v in sorted(vector.items(), key=lambda x: -x[1][0]):
-        scaled = [a / b for a, b in zip(v, share, strict=True)]
-        room = [i for i in range(5) if left[i][0] >= scaled[0]]
-        shard = got[100 * g]
-        assert all(got[100 * g + k] == shard for k in range(groups[g][2]))
-        if room:  # equal sizes may come in either order, so only what the packing must maximise is compared
-            value = {i: sum(a * b for a, b in zip(left[i], scaled, strict=True)) for i in room}
-            assert shard in room and value[shard] >= max(value.values()) - 1e-9 or sum(v[0] == w[0] for w in vector.values()) > 1
-        for k in range(3):
-            left[shard][k] -= scaled[k]
+    assert got == {100 * g + k: want[g] for g, (_, _, copies) in enumerate(groups) for k in range(copies)}
+
+
+def test_swaps_even_out_bytes_and_keep_rows():
+    rng = np.random.default_rng(5)
+    vectors = np.stack([rng.integers(20, 900, 400), rng.integers(1, 200, 400), 1 + np.arange(400) // 200], axis=1).astype(float)
+    start = np.arange(400) % 40  # equal rows, unequal bytes
+    after = sharding.even_out(vectors, start, 40)
+    total = lambda placed, k: np.bincount(placed, vectors[:, k], 40)
+    assert (total(start, 2) == total(after, 2)).all() and total(after, 0).std() < total(start, 0).std() / 5
+    assert sharding.even_out(vectors[:0], start[:0]).tolist() == []
+
+
+def near_equal(rows, tokens):
+    for size, most in ((lambda r: r["size"], 1.02), (tokens, 1.1), (lambda r: 1, 1.1)):
+        sums = Counter()
+        for r in rows:
+            sums[r["shard"]] += size(r)
+        mean = sum(sums.values()) / 40
+        assert len(sums) == 40 and max(sums.values()) <= most * mean and min(sums.values()) >= mean / most, (most, min(sums.values()) / mean, max(sums.values()) / mean)
+
+
+def test_equal_rows_above_a_shard_are_dealt(spark):
+    """Rows alike in every column, with and without an id, that weigh many shards."""
+    random.seed(6)
+    text = lambda: " ".join("ab" * random.randint(1, 4) for _ in range(random.randint(1, 80)))
+    rows = [(i, text(), "s", 1, 2) for i in range(2000)] + [(None, "one text without an id " * 12, "s", 1, 2)] * 800 + [(7, "one text with an id " * 9, "s", 1, 2)] * 300
+    table = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    got = sharding.shard(table).collect()
+    words = {len(t.encode()) + 16: len(t.split()) for _, t, *_ in rows[2000:]}
+    crc = {zlib.crc32(t.encode()): len(t.split()) for _, t, *_ in rows}
+    near_equal(got, lambda r: crc[r["text_crc32"]])
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows) and len(words) == 2
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(slots) == list(range(len(slots))) for slots in by.values())
+    out = sharding.sharded_documents(table).collect()
+    assert Counter((r["doc_id"], r["text"], r["d"], r["tokens"]) for r in out) == Counter((i, t, d, n) for i, t, _, d, n in rows)
+    assert Counter((r["doc_id"], r["shard"]) for r in out) == Counter((r["doc_id"], r["shard"]) for r in got)
+
+
+def test_small_groups_are_packed_as_cells_of_their_size_class(spark):
+    """The path of a large table: no group is heavy, so all are in cells; groups stay whole and all three sums are near equal."""
+    random.seed(7)
+    rows = [(i, " ".join("ab" * random.randint(1, 4) for _ in range(random.randint(1, 60))), "s", 1, 2) for i in range(12_000)]
+    rows += [(20_000 + i, rows[i % 3000][1], "s", 1, 2) for i in range(4000)]
+    got = sharding.shard(spark.createDataFrame(rows, SCHEMA), cells=32, heavy=1.0).collect()
+    text = {i: t for i, t, *_ in rows}
+    near_equal(got, lambda r: len(text[r["doc_id"]].split()))
+    where = defaultdict(set)
+    for r in got:
+        where[text[r["doc_id"]]].add(r["shard"])
+    assert len(got) == 16_000 and all(len(s) == 1 for s in where.values())
 
 
 def test_empty_and_few(spark):
