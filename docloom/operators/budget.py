@@ -13,6 +13,8 @@ from ..config import ALERT_PERCENT, JOB_LIMIT, SITE_LIMIT, USER_LIMIT
 
 MONEY = "decimal(18,6)"
 SITE = 0
+WHOLE = -1  # the site's entry in a ledger, where a user may be 0
+FIRST = -(2**60)  # before every hour and instant
 
 
 def limit_of(userid: Column, own: Column, user_limit: int = USER_LIMIT, site_limit: int = SITE_LIMIT) -> Column:
@@ -120,8 +122,18 @@ class Ledger:
     def __init__(self, site_limit: int):
         self.site_limit, self.rows, self.open = site_limit, {}, {}
 
+    def row(self, userid: int | None) -> list[int]:
+        return self.rows.setdefault(WHOLE if userid is None else userid, [0, 0])
+
+    def carry(self, userid: int, call: int, kind: str, amount: int) -> None:
+        """What was spent or is held before the events begin."""
+        for row in (self.row(userid), self.row(None)):
+            row[kind == "held"] += amount
+        if kind == "held":
+            self.open[call] = amount
+
     def apply(self, userid: int, call: int, kind: str, amount: int, limit: int) -> tuple[str, int, int]:
-        user, site = self.rows.setdefault(userid, [0, 0]), self.rows.setdefault(SITE, [0, 0])
+        user, site = self.row(userid), self.row(None)
         if kind == "reserve":
             if limit > 0 and sum(user) + amount > limit:
                 return ("refused by user", *user)
@@ -140,24 +152,16 @@ class Ledger:
         return ("settled" if kind == "settle" else "released", *user)
 
 
-def reservations(events: DataFrame, site_limit: int = SITE_LIMIT * 1_000_000) -> DataFrame:
-    """The outcome of each event in order: ``period, userid, call, kind, outcome, spent, reserved`` (the user's after it).
-
-    ``events(period, userid, call, kind, amount, limit, at)``: ``reserve`` holds ``amount`` if
-    the user's and the site's limits allow it, ``settle`` pays ``amount`` and frees what the
-    call held, ``release`` only frees it. Amounts are micro-dollars; order is by ``at``, ``call``, kind.
-
-    Refused calls use nothing up, so the outcome is a fold in order. Where all that a month
-    asks for stays within the site's limit, the site refuses nothing and each user is folded
-    alone. Otherwise the month is one fold: rows stream through it in order and the state is
-    one entry per user and open call, but the order itself is the one task it needs.
-    """
-    asked = events.groupBy("period").agg(F.sum(F.when(F.col("kind") == "reserve", F.col("amount"))).alias("reserved_"), F.sum(F.when(F.col("kind") == "settle", F.col("amount"))).alias("settled_"))
-    most = F.coalesce("reserved_", F.lit(0)) + F.coalesce("settled_", F.lit(0))
-    coupled = asked.select("period", ((F.lit(site_limit) > 0) & (most > site_limit)).alias("coupled"))
-    keyed = events.join(coupled, "period").withColumn("fold", F.when(F.col("coupled"), F.lit(-1)).otherwise(F.col("userid")))
-    keyed = keyed.select("period", "fold", "at", "call", "kind", "userid", "amount", "limit")
+def _folds(rows: DataFrame, site_limit: int, carried: bool) -> DataFrame:
+    """Each ``(period, fold)`` in order: the outcomes (``LEDGER``), or, if ``carried``, what its only user has spent and holds at its end, as events before all others."""
+    keyed = rows.select("period", "fold", "at", "call", "kind", "userid", "amount", "limit")
     keyed = keyed.repartition("period", "fold").sortWithinPartitions("period", "fold", "at", "call", "kind")
+    columns = ["period", "userid", "call", "kind", "outcome", "spent", "reserved"]
+    states = ["period", "userid", "call", "kind", "amount", "limit", "at"]
+
+    def ends(period: str, userid: int, ledger: Ledger) -> list[tuple]:
+        held = [(period, userid, call, "held", amount, 0, FIRST) for call, amount in ledger.open.items()]
+        return [(period, userid, -1, "spent", ledger.row(userid)[0], 0, FIRST), *held]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, ledger = None, Ledger(site_limit)
@@ -165,8 +169,47 @@ def reservations(events: DataFrame, site_limit: int = SITE_LIMIT * 1_000_000) ->
             out = []
             for period, f, _, call, kind, userid, amount, limit in batch.itertuples(index=False):
                 if key != (period, f):
+                    if carried and key:
+                        out += ends(*key, ledger)
                     key, ledger = (period, f), Ledger(site_limit)
-                out.append((period, userid, call, kind, *ledger.apply(userid, call, kind, amount, limit)))
-            yield pd.DataFrame(out, columns=["period", "userid", "call", "kind", "outcome", "spent", "reserved"])
+                if kind in ("spent", "held"):
+                    ledger.carry(userid, call, kind, amount)
+                    continue
+                outcome = ledger.apply(userid, call, kind, amount, limit)
+                if not carried:
+                    out.append((period, userid, call, kind, *outcome))
+            yield pd.DataFrame(out, columns=states if carried else columns)
+        if carried and key:
+            yield pd.DataFrame(ends(*key, ledger), columns=states)
+
+    return keyed.mapInPandas(fold, "period string, userid long, call long, kind string, amount long, limit long, at long" if carried else LEDGER)
+
+
+def reservations(events: DataFrame, site_limit: int = SITE_LIMIT * 1_000_000) -> DataFrame:
+    """The outcome of each event in order: ``period, userid, call, kind, outcome, spent, reserved`` (the user's after it).
 
-    return keyed.mapInPandas(fold, LEDGER)
+    ``events(period, userid, call, kind, amount, limit, at)``: ``reserve`` holds ``amount`` if
+    the user's and the site's limits allow it, ``settle`` pays ``amount`` and frees what the
+    call held, ``release`` only frees it. Amounts are micro-dollars; order is by ``at``, ``call``, kind.
+
+    Refused calls use nothing up, so the outcome is a fold in order. Until the hour in which all
+    that the month has asked for so far passes the site's limit, the site refuses nothing and each
+    user is folded alone. The hours from there on are contested: one fold of the month, which begins with
+    what its users have spent and hold by then. Rows stream through it and its state is one entry per user and
+    open call, but the order itself is the one task it needs. (What a contested month carries over is
+    folded a second time, as no table is written.)
+    """
+    hour = F.coalesce(F.floor(F.col("at") / 3600), F.lit(FIRST))
+    asked = F.greatest(F.when(F.col("kind").isin("reserve", "settle"), F.col("amount")), F.lit(0))
+    hours = events.groupBy("period", hour.alias("hour_")).agg(F.sum(asked).alias("asked_"))
+    most = Window.partitionBy("period")
+    hours = hours.withColumn("most_", F.sum("asked_").over(most.orderBy("hour_"))).withColumn("month_", F.sum("asked_").over(most))
+    bound = F.lit(site_limit)
+    limits = hours.select("period", "hour_", ((bound <= 0) | (F.col("most_") <= bound)).alias("free_"), ((bound > 0) & (F.col("month_") > bound)).alias("later_"))
+    rows = events.withColumn("hour_", hour).join(limits, ["period", "hour_"])
+    free = rows.where("free_").withColumn("fold", F.col("userid"))
+    if site_limit <= 0:
+        return _folds(free, site_limit, False)
+    carried = _folds(free.where("later_"), site_limit, True)
+    contested = rows.where("not free_").select(carried.columns).union(carried).withColumn("fold", F.lit(-1).cast("long"))
+    return _folds(free.select(contested.columns).union(contested), site_limit, False)

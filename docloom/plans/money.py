@@ -117,9 +117,30 @@ def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.union(base.select("period", "userid", "call", kind, F.col("micro").alias("amount"), limit, (F.col("at") + 1800).alias("at")))
 
 
-@query()
+#: One month's events as a list, folded with the outcomes so far as the state: an event looks up its user's last outcome and that of its own call's reservation.
+LEDGER_SQL = """with micros as (select strftime(make_timestamp(cast(timecreated as bigint) * 1000000), '%Y-%m') as period, userid, id as call, status, cast(cost * 1000000 as bigint) as micro, cast(userid % 5 * 1000000 as bigint) as lim, timecreated as moment from call_log),
+    happened as (select period, userid, call, 'reserve' as kind, micro * 2 as amount, lim, moment from micros
+        union all select period, userid, call, case when status = 'error' then 'release' else 'settle' end, micro, lim, moment + 1800 from micros),
+    numbered as (select *, row_number() over (partition by period order by moment, call, kind) as n from happened),
+    linked as (select *, lag(n) over (partition by period, userid order by n) as last_n, min(n) filter (kind = 'reserve') over (partition by period, call) as call_n, max(amount) filter (kind = 'reserve') over (partition by period, call) as held from numbered),
+    months as (select period, list(struct_pack(kind := kind, amount := amount, held := held, lim := lim, call_n := call_n, last_n := last_n, site := cast(0 as bigint), what := cast([] as utinyint[]), spent := cast([] as bigint[]), reserved := cast([] as bigint[])) order by n) as events from linked group by period),
+    folded as (select period, list_reduce(
+        list_prepend(struct_pack(kind := '', amount := cast(0 as bigint), held := cast(0 as bigint), lim := cast(0 as bigint), call_n := cast(0 as bigint), last_n := cast(0 as bigint), site := cast(0 as bigint), what := cast([] as utinyint[]), spent := cast([] as bigint[]), reserved := cast([] as bigint[])), events),
+        lambda s, e: list_transform(
+            list_transform([struct_pack(kind := e.kind, amount := e.amount, held := e.held, lim := e.lim, site := s.site, mine := s.what[e.call_n], spent := coalesce(s.spent[e.last_n], 0), reserved := coalesce(s.reserved[e.last_n], 0))],
+                lambda r: struct_pack(r := r, w := case
+                    when r.kind = 'reserve' then case when r.lim > 0 and r.spent + r.reserved + r.amount > r.lim then 2 when r.site + r.amount > 200000000 then 3 else 1 end
+                    when r.mine <> 1 then 4 when r.kind = 'settle' then 5 else 6 end)),
+            lambda x: struct_pack(kind := e.kind, amount := e.amount, held := e.held, lim := e.lim, call_n := e.call_n, last_n := e.last_n,
+                site := x.r.site + case x.w when 1 then x.r.amount when 5 then x.r.amount - x.r.held when 6 then -x.r.held else 0 end, what := list_append(s.what, cast(x.w as utinyint)),
+                spent := list_append(s.spent, x.r.spent + case x.w when 5 then x.r.amount else 0 end),
+                reserved := list_append(s.reserved, x.r.reserved + case x.w when 1 then x.r.amount when 5 then -x.r.held when 6 then -x.r.held else 0 end)))[1]) as f from months),
+    outcomes as (select period, unnest(f.what) as w, unnest(f.spent) as spent, unnest(f.reserved) as reserved, generate_subscripts(f.what, 1) as n from folded)
+    select period, userid, call, kind, ['reserved', 'refused by user', 'refused by site', 'nothing held', 'settled', 'released'][w] as outcome, spent, reserved from linked join outcomes using (period, n)"""
+
+
+@query(LEDGER_SQL, ("call_log",))
 def budget_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Not SQL: a refused call uses nothing up, so each outcome depends on all before it. The tests fold it by hand."""
     return budget.reservations(ledger_events(spark, sf_dir))
 
 
