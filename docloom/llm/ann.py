@@ -17,17 +17,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 from pyspark.sql.window import Window
 
 from .common import materialize
 
-SEED, EPSILON, QUERY_BITS = 7, 2.5, 6
-#: Vectors in a block of candidates and of queries; tasks hold one of each.
-CHUNK, QUERY_BLOCK = 4096, 512
-#: Shares of the candidates at most, and queries that a task keeps results for.
-MOST_SHARES, QUERIES_PER_TASK = 1024, 65_536
+SEED, EPSILON = 7, 2.5
+#: Vectors in a block of candidates and of queries, and bytes of the vectors that cut them shorter.
+CHUNK, QUERY_BLOCK, BLOCK_BYTES, QUERY_BYTES = 4096, 512, 1 << 21, 1 << 18
+#: Shares of the candidates unless they have more blocks than a task takes, those blocks, and queries that a task keeps results for.
+SHARES, SHARE_BLOCKS, QUERIES_PER_TASK = 64, 64, 131_072
+#: Components of vectors that are compared exactly at once, and share of a block's pairs (one of so many) from which a product rules most out first.
+EXACT, DENSE = 1 << 22, 50
 
-BLOCK = "dim int, n int, ids binary, vectors binary, codes binary, norms binary, aligned binary"
+BLOCK = "dim int, ids binary, vectors binary, codes binary, norms binary, aligned binary"
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -38,7 +41,7 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
 
 
 def rotated(x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    return x @ matrix[: x.shape[1]]
+    return x @ matrix[: x.shape[-1]]
 
 
 def encode(x: np.ndarray, center: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,29 +55,68 @@ def encode(x: np.ndarray, center: np.ndarray, matrix: np.ndarray) -> tuple[np.nd
 
 
 def estimates(q: np.ndarray, center: np.ndarray, matrix: np.ndarray, codes: np.ndarray, norm: np.ndarray, aligned: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated squared distances of one query to coded vectors, and half widths of their bounds."""
-    res = rotated((q - center)[None], matrix)[0]
-    length = np.sqrt((res * res).sum())
-    d = len(res)
-    unit = res / (length or 1)
-    low, step = unit.min(), (unit.max() - unit.min()) / ((1 << QUERY_BITS) - 1) or 1.0
-    levels = np.rint((unit - low) / step).astype(np.uint64)
-    dots = np.zeros(len(codes), np.int64)
-    for bit in range(QUERY_BITS):  # the query's integers bit by bit, against the packed signs
-        plane = np.packbits((levels >> np.uint64(bit)).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
-        dots += np.bitwise_count(codes & plane).sum(axis=1, dtype=np.int64) << bit
-    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
-    rounded = low + step * levels.astype(np.float64)
-    with_code = (2 * (low * ones + step * dots) - rounded.sum()) / np.sqrt(d)
-    inner = with_code / aligned
-    slack = epsilon * np.sqrt(np.maximum(0, 1 - aligned**2)) / aligned / np.sqrt(max(1, d - 1)) + step / aligned
-    return norm**2 + length**2 - 2 * norm * length * inner, 2 * norm * length * slack
+    """Estimated squared distances of one query, or of each of many, to coded vectors, and half widths of their bounds."""
+    res = rotated(q - center, matrix)
+    length = np.sqrt((res * res).sum(axis=-1, keepdims=True))
+    signs = np.unpackbits(np.ascontiguousarray(codes).view(np.uint8), axis=1, bitorder="little").astype(np.float64) * 2 - 1
+    d = signs.shape[1]
+    width = epsilon * np.sqrt(np.maximum(0, 1 - aligned**2)) / aligned / np.sqrt(max(1, d - 1))
+    signs *= (2 * norm / aligned / np.sqrt(d))[:, None]
+    est = res @ signs.T
+    np.subtract(norm**2 + length**2, est, out=est)
+    return est, length * (2 * norm * width) + 1e-9 * length**2  # and what sums round
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - q) ** 2).sum(axis=1))
 
 
+def _exact_pairs(q: np.ndarray, x: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Distances of the pairs ``q[one], x[two]``, some at once."""
+    step = max(1, EXACT // x.shape[1])
+    return np.concatenate([np.empty(0), *(exact(q[one[at : at + step]], x[two[at : at + step]].astype(np.float64)) for at in range(0, len(one), step))])
+
+
+def _improve(qids: np.ndarray, q: np.ndarray, near: np.ndarray, found: np.ndarray, ids: np.ndarray, x: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> None:
+    """Put what a block has nearer into the best distances and ids of ascending queries, in place; ties go to the smaller id."""
+    k = near.shape[1]
+    est, slack = bounds
+    at = np.minimum(np.searchsorted(qids, ids), len(qids) - 1)
+    own = np.flatnonzero(qids[at] == ids)
+    est[at[own], own] = np.nan  # compares as false
+    reach = near[:, -1].copy()
+    fresh = np.flatnonzero(~np.isfinite(reach))
+    if len(fresh) and len(ids) > k + 1:  # the block's nearest by estimate bound the rest
+        first = np.argpartition(est[fresh], k, axis=1)[:, : k + 1]
+        row, column = np.repeat(fresh, k + 1), first.ravel()
+        score = np.where(np.isnan(est[row, column]), np.inf, _exact_pairs(q, x, row, column)).reshape(first.shape)
+        reach[fresh] = np.sort(np.concatenate([near[fresh], score], axis=1), axis=1)[:, k - 1]
+        est[row, column] -= np.inf  # they are met below
+    limit = reach * reach * (1 + 1e-9)
+    np.subtract(est, slack, out=slack)
+    wanted = slack <= limit[:, None]
+    if np.count_nonzero(wanted) > wanted.size / DENSE:  # one product of all is less work than differences of each
+        whole = x.astype(np.float64)
+        ours, theirs = (q * q).sum(axis=1)[:, None], (whole * whole).sum(axis=1)
+        product = q @ whole.T
+        product *= -2
+        product += (theirs + ours) * (1 - 1e-12)  # what it may round
+        wanted &= ~(product > limit[:, None])
+    row, column = np.nonzero(wanted)
+    score = _exact_pairs(q, x, row, column)
+    kept = score <= near[row, -1]
+    if not kept.any():
+        return
+    row, score, names = row[kept], score[kept], ids[column[kept]]
+    old = np.unique(row)
+    row, score, names = np.concatenate([row, np.repeat(old, k)]), np.concatenate([score, near[old].ravel()]), np.concatenate([names, found[old].ravel()])
+    order = np.lexsort((names, score, row))
+    row, score, names = row[order], score[order], names[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    best = place < k
+    near[row[best], place[best]], found[row[best], place[best]] = score[best], names[best]
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """``vec_id, v``: vectors without null or non-finite components that are not null, empty or zero."""
     v = F.col("embedding").cast("array<double>")
@@ -113,8 +155,14 @@ def centers(vectors: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def index(vectors: DataFrame, center: dict[int, np.ndarray], chunk: int, seed: int) -> DataFrame:
-    """Blocks of at most ``chunk`` vectors of one dimension with their codes and scalars."""
+def _cuts(n: int, dim: int, rows: int, most: int) -> Iterator[slice]:
+    """Pieces of ``n`` vectors: at most ``rows`` of them and ``most`` bytes of doubles, one vector at least."""
+    step = min(rows, max(1, most // (8 * dim)))
+    yield from (slice(at, at + step) for at in range(0, n, step))
+
+
+def index(vectors: DataFrame, center: dict[int, np.ndarray], chunk: int, seed: int, kind: type = np.float64) -> DataFrame:
+    """Blocks of at most ``chunk`` vectors of one dimension, kept as ``kind``, with their codes and scalars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrices: dict[int, np.ndarray] = {}
@@ -122,12 +170,10 @@ def index(vectors: DataFrame, center: dict[int, np.ndarray], chunk: int, seed: i
             for dim, ids, x in _by_dim(batch):
                 if dim not in matrices:
                     matrices[dim] = rotation(dim, seed)
-                for at in range(0, len(ids), chunk):
-                    part = x[at : at + chunk]
-                    codes, norm, aligned = encode(part, center[dim], matrices[dim])
-                    row = [[dim], [len(part)], [ids[at : at + chunk].tobytes()], [part.tobytes()], [codes.tobytes()], [norm.tobytes()], [aligned.tobytes()]]
-                    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["dim", "n", "ids", "vectors", "codes", "norms", "aligned"])
+                for at in _cuts(len(ids), dim, chunk, BLOCK_BYTES):
+                    codes, norm, aligned = encode(x[at], center[dim], matrices[dim])
+                    row = [[dim], *([c.tobytes()] for c in (ids[at], x[at].astype(kind), codes, norm, aligned))]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, [pa.int32(), *[pa.binary()] * 5], strict=True)], ["dim", "ids", "vectors", "codes", "norms", "aligned"])
 
     return vectors.mapInArrow(run, BLOCK)
 
@@ -141,65 +187,49 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, epsilon: float =
     query ids one query is made (the least vector); rows with the query's id are never its
     candidates. Fewer candidates than ``k`` are all returned. An empty table gives no rows.
 
-    Every block of queries meets every block of candidates once; tasks keep only the ``k``
-    best of each query, over all the blocks that they see.
+    Shares of the candidates' blocks meet groups of the queries' as cogroups, so that both sides travel by
+    shuffles at any size and none is sent to the driver. All queries of a group are estimated against one block at
+    once; a task keeps only the ``k`` best of each query, over all the blocks that it sees.
     """
     good = usable(vectors)
     center = centers(good)
-    blocks = materialize(index(good, center, chunk, seed), "codes")
+    single = vectors.schema["embedding"].dataType.elementType == FloatType()
+    kind = np.float32 if single else np.float64  # as the column has them; all sums are of doubles
+    blocks = materialize(index(good, center, chunk, seed, kind), "codes")
     queries = good.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, ids, x in _by_dim(batch):
-                for at in range(0, len(ids), query_block):
-                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[at : at + query_block].tobytes()]), pa.array([x[at : at + query_block].tobytes()])], ["qdim", "qids", "qvectors"])
-
-    asked = materialize(queries.mapInArrow(pack, "qdim int, qids binary, qvectors binary"), "queries")
-    # a task meets one share of the candidates with one share of the queries
-    shares, groups = min(max(1, blocks.count()), MOST_SHARES), max(1, -(-asked.count() * query_block // QUERIES_PER_TASK))
-    left = blocks.select("*", F.pmod(F.xxhash64("ids"), F.lit(shares)).alias("share"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    right = asked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"), F.pmod(F.xxhash64("qids"), F.lit(groups)).cast("int").alias("grp"))
-    met = left.join(right, (F.col("dim") == F.col("qdim")) & (left["share"] == right["share"]) & (left["grp"] == right["grp"]))
-    met = met.select("dim", "ids", "vectors", "codes", "norms", "aligned", "qids", "qvectors")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        matrices: dict[int, np.ndarray] = {}
-
-        def flush() -> pa.RecordBatch:
-            names = np.concatenate([np.empty(0, np.int64), *(np.full(len(v[1]), q) for q, v in best.items())])
-            ids = np.concatenate([np.empty(0, np.int64), *(v[1] for v in best.values())])
-            scores = np.concatenate([np.empty(0), *(v[0] for v in best.values())])
-            best.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if len(best) > 2 * QUERIES_PER_TASK:
-                    yield flush()
-                dim, ids = row["dim"], np.frombuffer(row["ids"], np.int64)
-                if dim not in matrices:
-                    matrices[dim] = rotation(dim, seed)
-                x = np.frombuffer(row["vectors"]).reshape(len(ids), dim)
-                codes = np.frombuffer(row["codes"], np.uint64).reshape(len(ids), -1)
-                norm, aligned = np.frombuffer(row["norms"]), np.frombuffer(row["aligned"])
-                qids = np.frombuffer(row["qids"], np.int64)
-                for q, vector in zip(qids.tolist(), np.frombuffer(row["qvectors"]).reshape(len(qids), dim), strict=True):
-                    est, slack = estimates(vector, center[dim], matrices[dim], codes, norm, aligned, epsilon)
-                    est[ids == q] = np.inf
-                    old = best.get(q, (np.empty(0), np.empty(0, np.int64)))
-                    first = np.argpartition(est, k)[: k + 1] if len(est) > k + 1 else np.arange(len(est))
-                    score = exact(vector, x[first[np.isfinite(est[first])]])
-                    limit = np.sort(np.concatenate([old[0], score]))[:k]
-                    reach = limit[-1] if len(limit) == k else np.inf
-                    at = np.flatnonzero((est - slack <= reach * reach * (1 + 1e-9)) & np.isfinite(est))
-                    at = np.union1d(at, first[np.isfinite(est[first])])
-                    scores, names = np.concatenate([old[0], exact(vector, x[at])]), np.concatenate([old[1], ids[at]])
-                    keep = np.lexsort((names, scores))[:k]
-                    best[q] = scores[keep], names[keep]
-        yield flush()
-
-    found = met.mapInArrow(search, "query_id long, vec_id long, score double")
+                for at in _cuts(len(ids), dim, query_block, QUERY_BYTES):
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[at].tobytes()]), pa.array([x[at].astype(kind).tobytes()])], ["dim", "qids", "qvectors"])
+
+    asked = materialize(queries.mapInArrow(pack, "dim int, qids binary, qvectors binary"), "queries")
+    n = blocks.count()
+    shares, groups = max(min(n, SHARES), -(-n // SHARE_BLOCKS), 1), max(1, -(-asked.count() * query_block // QUERIES_PER_TASK))
+    every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = blocks.select("*", F.pmod(F.xxhash64("ids"), F.lit(shares)).alias("share"), every_one(groups).alias("grp"))
+    right = asked.select("*", every_one(shares).alias("share"), F.pmod(F.xxhash64("qids"), F.lit(groups)).alias("grp"))
+
+    def search(share: pa.Table, group: pa.Table) -> pa.Table:
+        qids, found, near = np.empty(0, np.int64), np.empty((0, k), np.int64), np.empty((0, k))
+        if len(share) and len(group):
+            dim = share.column("dim")[0].as_py()
+            qids = np.concatenate([np.frombuffer(b.as_py(), np.int64) for b in group.column("qids")])
+            asking = np.concatenate([np.frombuffer(b.as_py(), kind).reshape(-1, dim) for b in group.column("qvectors")])
+            order = np.argsort(qids)
+            qids, asking = qids[order], asking[order].astype(np.float64)
+            near, found = np.full((len(qids), k), np.inf), np.full((len(qids), k), np.iinfo(np.int64).max)
+            matrix = rotation(dim, seed)
+            for row in zip(*(share.column(c) for c in ("ids", "vectors", "codes", "norms", "aligned")), strict=True):
+                ids, x, codes, norm, aligned = (np.frombuffer(b.as_py(), t) for b, t in zip(row, (np.int64, kind, np.uint64, np.float64, np.float64), strict=True))
+                coded = codes.reshape(len(ids), -1), norm, aligned
+                for at in _cuts(len(qids), dim, query_block, QUERY_BYTES):
+                    _improve(qids[at], asking[at], near[at], found[at], ids, x.reshape(len(ids), dim), estimates(asking[at], center[dim], matrix, *coded, epsilon))
+        at = np.flatnonzero(np.isfinite(near.ravel()))
+        return pa.table({"query_id": np.repeat(qids, k)[at], "vec_id": found.ravel()[at], "score": near.ravel()[at]})
+
+    by = ("dim", "share", "grp")
+    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -63,3 +63,12 @@ def test_query_recall(spark, sf):
     vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in rows}
     got = found(op4_nearest_neighbours(spark, sf))
     assert recall(got, brute(vectors)) >= 0.9
+
+
+def test_nothing_is_broadcast(spark):
+    """Queries meet every share of the candidates, so a broadcast of them grows with the square of the table."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 8)))], "vec_id long, embedding array<float>")
+    near = ann.nearest(df, every=10, chunk=16, query_block=4)
+    assert recall(found(near), brute({r["vec_id"]: np.array(r["embedding"]) for r in df.collect()}, 10)) >= 0.95
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
