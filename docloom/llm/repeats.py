@@ -3,10 +3,10 @@
 Strings (*windows*) meet by content. A window belongs to the piece of ``PIECE`` bytes in it with the least
 hash, so equal windows belong to equal pieces; neighbouring windows of one piece are a *context*.
 Contexts whose piece occurs once hold no repeated window and go no further. The others are counted by
-content; of each different one a single copy (two, if it is held more than once) is dealt to a shard by its piece.
+content; of each different one a single copy is dealt to a shard by its piece.
 A shard joins its contexts to one string, sorts its suffixes by induced sorting and takes the
 permuted common prefixes: a window is repeated if its suffix shares the window's length with a neighbour
-in the array. What a shard finds goes back to all holders of a context.
+in the array, or if its context is held more than once. What a shard finds goes back to all holders of a context.
 
 A piece with very many different contexts (as at the ends of a passage that a third of all documents
 hold) is split: its windows become contexts of their own, so each shard's groups stay bounded.
@@ -174,13 +174,15 @@ def _copied(texts: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
 
 
 def shard_repeats(texts: list[bytes], twice: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each context of a shard (held ``twice`` or more, or once) which of its windows are repeated in the shard."""
-    copies = [t for t, n in zip(texts, twice.tolist(), strict=True) for _ in range(1 + n)]
-    joined = np.frombuffer(b"\xff".join([*copies, b""]), np.uint8) + np.uint8(1)  # no text has a byte of 255: it parts contexts, as 0
+    """For each context of a shard (held ``twice`` or more, or once) which of its windows are repeated in the shard.
+
+    Each goes into the string once: of what is held twice all windows are repeated, and one copy shows them to the other contexts.
+    """
+    joined = np.frombuffer(b"\xff".join([*texts, b""]), np.uint8) + np.uint8(1)  # no text has a byte of 255: it parts contexts, as 0
     found = repeated(joined, length)
     size = np.array([len(t) for t in texts])
-    starts = np.concatenate([[0], np.cumsum((size + 1) * (1 + twice))])
-    return [found[a : a + n - length + 1] for a, n in zip(starts.tolist(), size.tolist(), strict=False)]
+    starts = np.concatenate([[0], np.cumsum(size + 1)])
+    return [found[a : a + n - length + 1] | bool(more) for a, n, more in zip(starts.tolist(), size.tolist(), twice.tolist(), strict=False)]
 
 
 def _spans_of(flags: np.ndarray) -> list[int]:
@@ -275,7 +277,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, sh
             held = materialize(held.join(crowded, "piece", "left_anti").unionByName(single.join(single_shared, "piece")), "shared")
             kinds = materialize(kinds.join(crowded, "piece", "left_anti").unionByName(as_kinds(single.join(single_shared, "piece"))), "kinds")
             forget(single)
-        size = kinds.agg(F.sum((F.col("windows") + length) * F.least(F.col("held"), F.lit(2)))).first()[0] or 0
+        size = kinds.agg(F.sum(F.col("windows") + length)).first()[0] or 0
         dealt = _copied(texts, kinds, length).withColumn("shard", F.pmod(F.hash("piece"), F.lit(size // shard + 1)))
         found = materialize(_sorted_shards(dealt.repartition("shard").sortWithinPartitions("shard"), length), "found")
         spans = materialize(_merged(held.join(found, KEY), length), "spans")

@@ -106,3 +106,14 @@ def test_too_long_pieces(spark):
 def test_query_as_its_sql(spark, sf):
     n, what = difference(spark, connection(sf), op12_suffix_array_dedup, oracle_sql()["op12_suffix_array_dedup"], sf)
     assert n == 200 and not what
+
+
+def test_a_shard_sorts_each_context_once(monkeypatch):
+    """What is held twice is repeated as a whole, and shows its windows to others without a second copy."""
+    sorted_ = []
+    plain = repeats.repeated
+    monkeypatch.setattr(repeats, "repeated", lambda t, length: sorted_.append(len(t)) or plain(t, length))
+    texts = [b"abcdefghijkl", b"xxabcdefghyy", b"0123456789ab"]
+    got = repeats.shard_repeats(texts, np.array([1, 0, 0]), 8)
+    assert [f.tolist() for f in got] == [[True] * 5, [False, False, True, False, False], [False] * 5]
+    assert sorted_ == [sum(map(len, texts)) + len(texts)]
