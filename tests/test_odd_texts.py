@@ -24,3 +24,7 @@ def same_as_sql(spark, tmp_path):
 
 def test_clean_text_keeps_line_ends_after_soft_hyphens(same_as_sql):
     same_as_sql("clean_text", *["one\nname\ntwo e\r\nthree\x07 ffi fi ß ţ\te\n"] * 5)
+
+
+def test_aligned_tables_keep_pipes_in_cells(same_as_sql):
+    same_as_sql("aligned_tables", "one. a | b, two\nthree. | c, |\nfour. \\|, five\nno table here", "a. b, c")
