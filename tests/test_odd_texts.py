@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from docloom import plans
+from docloom.functions import text as T
 from tests.compare import difference
 
 
@@ -28,3 +30,14 @@ def test_clean_text_keeps_line_ends_after_soft_hyphens(same_as_sql):
 
 def test_aligned_tables_keep_pipes_in_cells(same_as_sql):
     same_as_sql("aligned_tables", "one. a | b, two\nthree. | c, |\nfour. \\|, five\nno table here", "a. b, c")
+
+
+def test_headings_are_as_long_as_their_lines(same_as_sql):
+    """Capitals of ß and the like are one letter each: a line of 90 is not too long, one of 91 is."""
+    wide = "".join(T.WIDE_CAPITALS)
+    same_as_sql("heading_levels", *[f"{'a' * n} ßẞ ŉo {tail}" for tail in ("", wide[:20], wide[20:40], wide[40:70], wide[70:]) for n in (60, 82, 83, 84, 88)] * 7)
+
+
+def test_one_capital_for_each_letter(spark):
+    df = spark.createDataFrame([("Straße ﬁn ǰ ᾳx ẞ i",), ("",), ("ß",), ("ßß",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.upper_each(F.col("t"))).collect()] == ["STRAẞE ﬁN ǰ ᾼX ẞ I", "", "ẞ", "ẞẞ", None]
