@@ -6,6 +6,8 @@ own); activities hold questions. A document is a row, so flattening needs no shu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,6 +31,34 @@ JUMPS = ("", "next", "end", "this")
 TOLERANCE = "0.0001"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def in_boxes(sections: Column, find: Callable[[Column, str, Column], Column]) -> Column:
+    """What ``find(box, kind, path)`` gives (arrays) for each section and subsection, as one array in document order."""
+    return F.flatten(F.transform(sections, lambda s, i: in_section_boxes(s, i, find)))
+
+
+def in_section_boxes(section: Column, number: Column, find: Callable[[Column, str, Column], Column]) -> Column:
+    """``in_boxes`` of the section with that number."""
+    path = F.concat(F.lit("/sections/"), number.cast("string"))
+    inner = F.transform(some(section["subsections"], SUBSECTION), lambda u, j: find(u, "subsection", F.concat(path, F.lit("/subsections/"), j.cast("string"))))
+    return F.concat(find(section, "section", path), F.flatten(inner))
+
+
+def some(values: Column, kind: str) -> Column:
+    """An array; none for null."""
+    return F.coalesce(values, F.array().cast(f"array<{kind}>"))
+
+
+def in_questions(box: Column, path: Column, find: Callable[[Column, Column], Column]) -> Column:
+    """What ``find(question, path)`` gives for each question of a section or subsection, as an array."""
+    of_activity = lambda a, i: F.transform(some(a["questions"], QUESTION), lambda q, j: find(q, F.concat(path, F.lit("/activities/"), i.cast("string"), F.lit("/questions/"), j.cast("string"))))
+    return F.flatten(F.transform(some(box["activities"], ACTIVITY), of_activity))
+
+
 def containers(blueprints: DataFrame) -> DataFrame:
     """``bp, si, ui, path, id, parent, title, review, objectives, activities``: sections (ui -1) and subsections, with their JSON pointers."""
     sections = blueprints.select("bp", F.posexplode("sections").alias("si", "s"))
@@ -109,7 +139,12 @@ def placed(path: Column) -> list[Column]:
 
 def with_node(sections: Column, path: Column, section: Column, subsection: Column, activity: Column, question: Column) -> Column:
     """``sections`` with the node at ``path`` replaced by the one of its kind; all that is not on the path stays as it is."""
-    si, ui, ai, qi = placed(path)
+    numbers = F.struct(*[n.alias(f"n{i}") for i, n in enumerate(placed(path))])
+    return let(numbers, lambda at: _with_node(sections, [at[f"n{i}"] for i in range(4)], section, subsection, activity, question))
+
+
+def _with_node(sections: Column, at: list[Column], section: Column, subsection: Column, activity: Column, question: Column) -> Column:
+    si, ui, ai, qi = at
 
     def swapped(nodes: Column, at: Column, change: Column) -> Column:
         return F.transform(nodes, lambda n, i: F.when(i == at, change(n)).otherwise(n))
@@ -265,11 +300,48 @@ def required_ids(blueprints: DataFrame, targets: DataFrame) -> DataFrame:
     return needed.union(inside.where(F.col("path") == F.col("target")).select("bp", "target", "id")).select("bp", "id").distinct()
 
 
-def nearest_nodes(blueprints: DataFrame, errors: DataFrame) -> DataFrame:
-    """``bp, error, id, path``: the node with the longest path that each error's path starts with. ``errors(bp, error)``."""
-    parts = F.split("error", "/", -1)
-    heads = errors.select("bp", "error", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(parts))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("path"))
-    return heads.join(node_ids(blueprints), ["bp", "path"]).groupBy("bp", "error").agg(F.max_by(F.struct("id", "path"), F.char_length("path")).alias("n")).select("bp", "error", "n.id", "n.path")
+def nearest(sections: Column, error: Column) -> Column:
+    """``struct<id, path>`` of the node with the longest path that ``error`` starts with, null if there is none: its numbers are looked up, level by level."""
+
+    def of_parts(parts: Column) -> Column:
+        def place(nodes: Column, level: str, n: int) -> Column:
+            """The number after ``level`` at part ``n``, if there is such a node."""
+            text = F.get(parts, F.lit(n + 1))
+            number = text.try_cast("int")
+            return F.when((F.get(parts, F.lit(n)) == level) & (number.cast("string") == text) & (number >= 0) & (number < F.size(nodes)), number)
+
+        def at(nodes: Column, level: str, n: int, inside: Callable[[Column], Column]) -> Column:
+            """``inside`` of the node that the path goes through, else null."""
+            return let(place(nodes, level, n), lambda i: F.when(i.isNotNull(), let(F.get(nodes, i), inside)))
+
+        node = lambda ident, n: F.struct(ident.alias("id"), F.array_join(F.slice(parts, F.lit(1), F.lit(n)), "/").alias("path"))
+
+        def in_box(box: Column, n: int) -> Column:
+            asked = lambda a: at(a["questions"], "questions", n + 2, lambda q: node(q["id"], n + 4))
+            return at(box["activities"], "activities", n, lambda a: F.coalesce(asked(a), node(a["id"], n + 2)))
+
+        def in_section(s: Column) -> Column:
+            objective = at(s["objectives"], "objectives", 3, lambda o: node(o, 5))
+            subsection = at(s["subsections"], "subsections", 3, lambda u: F.coalesce(in_box(u, 5), node(u["id"], 5)))
+            return F.coalesce(in_box(s, 3), objective, subsection, node(s["id"], 3))
+
+        return F.when(F.get(parts, F.lit(0)) == "", at(sections, "sections", 1, in_section))
+
+    return let(F.split(error, "/", -1), of_parts)
+
+
+def nearest_nodes(blueprints: DataFrame, errors: DataFrame | Callable[[Column], Column]) -> DataFrame:
+    """``bp, error, id, path``: the node with the longest path that each error's path starts with. ``errors(bp, error)``, or a function of ``sections`` that gives a document's ``array<string>``.
+
+    Nodes are looked up in their document, so errors of one's own need no shuffle, and others one by document.
+    """
+    if isinstance(errors, DataFrame):
+        rows = blueprints.join(errors.groupBy("bp").agg(F.collect_set("error").alias("errors")), "bp")
+        return nearest_nodes(rows, lambda s: F.col("errors"))
+    # found before it is exploded, as the documents aren't copied then
+    each = lambda s: F.transform(F.array_distinct(errors(s)), lambda e: F.struct(e.alias("error"), nearest(s, e).alias("n")))
+    found = blueprints.where("bp is not null").select("bp", F.filter(let(F.col("sections"), each), lambda x: x["n"].isNotNull()).alias("found"))
+    return found.select("bp", F.explode("found").alias("x")).select("bp", "x.error", "x.n.id", "x.n.path")
 
 
 def too_many_types(blueprints: DataFrame, most: int = 3) -> DataFrame:
