@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.files import written
-
 ANSWER = "struct<fraction:decimal(6,4)>"
 QUESTION = f"struct<id:string,qtype:string,single:boolean,objective_ref:string,text:string,choices:int,answers:array<{ANSWER}>>"
 ACTIVITY = f"struct<id:string,type:string,title:string,refs:array<string>,url:string,review:boolean,competencies:array<string>,needs:array<string>,questions:array<{QUESTION}>>"
@@ -21,6 +19,14 @@ SUBSECTION = f"struct<id:string,title:string,review:boolean,activities:array<{AC
 SECTION = f"struct<id:string,title:string,review:boolean,objectives:array<string>,activities:array<{ACTIVITY}>,subsections:array<{SUBSECTION}>>"
 BLUEPRINT = f"bp bigint, sections array<{SECTION}>"
 
+# Shape of a blueprint's fields. Fixed values of the data model
+ACTIVITY_TYPES = ("page", "book", "label", "url", "resource", "folder", "quiz", "lesson", "assign", "forum", "glossary", "wiki", "choice", "feedback", "h5pactivity", "scorm")
+QUESTION_TYPES = ("multichoice", "truefalse", "shortanswer", "numerical", "matching", "essay", "gapselect", "ddwtos", "multianswer")
+SECTION_ID, SUBSECTION_ID, ACTIVITY_ID, QUESTION_ID = r"\As[0-9]+\z", r"\As[0-9]+-[0-9]+\z", r"\As[0-9]+(-[0-9]+)?\.[a-z][a-z0-9]*[0-9]\z", r"\Aq[0-9]+\z"
+
+#: A field of a node by its name: of rows of nodes, or of a node in its document.
+Field = Callable[[str], Column]
+
 #: Kinds of activity without a builder.
 UNBUILT = ("h5pactivity", "scorm")
 NAME_LIMIT = 255
@@ -98,6 +104,23 @@ def node_ids(blueprints: DataFrame) -> DataFrame:
     return rows.select("bp", F.explode(F.concat(own, objectives, made, asked)).alias("n")).select("bp", "n.*")
 
 
+def section_nodes(section: Column, number: Column) -> Column:
+    """``array<struct<kind, id, path>>`` of a section's nodes, in document order."""
+    node = lambda kind, ident, path: F.struct(F.lit(kind).alias("kind"), ident.alias("id"), path.alias("path"))
+
+    def of_box(box: Column, kind: str, path: Column) -> Column:
+        objectives = box["objectives"] if kind == "section" else F.array().cast("array<string>")
+
+        def of_activity(a: Column, i: Column) -> Column:
+            at = F.concat(path, F.lit("/activities/"), i.cast("string"))
+            return F.concat(F.array(node("activity", a["id"], at)), F.transform(some(a["questions"], QUESTION), lambda q, j: node("question", q["id"], F.concat(at, F.lit("/questions/"), j.cast("string")))))
+
+        goals = F.transform(some(objectives, "string"), lambda o, i: node("objective", o, F.concat(path, F.lit("/objectives/"), i.cast("string"))))
+        return F.concat(F.array(node(kind, box["id"], path)), goals, F.flatten(F.transform(some(box["activities"], ACTIVITY), of_activity)))
+
+    return in_section_boxes(section, number, of_box)
+
+
 def duplicate_ids(blueprints: DataFrame) -> DataFrame:
     """``bp, kind, id, path``: every node whose id a node of its kind had before it."""
     kind = F.when(F.col("kind") == "subsection", "section").otherwise(F.col("kind"))
@@ -174,41 +197,128 @@ def errors(blueprints: DataFrame, sources: DataFrame | None = None, texts: DataF
 NODES = {"section": SECTION, "subsection": SUBSECTION, "activity": ACTIVITY, "question": QUESTION}
 
 
-def regenerated(blueprints: DataFrame, edits: DataFrame, sources: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+def regenerated(blueprints: DataFrame, edits: DataFrame | Callable[[Column], dict[str, Column]], sources: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """``blueprints`` with new nodes at any depth, and ``outcome, missing, invalid``, null where nothing is edited.
 
-    ``edits(bp, node_id, section, subsection, activity, question)``, one for each blueprint at most: the id of the node to replace (the first in
+    The rules are those of shape, duplicate ids, long names, references, fractions, gaps and, with ``texts``, links. ``edits(bp, node_id, section, subsection, activity, question)``, one for each blueprint at most: the id of the node to replace (the first in
     document order that has it) and its replacement in the column of its kind. The old version stays, with the outcome
 
     - ``unknown node``: no node has the id, or the replacement is of another kind (its column is null);
     - ``lost ids``: the new node lacks its own id or one that something outside refers to (``missing`` counts them);
-    - ``invalid``: a rule of ``errors`` finds what it didn't find in the old version (``invalid`` counts that).
+    - ``invalid``: a rule finds what it didn't find in the old version (``invalid`` counts that).
 
-    Otherwise it is ``replaced``. Only edited blueprints are read for that, and only changed ones are checked.
+    Otherwise it is ``replaced``. All is read in the document's row: what is given as tables meets it by one join each, and ``edits`` can be a function of
+    ``sections`` that gives the columns by their names (a null ``node_id`` edits nothing), which needs none. In the section that is changed all rules are checked, for both versions;
+    elsewhere an edit can only change which ids are there twice and which references are broken.
     """
-    asked = written(blueprints.join(edits, "bp"))
-    places = located(asked, edits.select("bp", F.col("node_id").alias("id"))).select(F.col("bp").alias("owner"), "kind", "path")
-    fits = F.coalesce(F.element_at(F.create_map(*[x for k in NODES for x in (F.lit(k), F.col(k).isNotNull())]), F.col("kind")), F.lit(False))
-    changed = with_node(F.col("sections"), F.col("path"), *map(F.col, NODES))
-    asked = asked.join(places, F.col("bp") == F.col("owner"), "left").select("bp", "path", "sections", fits.alias("fits"), F.when(fits, changed).alias("changed"))
-    asked = written(asked)
-    fitting = asked.where("fits")
-    target = fitting.select("bp", F.col("path").alias("target"))
-    required = required_ids(fitting, fitting.select("bp", "path"))
-    within = (F.col("path") == F.col("target")) | F.col("path").startswith(F.concat("target", F.lit("/")))
-    have = node_ids(fitting.select("bp", F.col("changed").alias("sections"))).join(target, "bp").where(within).select("bp", "id").distinct()
-    lost = required.join(have, ["bp", "id"], "left_anti").groupBy("bp").agg(F.count(F.lit(1)).alias("lost"))
-    # both versions go through the rules at once, as blueprints of their own
-    version = lambda new: F.struct("bp", F.lit(new).alias("new"))
-    both = fitting.select(F.explode(F.array(F.struct(version(False).alias("bp"), "sections"), F.struct(version(True).alias("bp"), F.col("changed").alias("sections")))).alias("v")).select("v.*")
-    twice = lambda rows, c: None if rows is None else rows.select(F.explode(F.array(version(False), version(True))).alias("bp"), c)
-    found = errors(both, twice(sources, "id"), twice(texts, "text")).groupBy("bp.bp", "rule", "path", "detail").agg(F.min("bp.new").alias("new"))
-    new = found.where("new").groupBy("bp").agg(F.count(F.lit(1)).alias("invalid"))
-    outcome = F.when(~F.col("fits"), "unknown node").when(F.col("missing") > 0, "lost ids").when(F.col("invalid") > 0, "invalid").otherwise("replaced")
-    judged = asked.join(lost, "bp", "left").join(new, "bp", "left").select("bp", "fits", "changed", F.coalesce("lost", F.lit(0)).alias("missing"), F.coalesce("invalid", F.lit(0)).alias("invalid"))
-    rows = blueprints.join(judged.withColumn("outcome", outcome), "bp", "left")
-    made = F.when(F.col("outcome") == "replaced", F.col("changed")).otherwise(F.col("sections"))
-    return rows.select(*[made.alias(c) if c == "sections" else c for c in blueprints.columns], "outcome", "missing", "invalid")
+    rows, given = blueprints, edits
+    if isinstance(edits, DataFrame):
+        named = edits.select(F.col("bp").alias("edit_of"), F.struct("node_id", *NODES).alias("edit_"))
+        rows = rows.join(named, F.col("bp") == F.col("edit_of"), "left")
+    edit = lambda s: F.col("edit_") if isinstance(given, DataFrame) else F.when((e := given(s))["node_id"].isNotNull(), F.struct(*[e[c].alias(c) for c in ("node_id", *NODES)]))
+    for name, more, value in (("source_ids_", sources, "id"), ("texts_", texts, "text")):
+        if more is not None:
+            more = more.groupBy(F.col("bp").alias(f"of_{name}")).agg(F.collect_set(value).alias(name))
+            rows = rows.join(more, F.col("bp") == F.col(f"of_{name}"), "left")
+    ids = some(F.col("source_ids_"), "string") if sources is not None else None
+    judged = lambda s: let(edit(s), lambda e: F.when(e.isNotNull(), _judged(s, e, ids, F.col("texts_") if texts is not None else None)))
+    # an array that is exploded, as a filter on its values would else be moved below and judge everything twice
+    rows = rows.withColumn("judged_", F.array(let(F.col("sections"), judged)))
+    rows = rows.withColumn("judged_", F.explode("judged_"))
+    changed = let(F.col("sections"), lambda s: let(edit(s), lambda e: with_node(s, F.col("judged_.path"), *[e[k] for k in NODES])))
+    made = F.when(F.col("judged_.outcome") == "replaced", changed).otherwise(F.col("sections"))
+    return rows.select(*[made.alias(c) if c == "sections" else c for c in blueprints.columns], "judged_.outcome", "judged_.missing", "judged_.invalid")
+
+
+def _judged(sections: Column, edit: Column, sources: Column | None, texts: Column | None) -> Column:
+    """``struct<outcome, missing, invalid, path>`` of a document's edit; ``path`` is that of the node it replaces."""
+    count = lambda x: F.size(x).cast("long")
+    result = lambda outcome, missing, invalid, path: F.struct(outcome.alias("outcome"), missing.alias("missing"), invalid.alias("invalid"), path.alias("path"))
+
+    def at_hit(hit: Column, nodes: Column) -> Column:
+        fits = F.coalesce(*[F.when(hit["kind"] == k, edit[k].isNotNull()) for k in NODES], F.lit(False))
+        changed = F.when(fits, with_node(sections, hit["path"], *[edit[k] for k in NODES]))
+        judged = lambda c: F.when(c.isNotNull(), let(F.transform(sections, section_references), lambda refs: compared(c, hit["path"], nodes, refs)))
+        return let(changed, lambda c: F.coalesce(judged(c), result(F.lit("unknown node"), F.lit(0).cast("long"), F.lit(0).cast("long"), hit["path"])))
+
+    def compared(changed: Column, target: Column, nodes: Column, refs: Column) -> Column:
+        """``nodes`` and ``refs`` are those of each section."""
+        si = placed(target)[0]
+        both = lambda of: let(si, lambda i: F.struct(i.alias("i"), of(F.get(sections, i), i).alias("old"), of(F.get(changed, i), i).alias("new")))
+        swapped = lambda lists, x: F.flatten(F.transform(lists, lambda n, i: F.when(i == x["i"], x["new"]).otherwise(n)))
+
+        def counts(n: Column, r: Column, local: Column) -> Column:
+            under = lambda p: (p == target) | p.startswith(F.concat(target, F.lit("/")))
+            ids = lambda some_nodes: F.transform(F.filter(some_nodes, lambda x: under(x["path"]) & x["id"].isNotNull()), lambda x: x["id"])
+            outside = F.transform(F.filter(F.flatten(refs), lambda x: (x["kind"] != "source") & x["ref"].isNotNull() & ~under(x["path"])), lambda x: x["ref"])
+            required = F.array_union(F.array_intersect(ids(n["old"]), outside), F.array(edit["node_id"]))
+            missing = count(F.array_except(required, ids(n["new"])))
+            old_nodes, new_nodes = F.flatten(nodes), swapped(nodes, n)
+            found = lambda own, all_nodes, all_refs: let(all_nodes, lambda x: F.concat(own, _repeated(x), _broken(all_refs, x, sources)))
+            invalid = count(F.array_except(found(local["new"], new_nodes, swapped(refs, r)), found(local["old"], old_nodes, F.flatten(refs))))
+            outcome = lambda m, v: F.when(m > 0, "lost ids").when(v > 0, "invalid").otherwise("replaced")
+            return let(F.struct(missing.alias("m"), invalid.alias("v")), lambda x: result(outcome(x["m"], x["v"]), x["m"], x["v"], target))
+
+        local = both(lambda s, i: section_errors(s, i, texts))
+        return let(F.struct(both(section_nodes).alias("n"), both(section_references).alias("r"), local.alias("l")), lambda x: counts(x["n"], x["r"], x["l"]))
+
+    located = lambda nodes: F.get(F.filter(F.flatten(nodes), lambda n: n["id"] == edit["node_id"]), F.lit(0))
+    return let(F.transform(sections, section_nodes), lambda nodes: let(located(nodes), lambda hit: at_hit(hit, nodes)))
+
+
+def _error(rule: str, path: Column, detail: Column | str = "") -> Column:
+    """An error as one text; texts are equal if all of it is."""
+    return F.concat_ws("\0", F.lit(rule), path, F.lit(detail) if isinstance(detail, str) else detail)
+
+
+def section_references(section: Column, number: Column) -> Column:
+    """``array<struct<path, kind, ref>>`` of a section."""
+    return in_section_boxes(section, number, lambda box, kind, path: box_references(some(box["activities"], ACTIVITY), path))
+
+
+def section_errors(section: Column, number: Column, texts: Column | None = None) -> Column:
+    """Errors of a section, as texts, that its own nodes decide: their shape, long names, fractions, gaps, and links that none of ``texts`` has."""
+    of = lambda node: lambda name: node[name]
+    shape = lambda checks: [F.when(c.isNotNull(), _error("shape", c["path"], c["keyword"])) for c in checks]
+    long = lambda node, path: F.when(F.char_length(node["title"]) > NAME_LIMIT, _error("long name", F.concat(path, F.lit("/title"))))
+
+    def of_box(box: Column, kind: str, path: Column) -> Column:
+        def of_activity(a: Column, i: Column) -> Column:
+            at = F.concat(path, F.lit("/activities/"), i.cast("string"))
+            own = [*shape(activity_checks(of(a), at)), long(a, at)]
+            if texts is not None:
+                sourced = F.coalesce(F.exists(texts, lambda t: t.contains(a["url"])), F.lit(False))
+                own.append(F.when(a["url"].isNotNull() & texts.isNotNull() & ~sourced, _error("link without source", at, a["url"])))
+            return F.concat(F.array(*own), F.flatten(F.transform(some(a["questions"], QUESTION), lambda q, j: of_question(q, F.concat(at, F.lit("/questions/"), j.cast("string"))))))
+
+        own = [*shape(box_checks(of(box), path, F.lit(kind == "section"))), long(box, path)]
+        return F.concat(F.array(*own), F.flatten(F.transform(some(box["activities"], ACTIVITY), of_activity)))
+
+    def of_question(q: Column, at: Column) -> Column:
+        return F.array(*shape(question_checks(of(q), at)), F.when(~fractions_fit(of(q)), _error("fractions", at)), F.when(gaps_are_wrong(of(q)), _error("gaps", at)))
+
+    return F.array_compact(in_section_boxes(section, number, of_box))
+
+
+def _repeated(nodes: Column) -> Column:
+    """Errors, as texts, of nodes whose id a node of their kind had before them. ``nodes(kind, id, path)`` in document order."""
+    kind = lambda n: F.when(n["kind"] == "subsection", "section").otherwise(n["kind"])
+    placed_ = F.array_sort(F.transform(nodes, lambda n, i: F.struct(kind(n).alias("kind"), n["id"].alias("id"), i.alias("i"), n["path"].alias("path"))))
+    same = lambda a, b: (a["kind"] == b["kind"]) & a["id"].eqNullSafe(b["id"])
+    return let(placed_, lambda x: F.transform(F.filter(x, lambda n, i: F.when(i > 0, same(n, F.get(x, i - 1))).otherwise(False)), lambda n: _error("duplicate id", n["path"], n["id"])))
+
+
+def _broken(refs: Column, nodes: Column, sources: Column | None) -> Column:
+    """Errors, as texts, of references to activities, objectives and, if they are given, ``sources`` that aren't there."""
+    key = lambda kind, name: F.concat(kind, F.lit("\0"), name)
+    there = F.transform(F.filter(nodes, lambda n: n["kind"].isin("activity", "objective") & n["id"].isNotNull()), lambda n: key(n["kind"], n["id"]))
+    if sources is None:
+        refs = F.filter(refs, lambda r: r["kind"] != "source")
+    else:
+        there = F.concat(there, F.transform(sources, lambda s: key(F.lit("source"), s)))
+    lost = lambda r: F.array_except(F.transform(r, lambda x: key(x["kind"], x["ref"])), there)
+    gone = lambda r: let(lost(r), lambda m: F.filter(r, lambda x: x["ref"].isNull() | F.array_contains(m, key(x["kind"], x["ref"]))))
+    return let(refs, lambda r: F.transform(gone(r), lambda x: _error("broken reference", x["path"], x["ref"])))
 
 
 def enum_errors(blueprints: DataFrame, types: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
@@ -219,7 +329,11 @@ def enum_errors(blueprints: DataFrame, types: tuple[str, ...], kinds: tuple[str,
 
 def references(blueprints: DataFrame) -> DataFrame:
     """``bp, path, kind, ref``: what activities need (activity) and cite (source), and what questions are about (objective), in one pass over the documents."""
-    path = F.col("path")
+    return containers(blueprints).select("bp", F.explode(box_references(F.col("activities"), F.col("path"))).alias("r")).select("bp", "r.*")
+
+
+def box_references(activities: Column, path: Column) -> Column:
+    """``array<struct<path, kind, ref>>`` of the activities at ``path``."""
     ref = lambda at, kind, name: F.struct(at.alias("path"), F.lit(kind).alias("kind"), name.alias("ref"))
 
     def of_activity(a: Column, i: Column) -> Column:
@@ -229,8 +343,7 @@ def references(blueprints: DataFrame) -> DataFrame:
         none = F.array().cast("array<struct<path:string,kind:string,ref:string>>")
         return F.concat(*[F.coalesce(x, none) for x in lists])
 
-    every = F.flatten(F.transform("activities", of_activity))
-    return containers(blueprints).select("bp", F.explode(every).alias("r")).select("bp", "r.*")
+    return F.flatten(F.transform(activities, of_activity))
 
 
 def broken_references(blueprints: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -245,31 +358,41 @@ def broken_references(blueprints: DataFrame, sources: DataFrame | None = None) -
     return refs.join(ids, (F.col("bp") == F.col("owner")) & (F.col("kind") == F.col("of")) & (F.col("ref") == F.col("target")), "left_anti")
 
 
-def fraction_errors(blueprints: DataFrame, tolerance: str = TOLERANCE) -> DataFrame:
-    """``bp, path, qtype``: single choices whose best answer isn't worth 1, multiple ones whose right answers don't sum to 1, others without a full answer."""
-    rows = questions(blueprints)
+def fractions_fit(question: Field, tolerance: str = TOLERANCE) -> Column:
+    """Whether a question's answers are worth what its kind asks for."""
     eps, one = F.lit(tolerance).cast("decimal(6,4)"), F.lit(1).cast("decimal(6,4)")
-    fractions = F.transform("answers", lambda a: a["fraction"])
+    fractions = F.transform(question("answers"), lambda a: a["fraction"])
     near = lambda x: F.abs(x - one) <= eps
     total = F.aggregate(F.filter(fractions, lambda f: f > 0), F.lit(0).cast("decimal(16,4)"), lambda acc, f: (acc + f).cast("decimal(16,4)"))
     full = F.size(F.filter(fractions, near))
-    ok = (
-        F.when((F.col("qtype") == "multichoice") & F.col("single"), F.coalesce(near(F.array_max(fractions)), F.lit(False)))
-        .when(F.col("qtype") == "multichoice", near(total))
-        .when(F.col("qtype") == "truefalse", full == 1)
-        .when(F.col("qtype").isin("shortanswer", "numerical"), full >= 1)
+    return (
+        F.when((question("qtype") == "multichoice") & question("single"), F.coalesce(near(F.array_max(fractions)), F.lit(False)))
+        .when(question("qtype") == "multichoice", near(total))
+        .when(question("qtype") == "truefalse", full == 1)
+        .when(question("qtype").isin("shortanswer", "numerical"), full >= 1)
         .otherwise(True)
     )
-    return rows.where(~ok).select("bp", "path", "qtype")
+
+
+def fraction_errors(blueprints: DataFrame, tolerance: str = TOLERANCE) -> DataFrame:
+    """``bp, path, qtype``: single choices whose best answer isn't worth 1, multiple ones whose right answers don't sum to 1, others without a full answer."""
+    return questions(blueprints).where(~fractions_fit(F.col, tolerance)).select("bp", "path", "qtype")
+
+
+def gaps_are_wrong(question: Field) -> Column:
+    """Whether a gap question's markers aren't 1 to k once each, or have no choice."""
+    numbers = F.transform(F.regexp_extract_all(question("text"), F.lit(r"\[\[([0-9]{1,9})\]\]"), F.lit(1)), lambda g: g.cast("int"))
+
+    def wrong(gaps: Column) -> Column:
+        n = F.size(gaps)
+        return (n == 0) | (gaps != F.sequence(F.lit(1), F.greatest(F.lit(1), n))) | (n > question("choices"))
+
+    return F.when(question("qtype") == "gapselect", let(F.array_sort(numbers), wrong)).otherwise(False)
 
 
 def gap_errors(blueprints: DataFrame) -> DataFrame:
     """``bp, path``: gap questions whose ``[[n]]`` markers aren't 1 to k once each, or have no choice."""
-    gaps = F.transform(F.regexp_extract_all("text", F.lit(r"\[\[([0-9]{1,9})\]\]"), F.lit(1)), lambda g: g.cast("int"))
-    rows = questions(blueprints).where(F.col("qtype") == "gapselect").withColumn("gaps", F.array_sort(gaps))
-    n = F.size("gaps")
-    bad = (n == 0) | (F.col("gaps") != F.sequence(F.lit(1), F.greatest(F.lit(1), n))) | (n > F.col("choices"))
-    return rows.where(bad).select("bp", "path")
+    return questions(blueprints).where(gaps_are_wrong(F.col)).select("bp", "path")
 
 
 def unsourced_urls(blueprints: DataFrame, texts: DataFrame) -> DataFrame:
@@ -495,25 +618,36 @@ def count_differences(blueprints: DataFrame, modules: DataFrame) -> DataFrame:
     return both.where("expected <> actual")
 
 
-# Shape of a blueprint's fields. Fixed values of the data model
-ACTIVITY_TYPES = ("page", "book", "label", "url", "resource", "folder", "quiz", "lesson", "assign", "forum", "glossary", "wiki", "choice", "feedback", "h5pactivity", "scorm")
-QUESTION_TYPES = ("multichoice", "truefalse", "shortanswer", "numerical", "matching", "essay", "gapselect", "ddwtos", "multianswer")
-SECTION_ID, SUBSECTION_ID, ACTIVITY_ID, QUESTION_ID = r"\As[0-9]+\z", r"\As[0-9]+-[0-9]+\z", r"\As[0-9]+(-[0-9]+)?\.[a-z][a-z0-9]*[0-9]\z", r"\Aq[0-9]+\z"
-
-
 def shape_errors(blueprints: DataFrame, types: tuple[str, ...] = ACTIVITY_TYPES, kinds: tuple[str, ...] = QUESTION_TYPES) -> DataFrame:
     """``bp, path, keyword``: fields that are missing (required), misspelt (pattern), unknown (enum) or empty (minLength), and lists too short (minItems).
 
     The keywords are checked as expressions over the flattened nodes, each an error of its own.
     """
-    wrong = lambda keyword, field, test: F.when(test, F.struct(F.concat("path", F.lit(f"/{field}")).alias("path"), F.lit(keyword).alias("keyword")))
-    missing = lambda c: wrong("required", c, F.col(c).isNull())
-    fits = lambda c, pattern: wrong("pattern", c, ~F.col(c).rlike(pattern))
-    among = lambda c, values: wrong("enum", c, ~F.col(c).isin(*values))
-    errors = lambda rows, *checks: rows.select("bp", F.explode(F.array_compact(F.array(*checks))).alias("e")).select("bp", "e.path", "e.keyword")
-    boxes = containers(blueprints)
-    own = wrong("pattern", "id", ~F.when(F.col("ui") < 0, F.col("id").rlike(SECTION_ID)).otherwise(F.col("id").rlike(SUBSECTION_ID)))
-    out = errors(boxes, missing("id"), missing("title"), own, wrong("minLength", "title", F.col("title") == ""), wrong("minItems", "activities", F.size("activities") == 0))
-    out = out.union(errors(activities(blueprints), missing("id"), missing("type"), missing("title"), fits("id", ACTIVITY_ID), among("type", types), wrong("minLength", "title", F.col("title") == "")))
-    choice = F.col("qtype").isin("multichoice", "truefalse", "shortanswer", "numerical")
-    return out.union(errors(questions(blueprints), missing("id"), missing("qtype"), fits("id", QUESTION_ID), among("qtype", kinds), wrong("minItems", "answers", choice & (F.size("answers") == 0))))
+    errors = lambda rows, checks: rows.select("bp", F.explode(F.array_compact(F.array(*checks))).alias("e")).select("bp", "e.path", "e.keyword")
+    out = errors(containers(blueprints), box_checks(F.col, F.col("path"), F.col("ui") < 0))
+    out = out.union(errors(activities(blueprints), activity_checks(F.col, F.col("path"), types)))
+    return out.union(errors(questions(blueprints), question_checks(F.col, F.col("path"), kinds)))
+
+
+def _check(path: Column, keyword: str, field: str, test: Column) -> Column:
+    return F.when(test, F.struct(F.concat(path, F.lit(f"/{field}")).alias("path"), F.lit(keyword).alias("keyword")))
+
+
+def box_checks(box: Field, path: Column, is_section: Column) -> list[Column]:
+    """``struct<path, keyword>`` of each way a section or subsection can be misshapen, null where it isn't."""
+    misspelt = ~F.when(is_section, box("id").rlike(SECTION_ID)).otherwise(box("id").rlike(SUBSECTION_ID))
+    missing = [_check(path, "required", c, box(c).isNull()) for c in ("id", "title")]
+    return [*missing, _check(path, "pattern", "id", misspelt), _check(path, "minLength", "title", box("title") == ""), _check(path, "minItems", "activities", F.size(box("activities")) == 0)]
+
+
+def activity_checks(activity: Field, path: Column, types: tuple[str, ...] = ACTIVITY_TYPES) -> list[Column]:
+    """As ``box_checks``, of an activity."""
+    missing = [_check(path, "required", c, activity(c).isNull()) for c in ("id", "type", "title")]
+    return [*missing, _check(path, "pattern", "id", ~activity("id").rlike(ACTIVITY_ID)), _check(path, "enum", "type", ~activity("type").isin(*types)), _check(path, "minLength", "title", activity("title") == "")]
+
+
+def question_checks(question: Field, path: Column, kinds: tuple[str, ...] = QUESTION_TYPES) -> list[Column]:
+    """As ``box_checks``, of a question."""
+    choice = question("qtype").isin("multichoice", "truefalse", "shortanswer", "numerical")
+    missing = [_check(path, "required", c, question(c).isNull()) for c in ("id", "qtype")]
+    return [*missing, _check(path, "pattern", "id", ~question("id").rlike(QUESTION_ID)), _check(path, "enum", "qtype", ~question("qtype").isin(*kinds)), _check(path, "minItems", "answers", choice & (F.size(question("answers")) == 0))]

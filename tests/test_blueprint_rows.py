@@ -37,3 +37,33 @@ def test_nearest_nodes_of_odd_paths(spark):
 def test_nearest_nodes_of_own_errors_shuffle_items_only(spark, sf):
     plan = plan_of(plans.QUERIES["bp_nearest_node"](spark, sf))
     assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_regenerated_shuffles_items_only(spark, sf):
+    plan = plan_of(plans.QUERIES["bp_regenerated"](spark, sf))
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_regenerated_counts_what_the_rules_find(spark):
+    """Errors that a new section brings, found in the row, are as many as those of the rules over tables."""
+    good = {"id": "s1", "title": "T", "objectives": ["o1"], "activities": [activity("s1.page1", refs=["src1"], url="https://a")], "subsections": []}
+    other = {"id": "s2", "title": "T", "objectives": [], "activities": [activity("s2.page1", needs=["s1.page1", "gone"]), activity("s2.page1")], "subsections": [{"id": "s2-0", "title": "", "activities": []}]}
+    asked = [
+        {"id": "q1", "qtype": "multichoice", "single": True, "answers": [{"fraction": 0.5}], "objective_ref": "o1"}, {"id": "q1", "qtype": "numerical", "answers": [], "objective_ref": "o9"},
+        {"id": "x", "qtype": "gapselect", "text": "[[2]]", "choices": 1, "answers": []}, {"id": None, "qtype": "riddle", "answers": []},
+    ]
+    cases = [
+        good, {**good, "title": "x" * 300}, {**good, "objectives": ["o1", "o1"], "activities": [activity("s1.page1", refs=["src1", "src2", None], needs=["s2.page1", "no", None], url="https://b", type="poem")]},
+        {**good, "activities": [activity("s1.page1", questions=asked), activity("s2.page1", title=""), activity(None, url="https://a/x")], "subsections": [{"id": "s2-0", "title": None, "activities": [activity("s1.page1")]}]},
+    ]
+    parsed = lambda rows: spark.createDataFrame([(i, json.dumps(r)) for i, r in rows], "bp long, j string").select("bp", F.from_json("j", f"array<{B.SECTION}>").alias("sections"))
+    old = parsed((i, [good, other]) for i, _ in enumerate(cases)).cache()
+    new = parsed((i, [c, other]) for i, c in enumerate(cases)).cache()
+    sources = spark.createDataFrame([(i, s) for i in range(3) for s in ("src1", None)], "bp long, id string")
+    texts = spark.createDataFrame([(2, "see https://a"), (3, None), (1, "https://a")], "bp long, text string")
+    edits = new.select("bp", F.lit("s1").alias("node_id"), F.get("sections", F.lit(0)).alias("section"), *[F.lit(None).cast(B.NODES[k]).alias(k) for k in ("subsection", "activity", "question")])
+    for more in ({}, {"sources": sources}, {"sources": sources, "texts": texts}):
+        found = B.errors(new, more.get("sources"), more.get("texts")).distinct()
+        want = {r["bp"]: r["count"] for r in found.exceptAll(B.errors(old, more.get("sources"), more.get("texts")).distinct()).groupBy("bp").count().collect()}
+        got = {r["bp"]: r["invalid"] for r in B.regenerated(old, edits, **more).collect()}
+        assert got == {i: want.get(i, 0) for i, _ in enumerate(cases)} and got[0] == 0 and got[3] > 9
